@@ -70,8 +70,13 @@ def strip_reasoning(text: Column) -> Column:
 
 
 def sentence_chunks(text: Column, per_chunk: int = 4) -> Column:
-    """Closed sentences, trimmed and joined in groups; an open tail is lost."""
-    sentences = F.transform(F.regexp_extract_all(text, F.lit(f"({CLOSED_SENTENCE})"), 1), strip)
+    """Closed sentences joined by a space in groups; an open tail is lost.
+
+    The tail is cut off before the sentences are matched, so a long text
+    without an ender costs one pass.
+    """
+    closed = F.regexp_extract(text, r"(?s)^(.*[.!?])", 1)
+    sentences = F.regexp_extract_all(closed, F.lit(f"({CLOSED_SENTENCE})"), 1)
     groups = F.ceil(F.size(sentences) / per_chunk).cast("int")
     starts = F.filter(F.sequence(F.lit(0), F.greatest(groups - 1, F.lit(0))), lambda i: i < groups)
     return F.transform(

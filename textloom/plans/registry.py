@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.session import table
+from textloom.session import spread_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,12 @@ def r6(col: Column | str) -> Column:
 
 # --- shared inputs -----------------------------------------------------------
 
+def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents, spread over the cores when the file alone is too small for that."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread_small(docs, "doc_id")
+
+
 HUMAN, SYSTEM = "human", "system"
 
 

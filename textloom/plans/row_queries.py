@@ -375,7 +375,7 @@ def filter_in_or_null(spark, sf):
     "PF-27",
     sql=f"""WITH s AS (SELECT * FROM {SAMPLES})
       SELECT id_source, arg_min(agent, turn) AS agent,
-        arg_min(CASE WHEN agent <> 'system' THEN text END, turn) FILTER (true) AS fulltext
+        CASE WHEN arg_min(agent, turn) <> 'system' THEN arg_min(text, turn) END AS fulltext
       FROM s WHERE agent <> 'human' AND id_source IN (SELECT id_source FROM s WHERE agent = 'human')
       GROUP BY id_source""",
 )
