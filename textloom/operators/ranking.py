@@ -154,10 +154,12 @@ def salted_lookup(
     keys: Sequence[str],
     weight: str,
     spread: Sequence[str],
+    how: str = "inner",
     hot_share: float = 0.002,
 ) -> DataFrame:
-    """Inner join of ``left`` with a table that is unique by ``keys`` and whose
-    ``weight`` column says how often each key occurs on the left.
+    """Join ``left`` (inner, left, left_semi, left_anti) with a table that is
+    unique by ``keys`` and whose ``weight`` column says how often each key
+    occurs on the left.
 
     Keys that hold more than ``hot_share`` of the total weight are split over
     several join tasks.  There are at most ``1 / hot_share`` of them, so their
@@ -177,4 +179,4 @@ def salted_lookup(
         .withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int"))
         .drop("__salts")
     )
-    return salted_left.join(salted_right, [*keys, "__salt"]).drop("__salt")
+    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
