@@ -12,12 +12,19 @@ corpus (orders 1 to 3).  A context can be very frequent, so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.tokens import token_list
-from textloom.operators.ranking import running_totals, salted_lookup, with_rank
+from textloom.operators.ranking import (
+    DIRECT_ROWS,
+    largest_group,
+    running_totals,
+    salted_lookup,
+    with_rank,
+)
+from textloom.session import materialize
 
 ORDERS = (1, 2, 3)
 
@@ -49,21 +56,38 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
     return ngram_rows(docs, order).groupBy(*gram_columns(order)).agg(F.count("*").alias("c"))
 
 
-def _attach(grams: DataFrame, order: int, *per_context: Column) -> DataFrame:
-    """Give every n-gram the aggregates of its context.  Contexts with very
-    many continuations are spread over several join tasks."""
+def _attach(grams: DataFrame, order: int, per_context: Mapping[str, Callable]) -> DataFrame:
+    """Give every n-gram the aggregates of its context.
+
+    ``per_context`` maps a name to a function of ``over``, which turns an
+    aggregate into its value for the context.  While every context is small
+    enough for one task a window does it with a single shuffle; above that
+    the aggregates are computed apart and joined back, with the continuations
+    of a frequent context spread over several tasks.
+    """
     context = gram_columns(order)[:-1]
     if not context:
-        return grams.crossJoin(F.broadcast(grams.agg(*per_context)))  # exactly one row
-    sums = grams.groupBy(*context).agg(*per_context, F.count("*").alias("__n"))
+        whole = grams.agg(*[f(lambda a: a).alias(n) for n, f in per_context.items()])
+        return grams.crossJoin(F.broadcast(whole))  # exactly one row
+    if largest_group(grams, context) <= DIRECT_ROWS:
+        window = Window.partitionBy(*context)
+        return grams.withColumns({n: f(lambda a: a.over(window)) for n, f in per_context.items()})
+    sums = grams.groupBy(*context).agg(
+        *[f(lambda a: a).alias(n) for n, f in per_context.items()], F.count("*").alias("__n")
+    )
     return salted_lookup(grams, sums, context, "__n", [gram_columns(order)[-1]]).drop("__n")
 
 
+def context_total(over: Callable[[Column], Column]) -> Column:
+    return over(F.sum("c"))
+
+
 def ngram_model(docs: DataFrame, order: int) -> DataFrame:
     """(w1.., c, context_c, p): p is the share of the continuation among all
-    continuations of its context (of all tokens for order 1)."""
-    counts = ngram_counts(docs, order)
-    joined = _attach(counts, order, F.sum("c").alias("context_c"))
+    continuations of its context (of all tokens for order 1).  The counts are
+    the trained model and are written once."""
+    counts = materialize(ngram_counts(docs, order), f"ngrams{order}")
+    joined = _attach(counts, order, {"context_c": context_total})
     return joined.withColumn("p", F.col("c") / F.col("context_c"))
 
 
@@ -96,7 +120,8 @@ def token_likelihoods(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     whole = None
     for order in ORDERS:
         rows = ngram_rows(docs, order, key)
-        found = _look_up(rows, ngram_model(docs, order), order, [key, "pos"]).select(
+        model = materialize(ngram_model(docs, order), f"model{order}")
+        found = _look_up(rows, model, order, [key, "pos"]).select(
             key, "pos", *[(F.col("p") if o == order else F.lit(None).cast("double")).alias(f"p{o}") for o in ORDERS]
         )
         whole = found if whole is None else whole.unionByName(found)
@@ -116,27 +141,35 @@ def likelihood_matrix(likelihoods: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def context_moments() -> list[Column]:
-    """Aggregates expectation = sum p ln p and variance = sum p ln^2 p - E^2.
-
-    With p = c / C both follow from sums of c, c ln c and c ln^2 c, so one
-    partial aggregate over the continuations is enough.
-    """
+def _moments(over: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """sum p ln p and sum p ln^2 p of a context.  With p = c / C both follow
+    from sums of c, c ln c and c ln^2 c."""
     c, log_c = F.col("c"), F.ln("c")
-    s0, s1, s2 = F.sum(c).cast("double"), F.sum(c * log_c), F.sum(c * log_c * log_c)
+    s0 = over(F.sum(c)).cast("double")
+    s1, s2 = over(F.sum(c * log_c)), over(F.sum(c * log_c * log_c))
     mean = s1 / s0 - F.ln(s0)
-    square = (s2 - 2 * F.ln(s0) * s1) / s0 + F.ln(s0) * F.ln(s0)
-    return [
-        mean.alias("expectation"),
-        F.greatest(square - mean * mean, F.lit(0.0)).alias("variance"),
-    ]
+    return mean, (s2 - 2 * F.ln(s0) * s1) / s0 + F.ln(s0) * F.ln(s0)
+
+
+def expectation(over: Callable[[Column], Column]) -> Column:
+    return _moments(over)[0]
+
+
+def variance(over: Callable[[Column], Column]) -> Column:
+    mean, square = _moments(over)
+    return F.greatest(square - mean * mean, F.lit(0.0))
 
 
 def scoring_model(docs: DataFrame, order: int) -> DataFrame:
-    """(w1.., c, p, rank, expectation, variance), ready to be looked up."""
-    counts = ngram_counts(docs, order)
-    joined = _attach(counts, order, F.sum("c").alias("context_c"), *context_moments())
-    return with_target_ranks(joined.withColumn("p", F.col("c") / F.col("context_c")), order)
+    """(w1.., c, p, rank, expectation, variance), written for the look-ups."""
+    counts = materialize(ngram_counts(docs, order), f"ngrams{order}")
+    joined = _attach(
+        counts,
+        order,
+        {"context_c": context_total, "expectation": expectation, "variance": variance},
+    )
+    ranked = with_target_ranks(joined.withColumn("p", F.col("c") / F.col("context_c")), order)
+    return materialize(ranked, f"model{order}")
 
 
 def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
@@ -181,7 +214,8 @@ def scores_per_layer(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def perplexity(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
     """(key, mean_nll, median_nll): the median weighs each distinct n-gram by
     its occurrences in the document, which bounds the state by the text."""
-    found = _look_up(document_grams(docs, order, key), ngram_model(docs, order), order, [key])
+    model = materialize(ngram_model(docs, order), f"model{order}")
+    found = _look_up(document_grams(docs, order, key), model, order, [key])
     nll = -F.ln("p")
     return found.groupBy(key).agg(
         (F.sum(F.col("n") * nll) / F.sum("n")).alias("mean_nll"),
@@ -189,14 +223,11 @@ def perplexity(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFram
     )
 
 
-def context_cross_entropy(docs: DataFrame) -> DataFrame:
-    """Per context sum over continuations of p_observer * -ln p_performer; the
-    observer is the bigram, the performer the unigram model."""
-    unigrams = ngram_model(docs, 1).select(F.col("w1").alias("w2"), F.col("p").alias("p1"))
-    bigrams = ngram_model(docs, 2)
+def context_cross_entropy(bigrams: DataFrame, unigrams: DataFrame) -> DataFrame:
+    """Per context the sum over continuations of p_observer * -ln p_performer;
+    the observer is the bigram, the performer the unigram model."""
     followers = bigrams.groupBy("w2").agg(F.count("*").alias("__n"))
-    weighted = unigrams.join(followers, "w2")
-    both = salted_lookup(bigrams, weighted, ["w2"], "__n", ["w1"])
+    both = salted_lookup(bigrams, unigrams.join(followers, "w2"), ["w2"], "__n", ["w1"])
     return both.groupBy("w1").agg(
         F.sum(F.col("p") * -F.ln("p1")).alias("cross_entropy"), F.max("context_c").alias("context_c")
     )
@@ -205,19 +236,19 @@ def context_cross_entropy(docs: DataFrame) -> DataFrame:
 def cross_entropy_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ratio): mean negative log-likelihood under the performer over the
     mean cross-entropy from observer to performer."""
+    unigrams = materialize(
+        ngram_model(docs, 1).select(F.col("w1").alias("w2"), "c", F.col("p").alias("p1")), "performer"
+    )
+    bigrams = materialize(ngram_model(docs, 2), "observer")
+    entropies = materialize(
+        context_cross_entropy(bigrams, unigrams.drop("c")), "entropies"
+    )
     pairs = document_grams(docs, 2, key)
-    unigrams = ngram_model(docs, 1).select(F.col("w1").alias("w2"), "c", F.col("p").alias("p1"))
-    scored = salted_lookup(pairs, unigrams, ["w2"], "c", [key, "w1"]).select(key, "w1", "n", "p1")
-    entropies = context_cross_entropy(docs)
-    found = salted_lookup(
-        scored.groupBy(key, "w1").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * -F.ln("p1")).alias("nll")
-        ),
-        entropies,
-        ["w1"],
-        "context_c",
-        [key],
+    scored = salted_lookup(pairs, unigrams, ["w2"], "c", [key, "w1"])
+    per_context = scored.groupBy(key, "w1").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * -F.ln("p1")).alias("nll")
     )
+    found = salted_lookup(per_context, entropies, ["w1"], "context_c", [key])
     sums = found.groupBy(key).agg(
         F.sum("nll").alias("nll"), F.sum(F.col("n") * F.col("cross_entropy")).alias("ce")
     )
@@ -275,7 +306,7 @@ def filter_top_p(model: DataFrame, order: int, p: float) -> DataFrame:
 def apply_temperature(model: DataFrame, order: int, temperature: float) -> DataFrame:
     """Add ``p_t``: p^(1/T), renormalised within the context."""
     raised = model.withColumn("__w", F.pow("p", F.lit(1.0 / temperature)))
-    joined = _attach(raised, order, F.sum("__w").alias("__z"))
+    joined = _attach(raised, order, {"__z": lambda over: over(F.sum("__w"))})
     return joined.withColumn("p_t", F.col("__w") / F.col("__z")).drop("__w", "__z")
 
 
@@ -283,8 +314,8 @@ def likelihood_ratio_features(model: DataFrame, order: int, k: int) -> DataFrame
     """Per n-gram: log-likelihood over log-rank, and the mean of the context's
     ``k + 1`` best probabilities over its own, with the inverse."""
     ranked = with_target_ranks(model, order)
-    top = F.avg(F.when(F.col("rank") <= k, F.col("p"))).alias("top_k_mean")
-    joined = _attach(ranked, order, top)
+    best = F.when(F.col("rank") <= k, F.col("p"))
+    joined = _attach(ranked, order, {"top_k_mean": lambda over: over(F.avg(best))})
     log_rank = F.log1p(F.col("rank").cast("double"))
     return joined.select(
         *gram_columns(order),

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textloom.session import cut_lineage, shuffle_partitions
+from textloom.session import materialize, shuffle_partitions
 
 #: Largest group that one task sorts on its own.
 DIRECT_ROWS = 2_000_000
@@ -50,11 +50,12 @@ def running_totals(
 
     tasks = shuffle_partitions(df.sparkSession)
     # The partition number must not change between the two uses below, hence
-    # the reliable checkpoint.
-    laid_out = cut_lineage(
+    # the written table.
+    laid_out = materialize(
         df.withColumns({f"__add_{n}": c for n, c in sums.items()})
         .repartitionByRange(tasks, *keys, *order)
-        .withColumn("__task", F.spark_partition_id())
+        .withColumn("__task", F.spark_partition_id()),
+        "totals",
     )
     in_task = (
         Window.partitionBy("__task", *keys)
