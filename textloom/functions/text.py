@@ -69,14 +69,18 @@ def strip_reasoning(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
-def sentence_chunks(text: Column, per_chunk: int = 4) -> Column:
-    """Closed sentences joined by a space in groups; an open tail is lost.
-
-    The tail is cut off before the sentences are matched, so a long text
-    without an ender costs one pass.
-    """
+def closed_sentences(text: Column) -> Column:
+    """Sentences with their ender; an open tail is lost.  The tail is cut off
+    before the sentences are matched, so a long text without an ender costs
+    one pass."""
     closed = F.regexp_extract(text, r"(?s)^(.*[.!?])", 1)
-    sentences = F.regexp_extract_all(closed, F.lit(f"({CLOSED_SENTENCE})"), 1)
+    return F.regexp_extract_all(closed, F.lit(f"({CLOSED_SENTENCE})"), 1)
+
+
+def group_sentences(sentences: Column, per_chunk: int = 4) -> Column:
+    """Chunks of ``per_chunk`` sentences joined by a space.  ``sentences`` must
+    be a column of the table: inside the lambda an expression would be
+    evaluated once per chunk."""
     groups = F.ceil(F.size(sentences) / per_chunk).cast("int")
     starts = F.filter(F.sequence(F.lit(0), F.greatest(groups - 1, F.lit(0))), lambda i: i < groups)
     return F.transform(

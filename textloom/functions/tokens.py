@@ -5,15 +5,20 @@ from __future__ import annotations
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from textloom.functions.patterns import TOKEN
 from textloom.operators.ranking import salted_lookup, with_rank
 
 _TOKEN = regex.compile(TOKEN)
-_OFFSETS = ArrayType(
-    StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+_FOUND = StructType(
+    [
+        StructField("start", ArrayType(IntegerType())),
+        StructField("end", ArrayType(IntegerType())),
+        StructField("token", ArrayType(StringType())),
+    ]
 )
+_PLACED = StructType(_FOUND.fields[:2])
 
 
 def token_list(text: Column) -> Column:
@@ -21,11 +26,35 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-@F.pandas_udf(_OFFSETS)
-def token_offsets(texts: pd.Series) -> pd.Series:
-    """Half-open character range of every token; Spark's regular expression
-    functions return no positions."""
-    return texts.map(lambda t: [{"start": m.start(), "end": m.end()} for m in _TOKEN.finditer(t)])
+def _find(texts: pd.Series) -> tuple[list, list, list]:
+    starts, ends, tokens = [], [], []
+    for text in texts:
+        found = list(_TOKEN.finditer(text))
+        starts.append([m.start() for m in found])
+        ends.append([m.end() for m in found])
+        tokens.append([m.group() for m in found])
+    return starts, ends, tokens
+
+
+@F.pandas_udf(_FOUND)
+def _found_tokens(texts: pd.Series) -> pd.DataFrame:
+    starts, ends, tokens = _find(texts)
+    return pd.DataFrame({"start": starts, "end": ends, "token": tokens})
+
+
+@F.pandas_udf(_PLACED)
+def _token_places(texts: pd.Series) -> pd.DataFrame:
+    starts, ends, _ = _find(texts)
+    return pd.DataFrame({"start": starts, "end": ends})
+
+
+def with_token_offsets(docs: DataFrame, text: str = "text", out: str = "offsets") -> DataFrame:
+    """Add the half-open character range of every token as an array of
+    (start, end); Spark's regular expression functions return no positions."""
+    placed = docs.withColumn("__p", _token_places(F.col(text)))
+    return placed.withColumn(
+        out, F.arrays_zip(F.col("__p.start").alias("start"), F.col("__p.end").alias("end"))
+    ).drop("__p")
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,21 +64,16 @@ def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def offset_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, start, end, token) rows; ``substring(text)`` at the offsets is the token."""
-    placed = docs.select(key, text, token_offsets(F.col(text)).alias("offsets"))
-    spread = placed.select(
+    placed = docs.select(key, _found_tokens(F.col(text)).alias("p"))
+    rows = placed.select(
         key,
         F.posexplode(
-            F.transform(
-                "offsets",
-                lambda o: F.struct(
-                    o["start"].alias("start"),
-                    o["end"].alias("end"),
-                    F.substring(F.col(text), o["start"] + 1, o["end"] - o["start"]).alias("token"),
-                ),
+            F.arrays_zip(
+                F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.token").alias("token")
             )
         ).alias("pos", "t"),
     )
-    return spread.select(key, "pos", "t.start", "t.end", "t.token")
+    return rows.select(key, "pos", "t.start", "t.end", "t.token")
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

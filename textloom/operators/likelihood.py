@@ -82,11 +82,14 @@ def context_total(over: Callable[[Column], Column]) -> Column:
     return over(F.sum("c"))
 
 
-def ngram_model(docs: DataFrame, order: int) -> DataFrame:
+def train(docs: DataFrame, order: int) -> DataFrame:
+    """n-gram counts, written once: this table is the trained model."""
+    return materialize(ngram_counts(docs, order), f"ngrams{order}")
+
+
+def ngram_model(counts: DataFrame, order: int) -> DataFrame:
     """(w1.., c, context_c, p): p is the share of the continuation among all
-    continuations of its context (of all tokens for order 1).  The counts are
-    the trained model and are written once."""
-    counts = materialize(ngram_counts(docs, order), f"ngrams{order}")
+    continuations of its context (of all tokens for order 1)."""
     joined = _attach(counts, order, {"context_c": context_total})
     return joined.withColumn("p", F.col("c") / F.col("context_c"))
 
@@ -110,26 +113,40 @@ def document_grams(docs: DataFrame, order: int, key: str = "doc_id") -> DataFram
     )
 
 
-def _look_up(rows: DataFrame, model: DataFrame, order: int, spread: Sequence[str]) -> DataFrame:
-    return salted_lookup(rows, model, gram_columns(order), "c", spread)
+def _look_up(
+    rows: DataFrame, model: DataFrame, counts: DataFrame, order: int, spread: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    return salted_lookup(rows, model, gram_columns(order), "c", spread, how, sizes=counts)
 
 
 def token_likelihoods(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, p1, p2, p3) for every token but the first, which no context
     precedes; p3 starts one position later.  Long form of the matrix."""
-    whole = None
+    tokens = docs.select(key, token_list(F.col("text")).alias("t"))
+    positions = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: i < F.size("t")
+    )
+    entry = F.transform(
+        positions,
+        lambda i: F.struct(
+            i.alias("pos"),
+            F.when(i > 1, F.get("t", i - 2)).alias("x1"),
+            F.get("t", i - 1).alias("x2"),
+            F.get("t", i).alias("x3"),
+        ),
+    )
+    rows = tokens.select(key, F.inline(entry))
     for order in ORDERS:
-        rows = ngram_rows(docs, order, key)
-        model = materialize(ngram_model(docs, order), f"model{order}")
-        found = _look_up(rows, model, order, [key, "pos"]).select(
-            key, "pos", *[(F.col("p") if o == order else F.lit(None).cast("double")).alias(f"p{o}") for o in ORDERS]
+        counts = train(docs, order)
+        names = [f"x{4 - order + j}" for j in range(order)]
+        renamed = dict(zip(gram_columns(order), names))
+        model = ngram_model(counts, order).select(
+            *[F.col(g).alias(x) for g, x in renamed.items()], "c", F.col("p").alias(f"p{order}")
         )
-        whole = found if whole is None else whole.unionByName(found)
-    return (
-        whole.where("pos >= 1")
-        .groupBy(key, "pos")
-        .agg(*[F.max(f"p{o}").alias(f"p{o}") for o in ORDERS])
-    )
+        rows = salted_lookup(
+            rows, model, names, "c", [key, "pos"], "left", sizes=counts.withColumnsRenamed(renamed)
+        ).drop("c")
+    return rows.select(key, "pos", *[f"p{o}" for o in ORDERS])
 
 
 def likelihood_matrix(likelihoods: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -160,16 +177,14 @@ def variance(over: Callable[[Column], Column]) -> Column:
     return F.greatest(square - mean * mean, F.lit(0.0))
 
 
-def scoring_model(docs: DataFrame, order: int) -> DataFrame:
-    """(w1.., c, p, rank, expectation, variance), written for the look-ups."""
-    counts = materialize(ngram_counts(docs, order), f"ngrams{order}")
+def scoring_model(counts: DataFrame, order: int) -> DataFrame:
+    """(w1.., c, p, rank, expectation, variance), ready to be looked up."""
     joined = _attach(
         counts,
         order,
         {"context_c": context_total, "expectation": expectation, "variance": variance},
     )
-    ranked = with_target_ranks(joined.withColumn("p", F.col("c") / F.col("context_c")), order)
-    return materialize(ranked, f"model{order}")
+    return with_target_ranks(joined.withColumn("p", F.col("c") / F.col("context_c")), order)
 
 
 def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
@@ -180,7 +195,8 @@ def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> Dat
     The first ``max(order - 1, 1)`` tokens have no score.
     """
     grams = document_grams(docs, order, key) if order > 1 else _later_unigrams(docs, key)
-    found = _look_up(grams, scoring_model(docs, order), order, [key])
+    counts = train(docs, order)
+    found = _look_up(grams, scoring_model(counts, order), counts, order, [key])
     n = F.col("n")
     sums = found.groupBy(key).agg(
         F.sum(n).alias("n"),
@@ -214,8 +230,9 @@ def scores_per_layer(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def perplexity(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
     """(key, mean_nll, median_nll): the median weighs each distinct n-gram by
     its occurrences in the document, which bounds the state by the text."""
-    model = materialize(ngram_model(docs, order), f"model{order}")
-    found = _look_up(document_grams(docs, order, key), model, order, [key])
+    counts = train(docs, order)
+    grams = document_grams(docs, order, key)
+    found = _look_up(grams, ngram_model(counts, order), counts, order, [key])
     nll = -F.ln("p")
     return found.groupBy(key).agg(
         (F.sum(F.col("n") * nll) / F.sum("n")).alias("mean_nll"),
@@ -236,13 +253,11 @@ def context_cross_entropy(bigrams: DataFrame, unigrams: DataFrame) -> DataFrame:
 def cross_entropy_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ratio): mean negative log-likelihood under the performer over the
     mean cross-entropy from observer to performer."""
-    unigrams = materialize(
-        ngram_model(docs, 1).select(F.col("w1").alias("w2"), "c", F.col("p").alias("p1")), "performer"
-    )
-    bigrams = materialize(ngram_model(docs, 2), "observer")
-    entropies = materialize(
-        context_cross_entropy(bigrams, unigrams.drop("c")), "entropies"
+    unigrams = ngram_model(train(docs, 1), 1).select(
+        F.col("w1").alias("w2"), "c", F.col("p").alias("p1")
     )
+    bigrams = ngram_model(train(docs, 2), 2)
+    entropies = materialize(context_cross_entropy(bigrams, unigrams.drop("c")), "entropies")
     pairs = document_grams(docs, 2, key)
     scored = salted_lookup(pairs, unigrams, ["w2"], "c", [key, "w1"])
     per_context = scored.groupBy(key, "w1").agg(

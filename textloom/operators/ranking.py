@@ -157,6 +157,7 @@ def salted_lookup(
     spread: Sequence[str],
     how: str = "inner",
     hot_share: float = 0.002,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` (inner, left, left_semi, left_anti) with a table that is
     unique by ``keys`` and whose ``weight`` column says how often each key
@@ -165,13 +166,19 @@ def salted_lookup(
     Keys that hold more than ``hot_share`` of the total weight are split over
     several join tasks.  There are at most ``1 / hot_share`` of them, so their
     list is broadcast safely.  ``spread`` names left columns that vary within
-    a hot key.
+    a hot key.  ``sizes`` is a cheaper table with the same keys and weights,
+    where ``right`` is costly to compute.
     """
     keys = list(keys)
-    total = right.agg(F.sum(weight).alias("__total"))
+    weights = (right if sizes is None else sizes).select(*keys, weight)
+    total = weights.agg(F.sum(weight).alias("__total"))  # exactly one row
     salts = F.ceil(F.col(weight) / (F.col("__total") * F.lit(hot_share))).cast("int")
-    sized = right.crossJoin(F.broadcast(total)).withColumn("__salts", salts).drop("__total")
-    hot = sized.where("__salts > 1").select(*keys, "__salts")
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(total)).withColumn("__salts", salts).drop("__total")
+
+    hot = salted(weights).where("__salts > 1").select(*keys, "__salts")
+    sized = salted(right)
     salted_right = sized.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__salts"), F.lit(1)) - 1))
     ).drop("__salts")

@@ -84,7 +84,7 @@ def token_likelihoods(spark, sf):
 
 @query("LM-03", sql=f"{LM} SELECT b AS w1, w AS w2, r AS rank FROM m2")
 def target_ranks(spark, sf):
-    model = lm.ngram_model(corpus(spark, sf), 2)
+    model = lm.ngram_model(lm.train(corpus(spark, sf), 2), 2)
     return lm.with_target_ranks(model, 2).select("w1", "w2", "rank")
 
 
@@ -93,7 +93,7 @@ def target_ranks(spark, sf):
     sql=f"{LM} SELECT b AS w1, w AS w2, r AS rank, round(p, 6) AS p FROM m2 WHERE r <= 5",
 )
 def top_k_continuations(spark, sf):
-    model = lm.ngram_model(corpus(spark, sf), 2)
+    model = lm.ngram_model(lm.train(corpus(spark, sf), 2), 2)
     return lm.top_k_continuations(model, 2, k=5).select("w1", "w2", "rank", r6("p").alias("p"))
 
 
@@ -150,8 +150,8 @@ def cross_entropy_ratio(spark, sf):
 def branch_paths(spark, sf):
     """Four levels of the four best continuations of the three commonest words."""
     docs = corpus(spark, sf)
-    start = lm.top_k_continuations(lm.ngram_model(docs, 1), 1, k=2).select(F.col("w1").alias("token"))
-    nodes = lm.branch_paths(lm.ngram_model(docs, 2), start, k=4, depth=4)
+    start = lm.top_k_continuations(lm.ngram_model(lm.train(docs, 1), 1), 1, k=2).select(F.col("w1").alias("token"))
+    nodes = lm.branch_paths(lm.ngram_model(lm.train(docs, 2), 2), start, k=4, depth=4)
     return nodes.withColumns({c: r6(c) for c in ("path_p", "p")})
 
 
@@ -164,7 +164,7 @@ def branch_paths(spark, sf):
 )
 def filter_continuations(spark, sf):
     """Temperature 0.9, then the continuations that make up the top 15 %."""
-    warmed = lm.apply_temperature(lm.ngram_model(corpus(spark, sf), 2), 2, temperature=0.9)
+    warmed = lm.apply_temperature(lm.ngram_model(lm.train(corpus(spark, sf), 2), 2), 2, temperature=0.9)
     return lm.filter_top_p(warmed, 2, p=0.15).select("w1", "w2", r6("p_t").alias("p_t"))
 
 
@@ -175,7 +175,7 @@ def filter_continuations(spark, sf):
               round(top / p, 6) AS top_k_ratio, round(p / top, 6) AS inverse_ratio FROM m2 JOIN k USING (b)""",
 )
 def likelihood_ratio_features(spark, sf):
-    features = lm.likelihood_ratio_features(lm.ngram_model(corpus(spark, sf), 2), 2, k=3)
+    features = lm.likelihood_ratio_features(lm.ngram_model(lm.train(corpus(spark, sf), 2), 2), 2, k=3)
     return features.select(
         "w1", "w2", *[r6(c).alias(c) for c in ("llr_token", "top_k_ratio", "inverse_ratio")]
     )

@@ -10,7 +10,7 @@ from textloom.operators import rows
 from textloom.operators.processors import Processor, batched_map, run_detector
 from textloom.operators.ranking import collect_parts, seeded_hash, with_rank
 from textloom.operators.sampling import weighted_sample
-from textloom.plans.registry import SAMPLES, query, r6, samples
+from textloom.plans.registry import SAMPLES, corpus, query, r6, samples
 from textloom.session import table
 
 SPLIT_SQL = """CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) < 'c' THEN 'train'
@@ -117,7 +117,7 @@ STRIP_SQL = rf"regexp_replace(text, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')"
             WHERE length({STRIP_SQL}) > 100 AND length({STRIP_SQL}) < 125000""",
 )
 def filter_text_length(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = corpus(spark, sf, "n_chars")
     return rows.filter_text_length(docs, min_length=100).select("doc_id", "n_chars")
 
 

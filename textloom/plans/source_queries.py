@@ -7,14 +7,14 @@ from pyspark.sql import Window, functions as F
 
 from textloom.operators.evaluation import confusion_at
 from textloom.operators.ranking import collect_parts
-from textloom.plans.registry import SAMPLES, SCORED, query, r6, samples, scored
+from textloom.plans.registry import SAMPLES, SCORED, corpus, query, r6, samples, scored
 from textloom.plans.row_queries import SPLIT_SQL, hash_split
 from textloom.session import scratch_path, table
 from textloom.sources import readers, store, writers
 
 
 def documents(spark, sf, *columns):
-    return table(spark, sf, "documents").select("doc_id", "text", *columns)
+    return corpus(spark, sf, *columns)
 
 
 @query(

@@ -19,7 +19,7 @@ from textloom.functions.patterns import (
 from textloom.functions.statistics import METRICS, with_text_metrics, words
 from textloom.functions.tokens import encode_tokens, offset_table, token_table, vocabulary
 from textloom.plans.registry import corpus, query, r6
-from textloom.session import table
+from textloom.session import spread_small, table
 
 
 def sql_strip(expr: str) -> str:
@@ -109,10 +109,10 @@ def _markup_sql(key: str, column: str, source: str) -> str:
     sql=f"""{_markup_sql('doc_id', 'text', 'documents')} UNION ALL {_markup_sql('page_id', 'html', 'pages')}""",
 )
 def strip_markup_artifacts(spark, sf):
-    texts = table(spark, sf, "documents").select(
+    texts = corpus(spark, sf).select(
         F.col("doc_id").alias("id"), F.lit("documents").alias("origin"), "text"
     )
-    pages = table(spark, sf, "pages").select(
+    pages = spread_small(table(spark, sf, "pages"), "page_id").select(
         F.col("page_id").alias("id"), F.lit("pages").alias("origin"), F.col("html").alias("text")
     )
     return texts.unionByName(pages).withColumn("text", tx.strip_markup_artifacts(F.col("text")))
@@ -164,8 +164,9 @@ def strip_reasoning(spark, sf):
            GROUP BY ALL""",
 )
 def sentence_chunks(spark, sf):
-    chunks = corpus(spark, sf).select(
-        "doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk")
+    split = corpus(spark, sf).select("doc_id", tx.closed_sentences(F.col("text")).alias("s"))
+    chunks = split.select(
+        "doc_id", F.posexplode(tx.group_sentences(F.col("s"))).alias("chunk_no", "chunk")
     )
     return chunks.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 

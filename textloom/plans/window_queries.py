@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.patterns import SPACE, TOKEN
 from textloom.functions.text import content_seed
-from textloom.functions.tokens import token_list, token_offsets
+from textloom.functions.tokens import token_list, with_token_offsets
 from textloom.operators import spans as sp, windows as wn
 from textloom.plans.registry import corpus, query, r6
 from textloom.plans.text_queries import PIECES_SQL, SENTENCES_SQL
@@ -179,14 +179,14 @@ def mixed(spark, sf):
         F.lit("]"),
     )
     broken = (F.col("lang") == "es") & (F.col("source") < "src15")
-    docs = corpus(spark, sf, "lang", "source", "n_chars").select(
+    docs = with_token_offsets(corpus(spark, sf, "lang", "source", "n_chars")).select(
         "doc_id",
+        "offsets",
         F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("label"),
         F.when(F.col("lang") == "fr", span)
         .when(broken, F.concat("source", F.lit("__[a:b]")))
         .otherwise(F.col("source"))
         .alias("source"),
-        token_offsets(F.col("text")).alias("offsets"),
     )
     return docs.join(sp.span_arrays(spans(spark, sf), "doc_id"), "doc_id")
 
