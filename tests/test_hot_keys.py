@@ -61,7 +61,8 @@ def test_salted_lookup(skewed, how):
     assert rows(got.select(*wanted.columns)) == rows(wanted)
 
 
-def test_weighted_sample_frequencies(spark):
+def test_weighted_sample_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", 4)
     df = spark.createDataFrame([(i, 500 if i == 7 else 1) for i in range(500)], "id int, w int")
     drawn = sampling.weighted_sample(df, F.col("w"), "id", draws=4000, seed=5).toPandas()
     assert len(drawn) == 4000 and drawn["draw"].is_unique

@@ -18,7 +18,7 @@ def group_documents(
     deduplicate: Sequence[str] = (),
     aggregate: Sequence[str] = (),
     remainder_into: str | None = None,
-    part_rows: int = 10_000,
+    part_rows: int = 1_000,
 ) -> DataFrame:
     """Group by a column: ``deduplicate`` columns keep their last value,
     ``aggregate`` columns become lists in row order, and the rest goes into a
@@ -40,7 +40,7 @@ def group_documents(
     return on_groups(parts, last, [by])
 
 
-def paired_samples(df: DataFrame, fields: Sequence[str], part_rows: int = 10_000) -> DataFrame:
+def paired_samples(df: DataFrame, fields: Sequence[str], part_rows: int = 1_000) -> DataFrame:
     """Samples of one source text as a list; sources with a single sample go.
 
     Part 0 of a longer list is full and later parts only exist for long
@@ -53,7 +53,7 @@ def paired_samples(df: DataFrame, fields: Sequence[str], part_rows: int = 10_000
 
 
 def regroup_lines(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, part_rows: int = 10_000
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, part_rows: int = 1_000
 ) -> DataFrame:
     """Ordered lines per key and their joined text."""
     parts = collect_parts(df, keys, order, {"chunks": line}, part_rows=part_rows)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.operators.ranking import collect_parts, salted_lookup, with_rank
 
 
-def lookup_rewrites(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
+def lookup_rewrites(df: DataFrame, part_rows: int = 1_000) -> DataFrame:
     """Per source text the ordered list of its full-text rewrites; sources
     without one are dropped.  Long lists continue in further parts."""
     sources = df.where("agent = 'human' AND first").select(

@@ -123,7 +123,7 @@ def collect_parts(
     keys: Sequence[str],
     order: Sequence[Column | str],
     lists: Mapping[str, Column | str],
-    part_rows: int = 10_000,
+    part_rows: int = 1_000,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Ordered lists per key, cut into parts of at most ``part_rows`` entries.

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.operators.ranking import salted_lookup, seeded_hash
-from textloom.session import broadcast_checked
+from textloom.session import broadcast_checked, materialize
 
 #: Hex digits of the histogram cell: a cell holds 1 / 65536 of a stratum.
 PREFIX = 4
@@ -69,7 +69,7 @@ def rank_cutoffs(hashed: DataFrame, positions: Positions, strata: Sequence[str]
 
 def _label(df: DataFrame, cutoffs: DataFrame, strata: Sequence[str]) -> DataFrame:
     if strata:
-        return df.join(broadcast_checked(cutoffs), list(strata))
+        return df.join(broadcast_checked(materialize(cutoffs, "cutoffs")), list(strata))
     return df.crossJoin(F.broadcast(cutoffs))  # exactly one row
 
 
@@ -147,7 +147,7 @@ def matched_split(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``split`` (train, eval, test, unmatched); rows follow their id."""
-    ids = matched_ids(df, agents)
+    ids = materialize(matched_ids(df, agents), "matched")
     h = seeded_hash(seed, "id_source")
     cutoffs = rank_cutoffs(
         ids.select(h.alias("h")),
@@ -205,7 +205,8 @@ def cv_rotation(
     seed: int = 42,
 ) -> DataFrame:
     """(id_source, fold, split) for every matched id and fold."""
-    placed = with_part(matched_ids(df, agents), "id_source", parts, seed)
+    ids = materialize(matched_ids(df, agents), "matched")
+    placed = with_part(ids, "id_source", parts, seed)
     folds = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     split = fold_split(F.col("part"), F.col("fold"), parts, evals, tests)
     return folds.select("id_source", "fold", split.alias("split"))
