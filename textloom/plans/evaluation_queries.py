@@ -181,7 +181,47 @@ def threshold_at_fpr(spark, sf):
     return cut.select(F.round("threshold_fpr", 4).alias("threshold_fpr"))
 
 
-@query("AG-18")
+def sql_report() -> str:
+    """Thresholds per language, then the metrics at each of them."""
+
+    def at(suffix: str, cut: str) -> str:
+        hits = sql_confusion(f"y_score >= {cut}")
+        return f"""(SELECT lang AS l{suffix}, {sql_metrics(suffix)} FROM (SELECT lang, {hits}
+          FROM {SCORED} JOIN cuts USING (lang) WHERE {cut} IS NOT NULL GROUP BY lang))"""
+
+    rate = "(SELECT avg((h.y_score >= {0})::INT) FROM h WHERE h.lang = {1}.lang)"
+    return f"""WITH RECURSIVE h AS (SELECT lang, y_score FROM {SCORED} WHERE y_true = 0),
+      m AS (SELECT lang, avg(y_score) AS thr FROM h GROUP BY lang),
+      s(lang, i, thr, step, prev, fpr) AS (
+        SELECT lang, 0, thr, 0.5::DOUBLE, NULL::DOUBLE, {rate.format('m.thr', 'm')} FROM m
+        UNION ALL
+        SELECT lang, i + 1, nthr, nstep, 0.05::DOUBLE - fpr, {rate.format('q.nthr', 'q')} FROM (
+          SELECT lang, i, fpr, nstep, thr + nstep AS nthr FROM (SELECT lang, i, thr, fpr,
+            CASE WHEN (0.05::DOUBLE - fpr < 0) <> coalesce(prev < 0, false) THEN step * -0.5
+                 WHEN prev IS NOT NULL AND abs(0.05::DOUBLE - fpr) - abs(prev) > 0.01 THEN -step
+                 ELSE step END AS nstep FROM s WHERE abs(fpr - 0.05::DOUBLE) > 0.0005 AND i < 49)) q),
+      ranked AS (SELECT lang, thr, row_number() OVER (PARTITION BY lang ORDER BY
+          CASE WHEN abs(fpr - 0.05::DOUBLE) <= 0.0005 THEN 0 WHEN 0.05::DOUBLE - fpr >= 0 THEN 1 ELSE 2 END,
+          CASE WHEN 0.05::DOUBLE - fpr >= 0 THEN 0.05::DOUBLE - fpr ELSE fpr END,
+          CASE WHEN 0.05::DOUBLE - fpr >= 0 THEN thr ELSE -thr END) AS r FROM s WHERE fpr > 0),
+      cuts AS (SELECT lang, 0.5::DOUBLE AS threshold, threshold_mean, threshold_median, thr AS threshold_fpr FROM (
+        SELECT lang, (avg(y_score) FILTER (y_true = 0) + avg(y_score) FILTER (y_true = 1)) / 2 AS threshold_mean,
+          CASE WHEN sum(y_true) * 2 = count(*) THEN median(y_score) END AS threshold_median FROM {SCORED} GROUP BY lang)
+        LEFT JOIN (SELECT lang, thr FROM ranked WHERE r = 1) USING (lang))
+      SELECT lang, n_samples, n_samples_human, n_samples_ai, round(threshold_median, 6) AS threshold_median,
+        round(threshold_mean, 6) AS threshold_mean, round(threshold_fpr, 6) AS threshold_fpr,
+        a.* EXCLUDE (l), b.* EXCLUDE (l_median), c.* EXCLUDE (l_mean), d.* EXCLUDE (l_fpr),
+        round(roc_auc, 6) + 0.0::DOUBLE AS roc_auc
+      FROM (SELECT lang, count(*) AS n_samples, count(*) FILTER (y_true = 0) AS n_samples_human,
+          count(*) FILTER (y_true = 1) AS n_samples_ai FROM {SCORED} GROUP BY lang)
+        JOIN cuts USING (lang) JOIN {at('', 'threshold')} a ON lang = l
+        LEFT JOIN {at('_median', 'threshold_median')} b ON lang = l_median
+        JOIN {at('_mean', 'threshold_mean')} c ON lang = l_mean
+        JOIN {at('_fpr', 'threshold_fpr')} d ON lang = l_fpr
+        JOIN (SELECT lang AS lr, roc_auc FROM {sql_auroc(SCORED, 'lang')}) ON lang = lr"""
+
+
+@query("AG-18", sql=sql_report())
 def evaluation_report(spark, sf):
     report = ev.evaluation_report(scored(spark, sf), ["lang"])
     return report.select(

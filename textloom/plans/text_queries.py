@@ -177,9 +177,10 @@ def sentence_chunks(spark, sf):
            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
 )
 def line_chunks(spark, sf):
-    return corpus(spark, sf).select(
+    lines = corpus(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
+    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 SENTENCES_SQL = f"""list_filter(list_transform(string_split(
@@ -193,9 +194,10 @@ SENTENCES_SQL = f"""list_filter(list_transform(string_split(
             FROM (SELECT doc_id, {SENTENCES_SQL} AS l FROM documents)""",
 )
 def split_sentences(spark, sf):
-    return corpus(spark, sf).select(
+    sentences = corpus(spark, sf).select(
         "doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("sent_no", "sentence")
     )
+    return sentences.withColumn("sent_no", F.col("sent_no").cast("bigint"))
 
 
 @query(

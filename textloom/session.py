@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, **conf) -> SparkSession:
         .appName("textloom")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # A hash join where the measured partitions of one side are small enough.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "128MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
