@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,11 +70,23 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; inside a lambda a plain
+    expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Stable softmax of an array."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda e: e / total)
+    exps = let(
+        F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top))
+    )
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return let(exps, shares)
 
 
 def argmax(values: Column) -> Column:

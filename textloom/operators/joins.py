@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.ranking import collect_parts, salted_lookup, with_rank
+from textloom.session import materialize
 
 
 def lookup_rewrites(df: DataFrame, part_rows: int = 1_000) -> DataFrame:
@@ -38,15 +39,18 @@ def merge_by_text(items: DataFrame, results: DataFrame, agent: str) -> tuple[Dat
         F.min("result").alias("result")
     )
     copies = keyed.groupBy("text_sha").agg(F.count("*").alias("copies"))
-    known = per_text.join(copies, "text_sha")
-    joined = salted_lookup(keyed, known, ["text_sha"], "copies", ["doc_id"], how="left")
+    found = materialize(per_text.join(copies, "text_sha", "left"), "results")
+    known = found.where("copies IS NOT NULL")
+    joined = salted_lookup(
+        keyed, known, ["text_sha"], "copies", ["doc_id"], how="left", sizes=known
+    )
     fits = F.col("result").isNotNull() & ~F.array_contains("agents", agent)
     merged = joined.select(
         *items.columns[:-1],
         F.when(fits, F.array_append("agents", F.lit(agent))).otherwise(F.col("agents")).alias("agents"),
         F.when(fits, F.col("result")).alias("result"),
     )
-    return merged, per_text.join(copies, "text_sha", "left_anti")
+    return merged, found.where("copies IS NULL").drop("copies")
 
 
 def zip_join(left: DataFrame, right: DataFrame, left_order: Sequence, right_order: Sequence) -> DataFrame:
@@ -101,10 +105,15 @@ def range_relation(start: Column, end: Column, range_start: Column, range_end: C
     return F.when(inside, "inside").when(touches, "overlapping").otherwise("outside")
 
 
-def span_range_overlap(tokens: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Tokens (key, pos, start, end) against the ranges of the same document."""
-    joined = tokens.join(ranges, key)
-    return joined.withColumn(
+def span_range_overlap(docs: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(key, pos, start, end, range_start, range_end, relation): every token of
+    a document against the document's ranges.  The join is on documents; their
+    ``offsets`` arrays are expanded after it, so single tokens are not shuffled."""
+    joined = docs.select(key, "offsets").join(ranges, key)
+    tokens = joined.select(
+        key, "range_start", "range_end", F.posexplode("offsets").alias("pos", "t")
+    ).select(key, "range_start", "range_end", "pos", "t.start", "t.end")
+    return tokens.withColumn(
         "relation",
         range_relation(F.col("start"), F.col("end"), F.col("range_start"), F.col("range_end")),
     )

@@ -6,8 +6,8 @@ corpus (orders 1 to 3).  A context can be very frequent, so
 * counts are partially aggregated before every shuffle,
 * context totals and moments are aggregates over the distinct continuations,
   not windows over them,
-* tokens look their n-gram up with ``salted_lookup``, after equal n-grams of a
-  document have been added up.
+* tokens look their n-gram up with ``salted_lookup``, straight from the
+  document's row: one shuffle of the tokens per order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textloom.functions.tokens import token_list
 from textloom.operators.ranking import (
     DIRECT_ROWS,
+    first_per_group,
     largest_group,
     running_totals,
     salted_lookup,
@@ -103,14 +104,8 @@ def with_target_ranks(model: DataFrame, order: int) -> DataFrame:
 
 def top_k_continuations(model: DataFrame, order: int, k: int) -> DataFrame:
     """The ``k + 1`` most likely continuations of every context."""
-    return with_target_ranks(model, order).where(F.col("rank") <= k)
-
-
-def document_grams(docs: DataFrame, order: int, key: str = "doc_id") -> DataFrame:
-    """(key, w1.., n): n-grams of a document added up."""
-    return ngram_rows(docs, order, key).groupBy(key, *gram_columns(order)).agg(
-        F.count("*").alias("n")
-    )
+    grams = gram_columns(order)
+    return first_per_group(model, [F.desc("c"), F.col(grams[-1])], grams[:-1], k + 1)
 
 
 def _look_up(
@@ -194,16 +189,15 @@ def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> Dat
     fast_detect = (sum ln p - sum E) / sqrt(sum V), NULL without variance.
     The first ``max(order - 1, 1)`` tokens have no score.
     """
-    grams = document_grams(docs, order, key) if order > 1 else _later_unigrams(docs, key)
+    grams = ngram_rows(docs, order, key).where("pos >= 1")
     counts = train(docs, order)
-    found = _look_up(grams, scoring_model(counts, order), counts, order, [key])
-    n = F.col("n")
+    found = _look_up(grams, scoring_model(counts, order), counts, order, [key, "pos"])
     sums = found.groupBy(key).agg(
-        F.sum(n).alias("n"),
-        F.sum(n * F.ln("p")).alias("log_p"),
-        F.sum(n * F.log1p(F.col("rank").cast("double"))).alias("log_rank"),
-        F.sum(n * F.col("expectation")).alias("e"),
-        F.sum(n * F.col("variance")).alias("v"),
+        F.count("*").alias("n"),
+        F.sum(F.ln("p")).alias("log_p"),
+        F.sum(F.log1p(F.col("rank").cast("double"))).alias("log_rank"),
+        F.sum("expectation").alias("e"),
+        F.sum("variance").alias("v"),
     )
     return sums.select(
         key,
@@ -213,11 +207,6 @@ def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> Dat
     )
 
 
-def _later_unigrams(docs: DataFrame, key: str) -> DataFrame:
-    rows = ngram_rows(docs, 1, key).where("pos >= 1")
-    return rows.groupBy(key, "w1").agg(F.count("*").alias("n"))
-
-
 def scores_per_layer(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, layer, n, llr, fast_detect) for every order."""
     whole = None
@@ -228,15 +217,13 @@ def scores_per_layer(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def perplexity(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
-    """(key, mean_nll, median_nll): the median weighs each distinct n-gram by
-    its occurrences in the document, which bounds the state by the text."""
+    """(key, mean_nll, median_nll) over the tokens of each document."""
     counts = train(docs, order)
-    grams = document_grams(docs, order, key)
-    found = _look_up(grams, ngram_model(counts, order), counts, order, [key])
+    grams = ngram_rows(docs, order, key)
+    found = _look_up(grams, ngram_model(counts, order), counts, order, [key, "pos"])
     nll = -F.ln("p")
     return found.groupBy(key).agg(
-        (F.sum(F.col("n") * nll) / F.sum("n")).alias("mean_nll"),
-        F.percentile(nll, 0.5, F.col("n")).alias("median_nll"),
+        F.avg(nll).alias("mean_nll"), F.percentile(nll, 0.5).alias("median_nll")
     )
 
 
@@ -253,21 +240,21 @@ def context_cross_entropy(bigrams: DataFrame, unigrams: DataFrame) -> DataFrame:
 def cross_entropy_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ratio): mean negative log-likelihood under the performer over the
     mean cross-entropy from observer to performer."""
-    unigrams = ngram_model(train(docs, 1), 1).select(
-        F.col("w1").alias("w2"), "c", F.col("p").alias("p1")
-    )
+    counts1 = train(docs, 1).withColumnRenamed("w1", "w2")
+    unigrams = ngram_model(counts1, 1).select("w2", "c", F.col("p").alias("p1"))
     bigrams = ngram_model(train(docs, 2), 2)
     entropies = materialize(context_cross_entropy(bigrams, unigrams.drop("c")), "entropies")
-    pairs = document_grams(docs, 2, key)
-    scored = salted_lookup(pairs, unigrams, ["w2"], "c", [key, "w1"])
-    per_context = scored.groupBy(key, "w1").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * -F.ln("p1")).alias("nll")
+    # The two halves of the ratio need one look-up each and no common rows.
+    pairs = ngram_rows(docs, 2, key)
+    performed = salted_lookup(
+        pairs.select(key, "pos", "w2"), unigrams, ["w2"], "c", [key, "pos"], sizes=counts1
     )
-    found = salted_lookup(per_context, entropies, ["w1"], "context_c", [key])
-    sums = found.groupBy(key).agg(
-        F.sum("nll").alias("nll"), F.sum(F.col("n") * F.col("cross_entropy")).alias("ce")
+    expected = salted_lookup(
+        pairs.select(key, "pos", "w1"), entropies, ["w1"], "context_c", [key, "pos"], sizes=entropies
     )
-    return sums.select(key, (F.col("nll") / F.col("ce")).alias("ratio"))
+    nll = performed.groupBy(key).agg(F.sum(-F.ln("p1")).alias("nll"))
+    ce = expected.groupBy(key).agg(F.sum("cross_entropy").alias("ce"))
+    return nll.join(ce, key).select(key, (F.col("nll") / F.col("ce")).alias("ratio"))
 
 
 def branch_paths(

@@ -102,6 +102,26 @@ def with_rank(
     )
 
 
+#: Up to this rank Spark cuts every group inside each map task, before the
+#: shuffle (``spark.sql.optimizer.windowGroupLimitThreshold``).
+GROUP_LIMIT = 1_000
+
+
+def first_per_group(
+    df: DataFrame, order: Sequence[Column | str], keys: Sequence[str], n: int, out: str = "rank"
+) -> DataFrame:
+    """The first ``n`` rows of every group with their 0-based rank.
+
+    For small ``n`` a filtered row number lets each map task keep only its own
+    first ``n`` rows per group, so a hot group shrinks before it is shuffled.
+    """
+    if n > GROUP_LIMIT or not keys:
+        return with_rank(df, order, keys=keys, out=out).where(F.col(out) < n)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = df.withColumn("__number", number).where(F.col("__number") <= n)
+    return kept.withColumn(out, (F.col("__number") - 1).cast("bigint")).drop("__number")
+
+
 def seeded_hash(seed: int | str, *cols: str | Column) -> Column:
     """Uniform hex string of the given columns; the seed plays the part of a
     random seed, so a shuffle is an order by this value."""
@@ -166,11 +186,13 @@ def salted_lookup(
     Keys that hold more than ``hot_share`` of the total weight are split over
     several join tasks.  There are at most ``1 / hot_share`` of them, so their
     list is broadcast safely.  ``spread`` names left columns that vary within
-    a hot key.  ``sizes`` is a cheaper table with the same keys and weights,
-    where ``right`` is costly to compute.
+    a hot key.  ``sizes`` is a stored table with the same keys and weights;
+    without it ``right``, which is used three times, is written first.
     """
     keys = list(keys)
-    weights = (right if sizes is None else sizes).select(*keys, weight)
+    if sizes is None:
+        right = sizes = materialize(right, "lookup")
+    weights = sizes.select(*keys, weight)
     total = weights.agg(F.sum(weight).alias("__total"))  # exactly one row
     salts = F.ceil(F.col(weight) / (F.col("__total") * F.lit(hot_share))).cast("int")
 

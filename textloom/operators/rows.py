@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions.text import strip
-from textloom.operators.ranking import seeded_hash, with_rank
+from textloom.operators.ranking import first_per_group, seeded_hash
 
 #: Fixed order of the label names; the position is the label id.
 LABEL_NAMES = ("human", "ai", "fusion")
@@ -187,8 +187,8 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 def limit_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], skip: int, take: int):
     """Rows ``skip`` .. ``skip + take - 1`` of every group."""
-    ranked = with_rank(df, order, keys=keys, out="__rank")
-    return ranked.where((F.col("__rank") >= skip) & (F.col("__rank") < skip + take)).drop("__rank")
+    first = first_per_group(df, order, keys, skip + take, out="__rank")
+    return first.where(F.col("__rank") >= skip).drop("__rank")
 
 
 def concat_splits(datasets: Iterable[DataFrame]) -> DataFrame:

@@ -132,10 +132,10 @@ def _of_agents(df: DataFrame, agents: Iterable[str] | None) -> DataFrame:
 
 def matched_unmatched(df: DataFrame, agents: Iterable[str] | None = None):
     """(rows of matched ids and the wanted agents, all rows of other ids)."""
-    ids = matched_ids(df, agents)
-    spread = ["id_sample"]
-    matched = salted_lookup(_of_agents(df, agents), ids, ["id_source"], "n", spread, "left_semi")
-    unmatched = salted_lookup(df, ids, ["id_source"], "n", spread, "left_anti")
+    ids = materialize(matched_ids(df, agents), "matched")
+    on = (ids, ["id_source"], "n", ["id_sample"])
+    matched = salted_lookup(_of_agents(df, agents), *on, how="left_semi", sizes=ids)
+    unmatched = salted_lookup(df, *on, how="left_anti", sizes=ids)
     return matched, unmatched
 
 
@@ -162,7 +162,9 @@ def matched_split(
         .otherwise("test")
     )
     placed = _label(ids, cutoffs, []).select("id_source", "n", split.alias("split"))
-    joined = salted_lookup(df, placed, ["id_source"], "n", ["id_sample"], "left").drop("n")
+    joined = salted_lookup(
+        df, placed, ["id_source"], "n", ["id_sample"], "left", sizes=ids
+    ).drop("n")
     split = F.coalesce("split", F.lit("unmatched"))
     out = joined.select(*df.columns, split.alias("split"))
     if agents is None:

@@ -8,12 +8,12 @@ from textloom.operators import arrays as ar
 from textloom.plans.registry import query, r6
 from textloom.session import table
 
-SMALL = "list_transform(embedding[1:8], lambda x: x::DOUBLE)"
+WHOLE = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
-def small(spark, sf, n: int = 8):
-    """First values of every vector as doubles."""
-    values = F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double"))
+def vectors(spark, sf):
+    """The vectors as doubles."""
+    values = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf, "embeddings").select("vec_id", "label", values.alias("v"))
 
 
@@ -29,11 +29,11 @@ def sql_long(expr: str, source: str = "embeddings") -> str:
 @query(
     "WN-13",
     sql="""SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i DESC) - 1)::INT AS pos, round(v, 6) + 0.0::DOUBLE AS value,
-             i::BIGINT AS other FROM (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS v, generate_subscripts(embedding[1:8], 1) - 1 AS i
+             i::BIGINT AS other FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i
              FROM embeddings)""",
 )
 def sort_arrays_by(spark, sf):
-    pairs = small(spark, sf).withColumn("other", F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>"))
+    pairs = vectors(spark, sf).withColumn("other", F.sequence(F.lit(0), F.size("v") - 1).cast("array<bigint>"))
     ordered = ar.sort_arrays_by(pairs.drop("label"), "v", "other", reverse=True)
     rows = ar.zip_features(ordered, ["v", "other"])
     return rows.select("vec_id", "pos", r6("v").alias("value"), "other")
@@ -54,22 +54,22 @@ def split_feature_rows(spark, sf):
     )
 
 
-RAGGED = "list_transform(embedding[1 : 3 + label], lambda x: x::DOUBLE)"
+RAGGED = "list_transform(embedding[1 : 48 + 4 * label], lambda x: x::DOUBLE)"
 
 
 @query(
     "SC-19",
     sql=f"""SELECT vec_id, (generate_subscripts(l, 1) - 1)::INT AS pos, round(coalesce(unnest(l), 0), 6) + 0.0::DOUBLE AS value,
-              generate_subscripts(l, 1) <= 3 + label AS mask
-            FROM (SELECT vec_id, label, list_resize({RAGGED}, 8) AS l FROM embeddings)""",
+              generate_subscripts(l, 1) <= least(64, 48 + 4 * label) AS mask
+            FROM (SELECT vec_id, label, list_resize({RAGGED}, 60) AS l FROM embeddings)""",
 )
 def pad_or_trim(spark, sf):
-    """Vectors of 3 to 12 values brought to 8, with the mask of real entries."""
-    ragged = small(spark, sf, 12).withColumn("v", F.slice("v", F.lit(1), F.col("label") + 3))
+    """Vectors of 48 to 64 values brought to 60, with the mask of real entries."""
+    ragged = vectors(spark, sf).withColumn("v", F.slice("v", F.lit(1), F.col("label") * 4 + 48))
     fixed = ragged.select(
         "vec_id",
-        ar.pad_or_trim(F.col("v"), 8, F.lit(0.0)).alias("value"),
-        ar.padding_mask(F.col("v"), 8).alias("mask"),
+        ar.pad_or_trim(F.col("v"), 60, F.lit(0.0)).alias("value"),
+        ar.padding_mask(F.col("v"), 60).alias("mask"),
     )
     rows = ar.zip_features(fixed, ["value", "mask"])
     return rows.select("vec_id", "pos", r6("value").alias("value"), "mask")
@@ -78,7 +78,7 @@ def pad_or_trim(spark, sf):
 @query(
     "SC-20",
     sql=sql_long(
-        f"""list_transform({SMALL}, lambda x: CASE WHEN x > 0.2 THEN 1.0::DOUBLE WHEN x < -0.2 THEN -1.0::DOUBLE
+        f"""list_transform({WHOLE}, lambda x: CASE WHEN x > 0.2 THEN 1.0::DOUBLE WHEN x < -0.2 THEN -1.0::DOUBLE
             WHEN abs(x) < 0.01 THEN 0.0::DOUBLE ELSE x END)"""
     ),
 )
@@ -91,24 +91,24 @@ def nan_to_num(spark, sf):
             .when(F.abs(x) < 0.01, float("nan")).otherwise(x)
         )
 
-    spoiled = small(spark, sf).withColumn("v", F.transform("v", spoil))
+    spoiled = vectors(spark, sf).withColumn("v", F.transform("v", spoil))
     return long_form(spoiled.withColumn("v", F.transform("v", ar.nan_to_num)), "v")
 
 
-@query("SC-21", sql=sql_long(f"list_transform({SMALL}, lambda x: x * 2 - 1)"))
+@query("SC-21", sql=sql_long(f"list_transform({WHOLE}, lambda x: x * 2 - 1)"))
 def rescale_features(spark, sf):
-    return long_form(small(spark, sf).withColumn("v", F.transform("v", ar.rescale)), "v")
+    return long_form(vectors(spark, sf).withColumn("v", F.transform("v", ar.rescale)), "v")
 
 
 @query(
     "SC-22",
-    sql=f"""SELECT *, 'delta' AS kind FROM ({sql_long(f"list_concat({SMALL}, list_transform(({SMALL})[2:], lambda x: x - embedding[1]::DOUBLE))")})
-            UNION ALL SELECT *, 'product' FROM ({sql_long(f"list_concat({SMALL}, list_transform(({SMALL})[2:], lambda x: x * embedding[1]::DOUBLE))")})""",
+    sql=f"""SELECT *, 'delta' AS kind FROM ({sql_long(f"list_concat({WHOLE}, list_transform(({WHOLE})[2:], lambda x: x - embedding[1]::DOUBLE))")})
+            UNION ALL SELECT *, 'product' FROM ({sql_long(f"list_concat({WHOLE}, list_transform(({WHOLE})[2:], lambda x: x * embedding[1]::DOUBLE))")})""",
 )
 def augment_layers(spark, sf):
-    vectors = small(spark, sf)
-    delta = vectors.withColumn("v", ar.augment_layers(F.col("v"), delta=True))
-    product = vectors.withColumn("v", ar.augment_layers(F.col("v"), product=True))
+    layers = vectors(spark, sf)
+    delta = layers.withColumn("v", ar.augment_layers(F.col("v"), delta=True))
+    product = layers.withColumn("v", ar.augment_layers(F.col("v"), product=True))
     return (
         long_form(delta, "v").withColumn("kind", F.lit("delta"))
         .unionByName(long_form(product, "v").withColumn("kind", F.lit("product")))
@@ -119,11 +119,11 @@ def augment_layers(spark, sf):
     "SC-23",
     sql=f"""SELECT vec_id, round(1 / (1 + exp(-v[1])), 6) AS sigmoid,
               round(exp(v[2]) / list_sum(list_transform(v, lambda x: exp(x))), 6) AS class_1,
-              (list_position(v, list_max(v)) - 1)::INT AS best FROM (SELECT vec_id, {SMALL} AS v FROM embeddings)""",
+              (list_position(v, list_max(v)) - 1)::INT AS best FROM (SELECT vec_id, {WHOLE} AS v FROM embeddings)""",
 )
 def logit_transforms(spark, sf):
-    vectors = small(spark, sf)
-    return vectors.select(
+    layers = vectors(spark, sf)
+    return layers.select(
         "vec_id",
         r6(ar.sigmoid(F.get("v", F.lit(0)))).alias("sigmoid"),
         r6(F.get(ar.softmax(F.col("v")), F.lit(1))).alias("class_1"),
@@ -157,13 +157,13 @@ def mean_pool(spark, sf):
 
 @query(
     "SC-28",
-    sql="""SELECT vec_id, i::INT AS pos, round(embedding[i + 1]::DOUBLE, 6) + 0.0::DOUBLE AS a, round(embedding[i + 9]::DOUBLE, 6) + 0.0::DOUBLE AS b
-           FROM embeddings, (SELECT unnest(range(8)) AS i)""",
+    sql="""SELECT vec_id, i::INT AS pos, round(embedding[i + 1]::DOUBLE, 6) + 0.0::DOUBLE AS a, round(embedding[i + 33]::DOUBLE, 6) + 0.0::DOUBLE AS b
+           FROM embeddings, (SELECT unnest(range(32)) AS i)""",
 )
 def zip_feature_arrays(spark, sf):
     """Cut into two pieces, merged in order again, then zipped to rows."""
     pairs = table(spark, sf, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 9, 8).alias("b")
+        "vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b")
     )
     pieces = pairs.select(
         "vec_id",
@@ -172,8 +172,8 @@ def zip_feature_arrays(spark, sf):
                 *[
                     F.struct(
                         F.lit(i).alias("piece"),
-                        F.slice("a", 4 * i + 1, 4).alias("a"),
-                        F.slice("b", 4 * i + 1, 4).alias("b"),
+                        F.slice("a", 16 * i + 1, 16).alias("a"),
+                        F.slice("b", 16 * i + 1, 16).alias("b"),
                     )
                     for i in (1, 0)
                 ]

@@ -390,12 +390,12 @@ def class_share(spark, sf):
     "AG-30",
     sql=" UNION ALL ".join(
         f"SELECT {i} AS a, {j} AS b, round(corr(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 6) AS r FROM embeddings"
-        for i in range(6)
-        for j in range(i + 1, 6)
+        for i in range(13)
+        for j in range(i + 1, 13)
     ),
 )
 def layer_correlation(spark, sf):
-    pairs = ev.layer_correlation(table(spark, sf, "embeddings"), "embedding", layers=6)
+    pairs = ev.layer_correlation(table(spark, sf, "embeddings"), "embedding", layers=13)
     return pairs.withColumn("r", r6("r"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import offset_table
+from textloom.functions.tokens import with_token_offsets
 from textloom.operators import joins
 from textloom.operators.evaluation import confusion_at
 from textloom.operators.splits import matched_ids, matched_unmatched
@@ -198,7 +198,7 @@ def span_range_overlap(spark, sf):
         F.floor(n / 3).cast("int").alias("range_start"),
         F.floor(n / 2).cast("int").alias("range_end"),
     )
-    related = joins.span_range_overlap(offset_table(docs), ranges, "doc_id")
+    related = joins.span_range_overlap(with_token_offsets(docs), ranges, "doc_id")
     return related.groupBy("doc_id").agg(
         F.count("*").alias("n_tokens"),
         F.count_if(F.col("relation") == "inside").alias("n_inside"),

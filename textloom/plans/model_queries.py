@@ -124,14 +124,14 @@ def embedding_classifier(spark, sf):
 
 @query("ML-07")
 def sequence_feature_classifier(spark, sf):
-    """The first 32 tokens' likelihoods of three orders as a flat vector."""
+    """Likelihood matrices of three orders, brought to 128 positions and flattened."""
     docs = corpus(spark, sf)
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     matrix = lm.likelihood_matrix(lm.token_likelihoods(docs)).join(labels, "doc_id")
-    vector = md.flatten_matrix(F.col("intermediate_likelihoods"), length=32, layers=3)
+    vector = md.flatten_matrix(F.col("intermediate_likelihoods"), length=128, layers=3)
     rows = matrix.select("doc_id", "label", vector.alias("features"), hash_split().alias("split"))
     train, test = train_test(rows.persist())
-    model = md.sequence_classifier(inputs=96, rounds=30).fit(train)
+    model = md.sequence_classifier(inputs=384, rounds=30).fit(train)
     return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from textloom.functions.text import split_whitespace, strip
+from textloom.functions.text import collapse_whitespace, split_whitespace, strip
 from textloom.operators import rows
 from textloom.operators.processors import Processor, batched_map, run_detector
 from textloom.operators.ranking import collect_parts, seeded_hash, with_rank
@@ -611,17 +611,18 @@ def detector_scores(spark, sf):
 
 @query(
     "UD-03",
-    sql="SELECT doc_id, least(length(text), 80)::BIGINT AS n_kept FROM documents",
+    sql=f"""SELECT doc_id, length(regexp_replace({STRIP_SQL}, '{WS_SQL}+', ' ', 'g')) AS n_kept FROM documents""",
 )
 def processor_pair(spark, sf):
-    cut = Processor(
-        pre=lambda df: df.withColumn("head", F.substring("text", 1, 80)),
-        post=lambda df: df.withColumn("n_kept", F.length("head").cast("bigint")),
+    """Pre-processing adds a normalised text, post-processing measures and drops it."""
+    tidy = Processor(
+        pre=lambda df: df.withColumn("tidy", collapse_whitespace(F.col("text"))),
+        post=lambda df: df.withColumn("n_kept", F.length("tidy").cast("bigint")),
         required=("text",),
-        added=("head",),
+        added=("tidy",),
     )
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return cut.post_process(cut.pre_process(docs)).drop("text")
+    docs = corpus(spark, sf)
+    return tidy.post_process(tidy.pre_process(docs)).drop("text")
 
 
 @query(

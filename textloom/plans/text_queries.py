@@ -267,8 +267,8 @@ TEMPLATE = "Write [LENGTH] words for [DOMAIN] dated [DATE]; again: [LENGTH]."
     "SC-26",
     sql=f"""SELECT doc_id, replace(replace(replace('{TEMPLATE}', '[LENGTH]', n::VARCHAR), '[DOMAIN]', source),
              '[DATE]', '2020') AS prompt,
-             '### START: ' || array_to_string(w[greatest(len(w) - 19, 1):], ' ') ||
-             chr(10) || chr(10) || '### END: ' || array_to_string(w[1:20], ' ') AS context
+             '### START: ' || array_to_string(w[greatest(len(w) - 1999, 1):], ' ') ||
+             chr(10) || chr(10) || '### END: ' || array_to_string(w[1:2000], ' ') AS context
            FROM (SELECT doc_id, source, n_chars AS n,
              list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents)""",
 )
@@ -277,7 +277,7 @@ def fill_prompt(spark, sf):
     return corpus(spark, sf, "n_chars", "source").select(
         "doc_id",
         tx.fill_prompt(F.lit(TEMPLATE), values).alias("prompt"),
-        tx.context_block(F.col("text"), F.col("text"), n_words=20).alias("context"),
+        tx.context_block(F.col("text"), F.col("text")).alias("context"),
     )
 
 

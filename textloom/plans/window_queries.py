@@ -92,15 +92,18 @@ def truncate_tokens(spark, sf):
     )
 
 
+# The feature length of a document is its number of tokens.
 SENTENCE_SPANS = f"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span_no, start, stop FROM (
-   SELECT doc_id, i, start, least(start + n, 512) AS stop FROM (
-     SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS start FROM (
-       SELECT doc_id, generate_subscripts(l, 1) AS i, len(regexp_extract_all(unnest(l), '{TOKEN}')) AS n
-       FROM (SELECT doc_id, {SENTENCES_SQL} AS l FROM documents))) WHERE start < 512))"""
+   SELECT doc_id, i, start, least(start + n, total) AS stop, total FROM (
+     SELECT doc_id, i, n, total, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS start FROM (
+       SELECT doc_id, total, generate_subscripts(l, 1) AS i, len(regexp_extract_all(unnest(l), '{TOKEN}')) AS n
+       FROM (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS total, {SENTENCES_SQL} AS l FROM documents)))
+   WHERE start < total))"""
 
 
 def spans(spark, sf):
-    return wn.sentence_token_spans(corpus(spark, sf), "doc_id", F.lit(512))
+    feature_len = F.size(token_list(F.col("text")))
+    return wn.sentence_token_spans(corpus(spark, sf), "doc_id", feature_len)
 
 
 @query(
