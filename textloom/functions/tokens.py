@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,26 +27,26 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def _find(texts: pd.Series) -> tuple[list, list, list]:
-    starts, ends, tokens = [], [], []
-    for text in texts:
-        found = list(_TOKEN.finditer(text))
-        starts.append([m.start() for m in found])
-        ends.append([m.end() for m in found])
-        tokens.append([m.group() for m in found])
-    return starts, ends, tokens
+def _places(found: list) -> np.ndarray:
+    return np.array([m.span() for m in found], dtype="int32").reshape(-1, 2)
 
 
 @F.pandas_udf(_FOUND)
 def _found_tokens(texts: pd.Series) -> pd.DataFrame:
-    starts, ends, tokens = _find(texts)
+    starts, ends, tokens = [], [], []
+    for text in texts:
+        found = list(_TOKEN.finditer(text))
+        places = _places(found)
+        starts.append(places[:, 0])
+        ends.append(places[:, 1])
+        tokens.append([m.group() for m in found])
     return pd.DataFrame({"start": starts, "end": ends, "token": tokens})
 
 
 @F.pandas_udf(_PLACED)
 def _token_places(texts: pd.Series) -> pd.DataFrame:
-    starts, ends, _ = _find(texts)
-    return pd.DataFrame({"start": starts, "end": ends})
+    places = [_places(list(_TOKEN.finditer(text))) for text in texts]
+    return pd.DataFrame({"start": [p[:, 0] for p in places], "end": [p[:, 1] for p in places]})
 
 
 def with_token_offsets(docs: DataFrame, text: str = "text", out: str = "offsets") -> DataFrame:

@@ -107,7 +107,8 @@ def min_max_scores(df: DataFrame, score: str) -> DataFrame:
 def mean_pool(df: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
     """(key, dim, value): masked mean per dimension.  The rows of a key are
     partially summed before the shuffle, so a hot key costs no more."""
-    spread = df.select(key, mask.cast("double").alias("m"), F.posexplode(vector).alias("dim", "x"))
+    masked = df.select(key, mask.cast("double").alias("m"), F.col(vector).alias("v"))
+    spread = masked.select(key, "m", F.posexplode("v").alias("dim", "x"))
     total = F.sum(F.col("x").cast("double") * F.col("m"))
     return spread.groupBy(key, "dim").agg(
         (total / F.greatest(F.sum("m"), F.lit(1e-9))).alias("value")

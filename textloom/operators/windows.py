@@ -35,13 +35,17 @@ def sliding_token_windows(
     if truncate is not None:
         windows = F.least(windows, F.lit((truncate - length + stride) // stride))
     rest = [c for c in df.columns if c != tokens]
-    placed = df.select(*rest, tokens, F.explode(_indices(windows)).alias("window_no"))
-    cut = placed.select(
-        *rest,
-        "window_no",
-        F.slice(tokens, F.col("window_no") * stride + 1, length).alias("input_ids"),
-        (F.col("window_no") * stride).alias("prefix_token_offset"),
+    # The slices are cut inside the row, so the rows that come out do not each
+    # carry the whole token list.
+    entries = F.transform(
+        _indices(windows),
+        lambda i: F.struct(
+            i.alias("window_no"),
+            F.slice(tokens, i * stride + 1, length).alias("input_ids"),
+            (i * stride).alias("prefix_token_offset"),
+        ),
     )
+    cut = df.select(*rest, F.inline(entries))
     first = F.col("window_no") == 0
     context = max(0, length - stride)
     return cut.withColumns(
@@ -85,22 +89,22 @@ def rolling_prefix_windows(df: DataFrame, key: str, chunks: str, length: int) ->
         key, chunks, F.transform(chunks, lambda c: F.size(token_list(c))).alias("sizes")
     )
     started = sized.withColumn("starts", _prefix_starts("sizes", F.lit(length)))
-    rows = started.select(key, chunks, "sizes", F.posexplode("starts").alias("start_chunk_idx", "s"))
-    in_prefix = F.aggregate(
-        F.slice("sizes", F.col("s") + 1, F.col("start_chunk_idx") - F.col("s")),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
-    own = F.get("sizes", F.col("start_chunk_idx"))
-    text = F.get(chunks, F.col("start_chunk_idx"))
-    return rows.where(F.size(split_whitespace(text)) > 0).select(
-        key,
-        F.col("s").alias("prefix_chunk_idx"),
-        "start_chunk_idx",
-        (F.col("start_chunk_idx") + 1).alias("end_chunk_idx"),
-        in_prefix.alias("start_token_idx"),
-        F.least(in_prefix + own, F.lit(length)).alias("length"),
-    )
+
+    def window(first: Column, own: Column) -> Column:
+        in_prefix = F.aggregate(
+            F.slice("sizes", first + 1, own - first), F.lit(0), lambda a, x: a + x
+        )
+        return F.struct(
+            first.alias("prefix_chunk_idx"),
+            own.alias("start_chunk_idx"),
+            (own + 1).alias("end_chunk_idx"),
+            in_prefix.alias("start_token_idx"),
+            F.least(in_prefix + F.get("sizes", own), F.lit(length)).alias("length"),
+            (F.size(split_whitespace(F.get(chunks, own))) == 0).alias("blank"),
+        )
+
+    rows = started.select(key, F.inline(F.transform("starts", window)))
+    return rows.where("NOT blank").drop("blank")
 
 
 def fixed_chunks(
@@ -127,13 +131,14 @@ def sentence_token_spans(
 ) -> DataFrame:
     """(key, span_no, start, end): token range of every sentence, cut at
     ``feature_len``; sentences that start beyond it are gone."""
-    counted = docs.select(
+    # Both are fixed before the rows multiply: next to a generator an expression
+    # would be evaluated for every sentence.
+    sized = docs.select(
         key,
         feature_len.alias("feature_len"),
-        F.posexplode(
-            F.transform(split_sentences(F.col(text)), lambda s: F.size(token_list(s)))
-        ).alias("sent_no", "n"),
+        F.transform(split_sentences(F.col(text)), lambda s: F.size(token_list(s))).alias("sizes"),
     )
+    counted = sized.select(key, "feature_len", F.posexplode("sizes").alias("sent_no", "n"))
     before = Window.partitionBy(key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
     spans = placed.where("start < feature_len").select(
