@@ -216,8 +216,8 @@ def sql_report() -> str:
           count(*) FILTER (y_true = 1) AS n_samples_ai FROM {SCORED} GROUP BY lang)
         JOIN cuts USING (lang) JOIN {at('', 'threshold')} a ON lang = l
         LEFT JOIN {at('_median', 'threshold_median')} b ON lang = l_median
-        JOIN {at('_mean', 'threshold_mean')} c ON lang = l_mean
-        JOIN {at('_fpr', 'threshold_fpr')} d ON lang = l_fpr
+        LEFT JOIN {at('_mean', 'threshold_mean')} c ON lang = l_mean
+        LEFT JOIN {at('_fpr', 'threshold_fpr')} d ON lang = l_fpr
         JOIN (SELECT lang AS lr, roc_auc FROM {sql_auroc(SCORED, 'lang')}) ON lang = lr"""
 
 
