@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Largest side that is ever broadcast on purpose (rows, after the check below).
 BROADCAST_ROWS = 200_000
 
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int | str = 8, **conf) -> SparkSession:
     """A local session for tests and benchmarks (a cluster brings its own)."""
@@ -29,9 +35,27 @@ def local_session(cores: int | str = 8, **conf) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker.
+
+    Functions are pickled by reference, so workers need the package, wherever
+    the driver was started.  It is sent once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # The driver serves the file as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="textloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "textloom_package"), "zip", root, "textloom"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
