@@ -65,12 +65,14 @@ def removable(piece: Column) -> Column:
 
 def _repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per document (__id, __hash) the sorted positions of chunks that occurred before."""
-    rows = (
-        with_pieces(docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text")
-        .select("__id", text_hash(F.col("__text")).alias("__hash"), F.posexplode("__pieces").alias("__at", "__piece"))
-        .where(removable(F.col("__piece")))
-        .withColumn("__key", F.xxhash64("__piece"))
+    cut = with_pieces(docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text")
+    # Judged inside the array, so that only removable chunks become rows.
+    able = F.filter(
+        F.transform("__pieces", lambda piece, at: F.struct(at.alias("__at"), piece.alias("__piece"))),
+        lambda x: removable(x["__piece"]),
     )
+    rows = cut.select("__id", text_hash(F.col("__text")).alias("__hash"), F.inline(able))
+    rows = rows.withColumn("__key", F.xxhash64("__piece"))
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__hash", "__at")
     # Grouped by the bytes, combined before the shuffle: a passage of a third of
     # all documents is one row per task.
