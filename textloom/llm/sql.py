@@ -60,9 +60,9 @@ targets AS (SELECT source, source_size, CASE WHEN total = 0 THEN 0.0 WHEN capped
     FROM tested),
 placed AS (SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
-    coalesce(sum(size) OVER (PARTITION BY source ORDER BY e / (e + 1.0::DOUBLE), doc_id NULLS FIRST, size
+    coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY e / (e + 1.0::DOUBLE), doc_id NULLS FIRST, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM keyed JOIN targets USING (source))
+    FROM keyed JOIN targets ON keyed.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
   (size * (epochs + CASE WHEN 2 * start + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM placed"""
 
