@@ -7,36 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.session import materialize
 
 
+def _to_smallest(links: DataFrame, among: DataFrame) -> DataFrame:
+    """Link every v that x sees in ``links`` (x, v), and x, to the smallest id x sees in ``among``."""
+    least = among.groupBy("x").agg(F.min("v").alias("__m")).select("x", F.least("x", "__m").alias("__m"))
+    hung = links.join(least, "x")
+    return hung.select(F.col("v").alias("x"), F.col("__m").alias("v")).unionByName(
+        hung.select("x", F.col("__m").alias("v"))
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every id in ``links`` (a, b).
 
-    Every round hangs each id on the smallest label among its neighbours and
-    then on that label's own label, so long chains shrink by halves.  All
-    groupings are combined before the shuffle, so an id with very many links is
-    one sum per task.  Every round is written to the shared folder; only the
-    number of changed ids reaches the driver.  Links to itself and repeated
-    links do no harm; without links there are no rows.
+    Links point from the larger id x to the smaller v.  Each round hangs every
+    id and what it is linked to below it on the smallest of them, then every id
+    and what is linked to it from above on the smallest id around.  Both keep
+    what is connected, and the links shrink to one per id, to its component.
+    Minima are combined before the shuffle, so an id with very many links is one
+    row per task; the joins may be split by size.  Every round is written to the
+    shared folder, and only a count and a checksum reach the driver.  Links to
+    itself and repeated links do no harm; without links there are no rows.
     """
-    pairs = links.select("a", "b").where("a <> b")
-    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    # The first hop needs no join: the smallest neighbour.
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select(
-        "id", F.least("id", "near").alias("label")
-    )
-    labels = materialize(labels, "labels")
+
+    def tidy(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.where("x > v").distinct(), "links")
+
+    now = tidy(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("v")))
+    seen = None
     while True:
-        of = labels.select(F.col("id").alias("b"), F.col("label").alias("__l"))
-        near = both.join(of, "b").groupBy(F.col("a").alias("id")).agg(F.min("__l").alias("__near"))
-        hung = labels.join(near, "id").select(
-            "id", F.least("label", "__near").alias("label"), (F.col("__near") < F.col("label")).alias("__moved")
-        )
-        # Then the label's own label, so the way to the smallest id halves.
-        own = hung.select(F.col("id").alias("__r"), F.col("label").alias("__up"))
-        jumped = hung.join(own, F.col("label") == F.col("__r"), "left").select(
-            "id", F.least("label", F.coalesce("__up", "label")).alias("label"), "__moved"
-        )
-        jumped = materialize(jumped, "labels")
-        moved = jumped.agg(F.sum(F.col("__moved").cast("int"))).first()[0]
-        labels = jumped.select("id", "label")
-        if not moved:
-            return labels.select("id", F.col("label").alias("component"))
+        below = tidy(_to_smallest(now, now))
+        around = below.unionByName(below.select(F.col("v").alias("x"), F.col("x").alias("v")))
+        now = tidy(_to_smallest(around.where("v > x"), around).unionByName(below))
+        # Links that are no longer needed go: only the smallest of an id is kept once its others are linked to it.
+        now = tidy(_to_smallest(now, now))
+        sums = now.agg(F.count("*"), F.sum(F.xxhash64("x", "v") % 1_000_003)).first()
+        if sums == seen:
+            return now.select(F.col("x").alias("id"), F.col("v").alias("component")).unionByName(
+                now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            )
+        seen = sums

@@ -12,11 +12,11 @@ band share a bucket.  A bucket does not give all its pairs:
 
 1. every member is compared with the bucket's smallest member, on whole sets;
 2. what is linked so far is joined into components, and only buckets that
-   still hold several components go on: members of different components are
-   paired, unless sizes or the similarity of both to the smallest member (the
-   Jaccard distance obeys the triangle inequality) rule a link out.
+   still hold several components go on: blocks of members meet in a task that
+   counts common shingles and returns links between components.
 
-Nothing else is left out, so no candidate pair of a bucket is lost.
+Nothing is left out but pairs whose sizes rule a link out, so no candidate pair
+of a bucket is lost, and pairs are never listed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ from textloom.session import materialize
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 PERCENT = 80
+#: Members of a bucket in a block, about.
+BLOCK_ROWS = 512
+#: Bits of the filter that keeps unwanted texts from being shuffled (2 MB of bits).
+FILTER_BITS = 1 << 24
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HALF = np.uint64(32)
@@ -149,26 +153,102 @@ def with_common(pairs: DataFrame, width: int) -> DataFrame:
     return narrow.mapInArrow(run, "a long, b long, common long, either long")
 
 
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Exact intersection and union of the shingle sets of each pair of classes (a, b).
+def _maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that a bitmap of the wanted keys lets through: all that are wanted and few others.
 
-    Only texts that occur in a pair are fetched.  The joins may be split by
-    size, so a class with very many pairs is no single task.
+    So that texts nobody asked for are not shuffled.  The bitmap has at most
+    ``FILTER_BITS`` / 64 words, whatever the input, which bounds the broadcast;
+    with more wanted keys it lets more through, and the join after it decides.
     """
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    # Written first: where few texts are wanted, the optimizer can send the list instead of moving all texts.
-    names = materialize(classes.join(wanted, "cid", "left_semi").select("cid", F.col("__hash").alias("__h")), "wanted")
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+    def word(position: Column) -> Column:
+        return F.shiftright(position, 6)
+
+    bitmap = wanted.select(word(bit).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), 64L) as int))").alias("__one"))
+    bitmap = bitmap.groupBy("__word").agg(F.bit_or("__one").alias("__bits"))
+    place = F.pmod(F.xxhash64(*keys), F.lit(64)).cast("int")
+    return (
+        rows.withColumn("__word", word(bit))
+        .join(F.broadcast(bitmap), "__word")
+        .where(F.getbit("__bits", place) == 1)
+        .drop("__word", "__bits")
+    )
+
+
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """cid and text (__t) of the wanted classes, written once."""
+    names = materialize(classes.join(ids, "cid", "left_semi").select("cid", F.col("__hash").alias("__h")), "wanted")
+    source = docs.select(F.col(key).alias("cid"), F.col(text).alias("__t")).withColumn("__h", text_hash(F.col("__t")))
     texts = (
-        docs.select(F.col(key).alias("cid"), F.col(text).alias("__t"))
-        .withColumn("__h", text_hash(F.col("__t")))
+        _maybe_in(source, names, ["cid", "__h"])
         .join(names, ["cid", "__h"], "left_semi")
         .dropDuplicates(["cid", "__h"])
         .select("cid", "__t")
     )
-    texts = materialize(texts, "texts")
+    return materialize(texts, "texts")
+
+
+def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough.
+
+    The joins may be split by size, so a class with very many pairs is no single task.
+    """
     left = texts.select(F.col("cid").alias("a"), F.col("__t").alias("__ta"))
     right = texts.select(F.col("cid").alias("b"), F.col("__t").alias("__tb"))
-    return with_common(pairs.join(right, "b").join(left, "a").select("a", "b", "__ta", "__tb"), width)
+    found = with_common(pairs.join(right, "b").join(left, "a").select("a", "b", "__ta", "__tb"), width)
+    return found.where(f"100 * common >= {percent} * either").select("a", "b")
+
+
+def links_between(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components within each bucket; members: bucket, cid, component.
+
+    Pairs are never rows.  A bucket is cut into blocks of about ``BLOCK_ROWS``
+    members, every two blocks meet in a task, and there the common shingles of
+    one member with all others are counted through an index from shingle to
+    members.  All links are found; of a member and another component one is
+    returned.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
+    own, other = F.pmod(F.xxhash64("cid"), F.col("__blocks")).cast("int"), F.col("__other")
+    dealt = (
+        members.join(sizes, "bucket")
+        .withColumn("__own", own)
+        .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+        .select("bucket", "cid", "component", "__own", F.least("__own", other).alias("__i"), F.greatest("__own", other).alias("__j"))
+    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        cids, labels, block = (table.column(c).to_numpy() for c in ("cid", "component", "__own"))
+        links: list[tuple[int, int]] = []
+        if len(np.unique(labels)) > 1:
+            numbers: dict[tuple, int] = {}
+            sets = [
+                np.array([numbers.setdefault(s, len(numbers)) for s in _shingles(t, width)], dtype=np.int64)
+                for t in table.column("__t").to_pylist()
+            ]
+            sizes_ = np.array([len(s) for s in sets])
+            holder = np.repeat(np.arange(len(sets)), sizes_)
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            holders, starts = holder[order], np.searchsorted(flat[order], np.arange(len(numbers) + 1))
+            most = np.bincount(np.unique(labels, return_inverse=True)[1]).argmax()
+            major = np.unique(labels)[most]
+            two = len(np.unique(block)) > 1
+            for y in np.flatnonzero(labels != major):  # every pair of components has a member here
+                common = np.bincount(
+                    np.concatenate([holders[starts[s] : starts[s + 1]] for s in sets[y]]), minlength=len(sets)
+                )
+                good = (100 * common >= percent * (sizes_ + sizes_[y] - common)) & (labels != labels[y])
+                if two:
+                    good &= block != block[y]
+                found = np.flatnonzero(good)
+                _, first = np.unique(labels[found], return_index=True)
+                links += [(int(cids[y]), int(cids[x])) for x in found[first]]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    with_text = dealt.join(texts.select("cid", F.col("__t").cast("binary").alias("__t")), "cid")
+    return with_text.groupBy("bucket", "__i", "__j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(
@@ -217,9 +297,9 @@ def near_duplicates(
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     star = shared.where(sizes_allow("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    compared = materialize(compare(star, classes, docs, key, text, width), "compared")
-    linked = F.expr(f"100 * common >= {percent} * either")
-    first_links = compared.where(linked).select("a", "b")
+    wanted = shared.select("cid").unionByName(shared.select(F.col("hub").alias("cid"))).distinct()
+    texts = texts_of(wanted, classes, docs, key, text)
+    first_links = materialize(linked_pairs(star, texts, width, percent), "linked")
 
     # --- rows of one id with several texts ----------------------------------
     belongs = materialize(usable.join(classes.select("__words", "cid"), "__words").drop("__words", "bands"), "belongs")
@@ -227,35 +307,15 @@ def near_duplicates(
     several = several.where("__low < __high").select("__id", "__low")
     same_id = belongs.join(several, "__id").select(F.col("__low").alias("a"), F.col("cid").alias("b")).where("a <> b")
 
-    # --- pairs of different components that are left in a bucket -------------
+    # --- what is left in buckets with several components ---------------------
     label = components(first_links)
-    to_hub = compared.select(
-        F.col("a").alias("hub"),
-        F.col("b").alias("cid"),
-        (1 - F.col("common") / F.col("either")).alias("far"),  # Jaccard distance
-    )
-    inside = (
-        shared.join(label.select(F.col("id").alias("cid"), "component"), "cid", "left")
-        .withColumn("component", F.coalesce("component", "cid"))
+    inside = shared.join(label.select(F.col("id").alias("cid"), "component"), "cid", "left").select(
+        "bucket", "cid", F.coalesce("component", "cid").alias("component")
     )
+    inside = materialize(inside, "inside")
     open_ = inside.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    left = inside.join(open_.where("__lo < __hi").select("bucket"), "bucket", "left_semi")
-    left = materialize(left.join(to_hub, ["hub", "cid"], "left"), "open")
-    x = left.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "component", "far")])
-    y = left.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "component", "far")])
-    most = 1 - percent / 100 + 1e-9
-    rest = (
-        x.join(y, "bucket")
-        .where("x_cid < y_cid AND x_component <> y_component")
-        .where(sizes_allow("x_n", "y_n"))
-        # Unknown where sizes ruled out a link to the hub: then nothing is concluded.
-        .where(F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) <= most, F.lit(True)))
-        .select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"))
-        .distinct()
-        .join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    rest = materialize(rest, "rest")
-    more_links = compare(rest, classes, docs, key, text, width).where(linked).select("a", "b")
+    left = materialize(inside.join(open_.where("__lo < __hi").select("bucket"), "bucket", "left_semi"), "open")
+    more_links = links_between(left, texts, width, percent).distinct()
 
     # --- final components ----------------------------------------------------
     so_far = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
