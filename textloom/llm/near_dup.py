@@ -284,19 +284,23 @@ def near_duplicates(
         classes.select("__words", F.col("__first.__id").alias("cid"), F.col("__first.__hash").alias("__hash"), "n", "bands"),
         "classes",
     )
-    members = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("cid", F.explode("bands").alias("bucket"))
 
     # --- every bucket's members against its smallest ------------------------
-    buckets = members.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("__hub"), F.max("cid").alias("__last"))
-    buckets = buckets.where(F.col("__hub.cid") < F.col("__last")).select(
-        "bucket", F.col("__hub.cid").alias("hub"), F.col("__hub.n").alias("hub_n")
+    buckets = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("__last"))
+    buckets = materialize(buckets.where("hub < __last").select("bucket", "hub"), "shared")
+    # Most buckets hold one class; the bitmap keeps their members from being shuffled again.
+    shared = _maybe_in(members, buckets, ["bucket"]).join(buckets, "bucket").where("cid <> hub")
+    shared = materialize(shared.select("bucket", "cid", "hub"), "buckets")
+    size = classes.select("cid", "n")
+    star = (
+        shared.select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+        .distinct()
+        .join(size.select(F.col("cid").alias("a"), F.col("n").alias("__na")), "a")
+        .join(size.select(F.col("cid").alias("b"), F.col("n").alias("__nb")), "b")
+        .where(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb"))
+        .select("a", "b")
     )
-    shared = materialize(members.join(buckets, "bucket").where("cid <> hub"), "buckets")
-
-    def sizes_allow(a: str, b: str) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    star = shared.where(sizes_allow("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     wanted = shared.select("cid").unionByName(shared.select(F.col("hub").alias("cid"))).distinct()
     texts = texts_of(wanted, classes, docs, key, text)
     first_links = materialize(linked_pairs(star, texts, width, percent), "linked")
@@ -313,8 +317,20 @@ def near_duplicates(
         "bucket", "cid", F.coalesce("component", "cid").alias("component")
     )
     inside = materialize(inside, "inside")
-    open_ = inside.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    left = materialize(inside.join(open_.where("__lo < __hi").select("bucket"), "bucket", "left_semi"), "open")
+    # The same members in several buckets are looked at once; two sums of hashes name a set of members.
+    named = (
+        inside.groupBy("bucket")
+        .agg(
+            F.min("component").alias("__lo"),
+            F.max("component").alias("__hi"),
+            F.count("*").alias("__n"),
+            F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("__s1"),
+            F.sum(F.xxhash64(F.lit(1), "cid").cast("decimal(20,0)")).alias("__s2"),
+        )
+        .where("__lo < __hi")
+    )
+    open_ = named.groupBy("__n", "__s1", "__s2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = materialize(inside.join(open_, "bucket", "left_semi"), "open")
     more_links = links_between(left, texts, width, percent).distinct()
 
     # --- final components ----------------------------------------------------
