@@ -14,15 +14,16 @@ The last three are tables counted by grouped aggregation over all rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.session import materialize
 
-#: Declared rows used for fitting per language, at most; taken in the order of a hash of the text.
+#: Declared texts used for fitting per language, about; a hash of the text chooses them.
 TRAIN_ROWS = 1_500
 BUCKETS = 1 << 15
 #: Neighbouring trigrams overlap, so their evidence is discounted; beyond this
@@ -47,13 +48,10 @@ def trigram_buckets(raw: bytes) -> np.ndarray:
     return (mixed >> np.uint32(17))[keep] % np.uint32(BUCKETS)
 
 
-def fit_text_model(samples: Sequence[tuple[str, bytes]], languages: Sequence[str]) -> np.ndarray:
-    """Log-likelihood of every bucket in every language, languages x buckets."""
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    place = {language: i for i, language in enumerate(languages)}
-    for language, raw in samples:
-        counts[place[language]] += np.bincount(trigram_buckets(raw), minlength=BUCKETS)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+def text_model(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood of every bucket in every language, from counts, languages x buckets."""
+    smooth = counts + 0.5
+    return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
 
 def text_evidence(model: np.ndarray, raw: bytes | None) -> list[float] | None:
@@ -91,17 +89,41 @@ def markup_language(html: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
-def _sample(rows: DataFrame, languages: Sequence[str], limit: int) -> list[tuple[str, bytes]]:
-    found = []
-    for language in languages:  # a fixed few; each takes a bounded number of rows
-        picked = (
-            rows.where(F.col("__declared") == language)
-            .select(F.col("__text").cast("binary").alias("__text"))
-            .orderBy(F.xxhash64("__text"), "__text")
-            .limit(limit)
+def _bucket_counts(rows: DataFrame, languages: Sequence[str], limit: int) -> np.ndarray:
+    """Trigram counts, languages x buckets, of about ``limit`` different texts per language.
+
+    A hash of the text decides who is in the sample, so copies are in or out
+    together and are then counted once.  Texts are counted where they are; a
+    task hands on at most one row per language and bucket.
+    """
+    known = rows.where(F.col("__declared").isin(*languages))
+    sizes = {r["__declared"]: r["count"] for r in known.groupBy("__declared").count().collect()}
+    if not sizes:
+        return np.zeros((len(languages), BUCKETS))
+    space = 1 << 31
+    share = F.coalesce(*[
+        F.when(F.col("__declared") == x, F.lit(min(space, limit * space // n))) for x, n in sizes.items()
+    ])
+    sample = known.where(F.pmod(F.xxhash64("__text"), F.lit(space)) < share).select("__declared", "__text")
+    sample = sample.dropDuplicates().select("__declared", F.col("__text").cast("binary").alias("__text"))
+    place = {language: i for i, language in enumerate(languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((len(place), BUCKETS), np.int64)
+        for batch in batches:
+            for language, raw in zip(batch.column(0), batch.column(1)):
+                found[place[language.as_py()]] += np.bincount(trigram_buckets(raw.as_py() or b""), minlength=BUCKETS)
+        of, bucket = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of, pa.int64()), pa.array(bucket, pa.int64()), pa.array(found[of, bucket], pa.int64())],
+            names=["language", "bucket", "n"],
         )
-        found += [(language, bytes(r[0] or b"")) for r in picked.collect()]
-    return found
+
+    summed = sample.mapInArrow(count, "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n"))
+    counts = np.zeros((len(languages), BUCKETS))
+    for language, bucket, n in summed.collect():  # bounded by languages x buckets
+        counts[language, bucket] = n
+    return counts
 
 
 def _shares(counts: DataFrame, keys: Sequence[str], languages: Sequence[str], out: str) -> DataFrame:
@@ -151,7 +173,7 @@ def identify(
             "__suffix": none if suffix is None else suffix,
         }
     )
-    model = fit_text_model(_sample(rows, languages, train_rows), languages)
+    model = text_model(_bucket_counts(rows, languages, train_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # languages x buckets, fixed size
 
     @F.pandas_udf("array<double>")
