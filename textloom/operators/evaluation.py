@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.operators.ranking import running_totals
 from textloom.session import broadcast_checked
@@ -205,93 +204,26 @@ def threshold_calibrated(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     return found.drop("n")
 
 
-class _StepSearch:
-    """State of the threshold search for one group (fixed step rule)."""
-
-    def __init__(self, start: float, target: float, epsilon: float):
-        self.threshold, self.step, self.previous = start, 0.5, None
-        self.target, self.epsilon = target, epsilon
-        self.seen: list[tuple[float, float]] = []
-        self.result: float | None = None
-
-    def feed(self, rate: float) -> None:
-        distance = self.target - rate
-        if abs(rate - self.target) <= self.epsilon:
-            self.result = self.threshold
-            return
-        self.seen.append((self.threshold, rate))
-        was_negative = self.previous is not None and self.previous < 0
-        if (distance < 0) != was_negative:
-            self.step *= -0.5
-        elif self.previous is not None and abs(distance) - abs(self.previous) > 0.01:
-            self.step *= -1
-        self.threshold += self.step
-        self.previous = distance
-        if len(self.seen) == 50:
-            self.result = self._closest()
-
-    def _closest(self) -> float:
-        gaps = [(self.target - rate, t) for t, rate in self.seen if rate > 0]
-        below = [g for g in gaps if g[0] >= 0]
-        return min(below)[1] if below else max(gaps)[1] if gaps else self.threshold
-
-    def ahead(self, depth: int) -> set[float]:
-        """Every threshold that the next steps can reach."""
-        reach, front = {self.threshold}, {(self.threshold, self.step)}
-        for _ in range(depth):
-            front = {(t + s * f, s * f) for t, s in front for f in (1, -1, -0.5)}
-            reach |= {t for t, _ in front}
-        return reach
-
-
 def threshold_at_fpr(
-    df: DataFrame,
-    groups: Sequence[str] = (),
-    target: float = 0.05,
-    epsilon: float = 0.0005,
-    less_than: bool = False,
-    depth: int = 4,
+    df: DataFrame, groups: Sequence[str] = (), target: float = 0.05, less_than: bool = False
 ) -> DataFrame:
-    """(groups, threshold_fpr): step search on the human scores.
+    """(groups, threshold_fpr): the exact cut on the human scores.
 
-    The rows are reduced to a score histogram once.  Each Spark job then
-    counts, for every group at once, the rates at all thresholds that the next
-    ``depth`` steps may visit, so 50 steps need at most 13 small aggregates.
-    Only the per-group rates reach the driver.
+    Of all scores, the one whose false positive rate is the largest that does
+    not exceed ``target``; if every rate does, the one with the smallest rate.
+    One histogram and one running total; nothing reaches the driver.
     """
-    spark = df.sparkSession
     groups = list(groups)
     human = df.where(F.col("y_true") == 0).groupBy(*groups, "y_score").agg(F.count("*").alias("c"))
-    human = human.persist()
-    start = human.groupBy(*groups).agg(
-        (F.sum(F.col("y_score") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n")
+    order = F.col("y_score").asc() if less_than else F.col("y_score").desc()
+    placed = running_totals(human, [order], {"__before": F.col("c")}, keys=groups)
+    sizes = human.groupBy(*groups).agg(F.sum("c").alias("__n"))
+    hits = F.col("__before") if less_than else F.col("__before") + F.col("c")
+    rate = hits / F.col("__n")
+    cut = F.struct(rate.alias("rate"), "y_score")
+    return on_groups(placed, sizes, groups).groupBy(*groups).agg(
+        F.coalesce(F.max(F.when(rate <= target, cut)), F.min(cut))["y_score"].alias("threshold_fpr")
     )
-    searches, sizes = {}, {}
-    for row in start.collect():
-        key = tuple(row[g] for g in groups)
-        searches[key], sizes[key] = _StepSearch(row["mean"], target, epsilon), row["n"]
-    key_type = start.select(*groups).schema
-    while True:
-        open_ = {k: s for k, s in searches.items() if s.result is None}
-        if not open_:
-            break
-        wanted = [(*k, float(t)) for k, s in open_.items() for t in s.ahead(depth)]
-        asked = spark.createDataFrame(wanted, _with_field(key_type, "t"))
-        hit = F.col("y_score") >= F.col("t")
-        hit = ~hit if less_than else hit
-        joined = on_groups(human, broadcast_checked(asked), groups)
-        rates = joined.groupBy(*groups, "t").agg(F.sum(F.when(hit, F.col("c")).otherwise(0)).alias("k"))
-        known = {(*[r[g] for g in groups], r["t"]): r["k"] for r in rates.collect()}
-        for key, search in open_.items():
-            while search.result is None and (*key, search.threshold) in known:
-                search.feed(known[(*key, search.threshold)] / sizes[key])
-    human.unpersist()
-    found = [(*k, float(s.result)) for k, s in searches.items()]
-    return spark.createDataFrame(found, _with_field(key_type, "threshold_fpr"))
-
-
-def _with_field(schema, name: str):
-    return StructType([*schema.fields, StructField(name, DoubleType())])
 
 
 def evaluation_report(df: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
@@ -302,7 +234,7 @@ def evaluation_report(df: DataFrame, groups: Sequence[str] = (), threshold: floa
     cuts = on_groups(cuts, threshold_median(df, groups), groups, "left")
     cuts = on_groups(cuts, threshold_at_fpr(df, groups), groups, "left")
     cuts = cuts.withColumn("threshold", F.lit(threshold))
-    placed = on_groups(df, broadcast_checked(cuts), groups)
+    placed = on_groups(df, cuts, groups)
     named = {"": "threshold", "_median": "threshold_median", "_mean": "threshold_mean", "_fpr": "threshold_fpr"}
     cells = [
         F.count("*").alias("n_samples"),

@@ -46,7 +46,7 @@ def merge_by_text(items: DataFrame, results: DataFrame, agent: str) -> tuple[Dat
     )
     fits = F.col("result").isNotNull() & ~F.array_contains("agents", agent)
     merged = joined.select(
-        *items.columns[:-1],
+        *[c for c in items.columns if c != "agents"],
         F.when(fits, F.array_append("agents", F.lit(agent))).otherwise(F.col("agents")).alias("agents"),
         F.when(fits, F.col("result")).alias("result"),
     )

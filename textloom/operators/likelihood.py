@@ -13,6 +13,7 @@ corpus (orders 1 to 3).  A context can be very frequent, so
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -346,16 +347,15 @@ REDUCTIONS = {
 
 
 def vector_feature(program: str) -> Column:
-    """Aggregate for a program such as ``p2 v-div p1 s-avg``: named columns
-    combined from left to right, then reduced over the document's tokens."""
-    words = program.split()
-    value = F.col(words[0])
-    for i, word in enumerate(words):
-        if word in VECTOR_OPS:
-            value = VECTOR_OPS[word](value, F.col(words[i + 1]))
-        elif word in REDUCTIONS:
-            return REDUCTIONS[word](value)
-    raise ValueError(f"no reduction in feature program {program!r}")
+    """Aggregate for a program such as ``p2 v-div p1 s-avg``: a column, any
+    number of (operation, column) pairs applied in turn, and a reduction."""
+    first, *pairs, reduction = program.split()
+    if reduction not in REDUCTIONS or len(pairs) % 2 or not set(pairs[::2]) <= set(VECTOR_OPS):
+        raise ValueError(f"not a feature program: {program!r}")
+    combined = reduce(
+        lambda value, pair: VECTOR_OPS[pair[0]](value, F.col(pair[1])), zip(pairs[::2], pairs[1::2]), F.col(first)
+    )
+    return REDUCTIONS[reduction](combined)
 
 
 def vector_features(vectors: DataFrame, key: str, programs: Sequence[str]) -> DataFrame:

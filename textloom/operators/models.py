@@ -19,8 +19,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.arrays import pad_or_trim
-from textloom.operators.evaluation import binary_metrics
-from textloom.session import broadcast_checked
+from textloom.operators.evaluation import binary_metrics, on_groups
 
 
 def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -191,7 +190,7 @@ def leave_one_domain_out(
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight``, the inverse frequency of the row's class."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    return df.join(broadcast_checked(counts), label).withColumn("weight", 1.0 / F.col("__n")).drop("__n")
+    return on_groups(df, counts, [label]).withColumn("weight", 1.0 / F.col("__n")).drop("__n")
 
 
 def early_stopped_trees(columns: Sequence[str], validation: str, rounds: int, tolerance: float = 0.01):

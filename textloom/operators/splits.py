@@ -69,7 +69,7 @@ def rank_cutoffs(hashed: DataFrame, positions: Positions, strata: Sequence[str]
 
 def _label(df: DataFrame, cutoffs: DataFrame, strata: Sequence[str]) -> DataFrame:
     if strata:
-        return df.join(broadcast_checked(materialize(cutoffs, "cutoffs")), list(strata))
+        return df.join(materialize(cutoffs, "cutoffs"), list(strata))
     return df.crossJoin(F.broadcast(cutoffs))  # exactly one row
 
 
@@ -94,14 +94,16 @@ def stratified_split(
     def n_test(n: Column) -> Column:
         return round_half_up(n * F.lit(test))
 
-    hashed = df.select(label, seeded_hash(seed, key).alias("h"))
+    # As text, so that rows without a label are a stratum like any other.
+    stratum = F.to_json(F.struct(F.col(label).alias("label")))
+    hashed = df.select(stratum.alias("__stratum"), seeded_hash(seed, key).alias("h"))
     cutoffs = rank_cutoffs(
         hashed,
         {
             "__test": n_test,
             "__eval": lambda n: n_test(n) + round_half_up((n - n_test(n)) * F.lit(eval_of_rest)),
         },
-        strata=[label],
+        strata=["__stratum"],
     )
     h = seeded_hash(seed, key)
     split = (
@@ -109,7 +111,8 @@ def stratified_split(
         .when(_before(h, F.col("__eval")), "eval")
         .otherwise("train")
     )
-    return _label(df, cutoffs, [label]).select(*df.columns, split.alias("split"))
+    labelled = _label(df.withColumn("__stratum", stratum), cutoffs, ["__stratum"])
+    return labelled.select(*df.columns, split.alias("split"))
 
 
 def matched_ids(df: DataFrame, agents: Iterable[str] | None = None) -> DataFrame:

@@ -162,19 +162,10 @@ def threshold_calibrated(spark, sf):
 
 @query(
     "AG-17",
-    sql=f"""WITH RECURSIVE h AS (SELECT y_score FROM {SCORED} WHERE y_true = 0),
-      s(i, thr, step, prev, fpr) AS (
-        SELECT 0, (SELECT avg(y_score) FROM h), 0.5::DOUBLE, NULL::DOUBLE,
-          (SELECT avg((y_score >= (SELECT avg(y_score) FROM h))::INT) FROM h)
-        UNION ALL
-        SELECT i + 1, nthr, nstep, 0.05::DOUBLE - fpr, (SELECT avg((y_score >= nthr)::INT) FROM h) FROM (
-          SELECT i, fpr, nstep, thr + nstep AS nthr FROM (SELECT i, thr, fpr,
-            CASE WHEN (0.05::DOUBLE - fpr < 0) <> coalesce(prev < 0, false) THEN step * -0.5
-                 WHEN prev IS NOT NULL AND abs(0.05::DOUBLE - fpr) - abs(prev) > 0.01 THEN -step
-                 ELSE step END AS nstep FROM s WHERE abs(fpr - 0.05::DOUBLE) > 0.0005 AND i < 49)))
-      SELECT round(coalesce((SELECT thr FROM s WHERE abs(fpr - 0.05::DOUBLE) <= 0.0005),
-        (SELECT thr FROM s WHERE fpr > 0 AND 0.05::DOUBLE - fpr >= 0 ORDER BY 0.05::DOUBLE - fpr, thr LIMIT 1),
-        (SELECT thr FROM s WHERE fpr > 0 ORDER BY 0.05::DOUBLE - fpr DESC, thr DESC LIMIT 1)), 4) AS threshold_fpr""",
+    sql=f"""WITH r AS (SELECT y_score, sum(c) OVER (ORDER BY y_score DESC)::DOUBLE / (sum(c) OVER ())::DOUBLE AS rate
+        FROM (SELECT y_score, count(*) AS c FROM {SCORED} WHERE y_true = 0 GROUP BY y_score))
+      SELECT round(coalesce(arg_max(y_score, rate) FILTER (rate <= 0.05::DOUBLE), arg_min(y_score, rate)), 4) AS threshold_fpr
+      FROM r""",
 )
 def threshold_at_fpr(spark, sf):
     cut = ev.threshold_at_fpr(scored(spark, sf))
@@ -189,25 +180,15 @@ def sql_report() -> str:
         return f"""(SELECT lang AS l{suffix}, {sql_metrics(suffix)} FROM (SELECT lang, {hits}
           FROM {SCORED} JOIN cuts USING (lang) WHERE {cut} IS NOT NULL GROUP BY lang))"""
 
-    rate = "(SELECT avg((h.y_score >= {0})::INT) FROM h WHERE h.lang = {1}.lang)"
-    return f"""WITH RECURSIVE h AS (SELECT lang, y_score FROM {SCORED} WHERE y_true = 0),
-      m AS (SELECT lang, avg(y_score) AS thr FROM h GROUP BY lang),
-      s(lang, i, thr, step, prev, fpr) AS (
-        SELECT lang, 0, thr, 0.5::DOUBLE, NULL::DOUBLE, {rate.format('m.thr', 'm')} FROM m
-        UNION ALL
-        SELECT lang, i + 1, nthr, nstep, 0.05::DOUBLE - fpr, {rate.format('q.nthr', 'q')} FROM (
-          SELECT lang, i, fpr, nstep, thr + nstep AS nthr FROM (SELECT lang, i, thr, fpr,
-            CASE WHEN (0.05::DOUBLE - fpr < 0) <> coalesce(prev < 0, false) THEN step * -0.5
-                 WHEN prev IS NOT NULL AND abs(0.05::DOUBLE - fpr) - abs(prev) > 0.01 THEN -step
-                 ELSE step END AS nstep FROM s WHERE abs(fpr - 0.05::DOUBLE) > 0.0005 AND i < 49)) q),
-      ranked AS (SELECT lang, thr, row_number() OVER (PARTITION BY lang ORDER BY
-          CASE WHEN abs(fpr - 0.05::DOUBLE) <= 0.0005 THEN 0 WHEN 0.05::DOUBLE - fpr >= 0 THEN 1 ELSE 2 END,
-          CASE WHEN 0.05::DOUBLE - fpr >= 0 THEN 0.05::DOUBLE - fpr ELSE fpr END,
-          CASE WHEN 0.05::DOUBLE - fpr >= 0 THEN thr ELSE -thr END) AS r FROM s WHERE fpr > 0),
+    return f"""WITH r AS (SELECT lang, y_score, sum(c) OVER (PARTITION BY lang ORDER BY y_score DESC)::DOUBLE
+          / (sum(c) OVER (PARTITION BY lang))::DOUBLE AS rate
+        FROM (SELECT lang, y_score, count(*) AS c FROM {SCORED} WHERE y_true = 0 GROUP BY ALL)),
+      fpr AS (SELECT lang, coalesce(arg_max(y_score, rate) FILTER (rate <= 0.05::DOUBLE), arg_min(y_score, rate)) AS thr
+        FROM r GROUP BY lang),
       cuts AS (SELECT lang, 0.5::DOUBLE AS threshold, threshold_mean, threshold_median, thr AS threshold_fpr FROM (
         SELECT lang, (avg(y_score) FILTER (y_true = 0) + avg(y_score) FILTER (y_true = 1)) / 2 AS threshold_mean,
           CASE WHEN sum(y_true) * 2 = count(*) THEN median(y_score) END AS threshold_median FROM {SCORED} GROUP BY lang)
-        LEFT JOIN (SELECT lang, thr FROM ranked WHERE r = 1) USING (lang))
+        LEFT JOIN fpr USING (lang))
       SELECT lang, n_samples, n_samples_human, n_samples_ai, round(threshold_median, 6) AS threshold_median,
         round(threshold_mean, 6) AS threshold_mean, round(threshold_fpr, 6) AS threshold_fpr,
         a.* EXCLUDE (l), b.* EXCLUDE (l_median), c.* EXCLUDE (l_mean), d.* EXCLUDE (l_fpr),

@@ -26,11 +26,13 @@ def append_many(path: str, batch: DataFrame) -> None:
     batch.write.mode("append").parquet(path)
 
 
-def update_by_key(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def update_by_key(existing: DataFrame, updates: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
     """Replace the given columns where the key matches (also by NULL); updates
-    without a match do nothing."""
-    given = [c for c in updates.columns if c != key]
-    change = updates.select(key, F.struct(*given).alias("__new"))
+    without a match do nothing.  Of several updates of one key the last by
+    ``order`` (then by value) counts."""
+    given = [c for c in updates.columns if c != key and c not in order]
+    new = F.struct(*given)
+    change = updates.groupBy(key).agg(F.max_by(new, F.struct(*order, *given)).alias("__new"))
     joined = existing.join(change, key, "left")
     matched = F.col("__new").isNotNull()
     return joined.select(

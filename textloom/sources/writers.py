@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.session import broadcast_checked, shuffle_partitions
+from textloom.operators.evaluation import on_groups
+from textloom.session import shuffle_partitions
 
 
 def write_chunked(df: DataFrame, path: str, records_per_file: int) -> None:
@@ -23,7 +24,7 @@ def by_folder(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows_pe
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_file).alias("__files"))
-    sized = df.join(broadcast_checked(sizes), keys)
+    sized = on_groups(df, sizes, keys)
     number = F.pmod(F.xxhash64(*spread), F.col("__files"))
     tasks = shuffle_partitions(df.sparkSession)
     return sized.withColumn("__file", number).repartition(tasks, *keys, "__file").drop("__files", "__file")
