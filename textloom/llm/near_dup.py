@@ -178,11 +178,13 @@ def _maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """cid and text (__t) of the wanted classes, written once."""
-    names = materialize(classes.join(ids, "cid", "left_semi").select("cid", F.col("__hash").alias("__h")), "wanted")
+    names = classes.join(ids, "cid", "left_semi").select("cid", F.col("__hash").alias("__h")).distinct()
+    names = materialize(names, "wanted")
     source = docs.select(F.col(key).alias("cid"), F.col(text).alias("__t")).withColumn("__h", text_hash(F.col("__t")))
     texts = (
         _maybe_in(source, names, ["cid", "__h"])
-        .join(names, ["cid", "__h"], "left_semi")
+        # Not a semi join: the optimizer would move that below the bitmap and shuffle every text.
+        .join(names, ["cid", "__h"])
         .dropDuplicates(["cid", "__h"])
         .select("cid", "__t")
     )
