@@ -5,6 +5,8 @@ import json
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from textloom.functions.tokens import offset_table, with_token_offsets
+from textloom.operators.arrays import trajectory_spectrum
 from textloom.operators.processors import Processor
 from textloom.session import scratch_path
 from textloom.sources import readers, store, writers
@@ -86,5 +88,55 @@ def test_repeated_micro_batch_replaces_its_folder(spark):
     df.repartition(2, "doc_id").write.parquet(inbox)
     for _ in range(2):  # a new checkpoint folder: every batch runs again
         rows_ = jobs.read_files(spark, inbox, df.schema, files_per_trigger=1)
-        jobs.stream_features(rows_, lambda b: b.withColumn("n", F.length("text")), out)
+        jobs.stream_features(rows_, lambda b: b.withColumn("n", F.length("text")), out, scratch_path(spark, "at"))
     assert rows(spark.read.parquet(out), "doc_id", "n") == [(1, 3), (2, 1)]
+
+
+def test_feature_stream_resumes(spark, tmp_path):
+    """Stop, new files, start again: every row is processed once."""
+    inbox, out, offsets = (str(tmp_path / x) for x in ("inbox", "out", "offsets"))
+    schema = "doc_id long, text string"
+    for new in ((1, "a b"), (2, "c"), (3, None)):
+        spark.createDataFrame([new], schema).coalesce(1).write.mode("append").parquet(inbox)
+        rows_ = jobs.read_files(spark, inbox, spark.read.parquet(inbox).schema)
+        jobs.stream_features(rows_, lambda b: b.withColumn("n", F.length("text")), out, offsets)
+    assert rows(spark.read.parquet(out), "doc_id", "n") == [(1, 3), (2, 1), (3, None)]
+
+
+def test_inserting_stream_resumes(spark, tmp_path):
+    inbox, kept, offsets = (str(tmp_path / x) for x in ("inbox", "kept", "offsets"))
+    df = spark.sql("SELECT 1 AS k, TIMESTAMP '2020-01-01 00:00:00' AS t")
+    df.limit(0).write.parquet(kept)
+    for sql in ("SELECT 1 AS k", "SELECT explode(array(1, 2)) AS k"):
+        spark.sql(sql).withColumn("t", F.lit("2020-01-01").cast("timestamp")).write.mode("append").parquet(inbox)
+        jobs.stream_insert_if_absent(jobs.read_files(spark, inbox, df.schema), kept, "k", "t", offsets)
+        jobs.stream_insert_if_absent(jobs.read_files(spark, inbox, df.schema), kept, "k", "t", offsets)
+    assert rows(spark.read.parquet(kept), "k") == [(1,), (2,)]
+
+
+def test_article_with_several_types_and_all_fields(spark):
+    html = ARTICLE.replace('"@type":"NewsArticle"', '"@type":["Article","NewsArticle",null]').replace(
+        '"channel":"c"', '"channel":"c","subchannel":"s","headline_social":"x","intro":"i","topics":["a","b"]'
+    )
+    one = readers.extract_articles(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert (one["date_created"], one["subchannel"], one["headline_social"]) == ("2020-01-02", "s", "x")
+    assert (one["intro"], one["topics"]) == ("i", ["a", "b"])
+
+
+def test_reports_are_named_by_file_or_folder(spark, tmp_path):
+    (tmp_path / "model=m").mkdir()
+    for name, value in (("a.json", 0.9), ("b.v2.json", 0.4), ("model=m/part-0.txt", 0.1)):
+        (tmp_path / name).write_text(json.dumps({"en": {"f1": value}}))
+    reports = readers.load_metric_reports(spark, str(tmp_path / "*.json")).unionByName(
+        readers.load_metric_reports(spark, str(tmp_path / "model=m"))
+    )
+    assert rows(reports, "model", "value") == [("a", 0.9), ("b.v2", 0.4), ("m", 0.1)]
+
+
+def test_missing_texts_and_matrices_give_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "ab c")], "doc_id long, text string")
+    assert rows(offset_table(docs)) == [(3, 0, 0, 2, "ab"), (3, 1, 3, 4, "c")]
+    assert [len(r["offsets"]) for r in with_token_offsets(docs).orderBy("doc_id").collect()] == [0, 0, 2]
+    data = [(1, None), (2, []), (3, [[1.0, 3.0], [0.0, 0.0]])]
+    spectrum = trajectory_spectrum(spark.createDataFrame(data, "k long, m array<array<double>>"), "k", "m")
+    assert rows(spectrum) == [(3, 0.5, 4.0)]

@@ -35,7 +35,7 @@ def _places(found: list) -> np.ndarray:
 def _found_tokens(texts: pd.Series) -> pd.DataFrame:
     starts, ends, tokens = [], [], []
     for text in texts:
-        found = list(_TOKEN.finditer(text))
+        found = list(_TOKEN.finditer(text or ""))
         places = _places(found)
         starts.append(places[:, 0])
         ends.append(places[:, 1])
@@ -45,13 +45,14 @@ def _found_tokens(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_PLACED)
 def _token_places(texts: pd.Series) -> pd.DataFrame:
-    places = [_places(list(_TOKEN.finditer(text))) for text in texts]
+    places = [_places(list(_TOKEN.finditer(text or ""))) for text in texts]
     return pd.DataFrame({"start": [p[:, 0] for p in places], "end": [p[:, 1] for p in places]})
 
 
 def with_token_offsets(docs: DataFrame, text: str = "text", out: str = "offsets") -> DataFrame:
     """Add the half-open character range of every token as an array of
-    (start, end); Spark's regular expression functions return no positions."""
+    (start, end); Spark's regular expression functions return no positions.
+    A NULL text has no tokens."""
     placed = docs.withColumn("__p", _token_places(F.col(text)))
     return placed.withColumn(
         out, F.arrays_zip(F.col("__p.start").alias("start"), F.col("__p.end").alias("end"))

@@ -151,14 +151,15 @@ def merge_features(df: DataFrame, key: str, order: str, columns: Sequence[str])
 
 def trajectory_spectrum(df: DataFrame, key: str, matrix: str) -> DataFrame:
     """(key, frequency, power) of the mean-over-layers series of each row,
-    without the constant part.  Row by row in Arrow batches: nothing is
-    grouped, so nothing is shuffled."""
+    without the constant part.  Only the means go to Python, in Arrow batches;
+    nothing is shuffled.  A NULL or empty matrix has no spectrum."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    series = F.transform(matrix, lambda v: F.try_divide(total(v), F.size(v)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, frequencies, powers = [], [], []
-            for k, m in zip(batch[key], batch[matrix]):
-                series = np.array([np.mean(layer, dtype="float64") for layer in m])
+            for k, series in zip(batch[key], batch["__series"]):
                 power = np.abs(np.fft.rfft(series - series.mean())) ** 2
                 keys.append(np.repeat(k, len(power) - 1))
                 frequencies.append(np.fft.rfftfreq(len(series))[1:])
@@ -173,4 +174,5 @@ def trajectory_spectrum(df: DataFrame, key: str, matrix: str) -> DataFrame:
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, matrix).mapInPandas(run, f"{key} {kind}, frequency double, power double")
+    means = df.where(F.size(matrix) > 0).select(key, series.alias("__series"))
+    return means.mapInPandas(run, f"{key} {kind}, frequency double, power double")

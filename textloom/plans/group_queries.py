@@ -46,14 +46,16 @@ def group_documents(spark, sf):
 
 @query(
     "AG-02",
-    sql=f"""SELECT id_source, count(*) AS n, string_agg(agent || ':' || id_sample, ',' ORDER BY turn) AS samples
-            FROM {SAMPLES} GROUP BY id_source HAVING count(*) >= 2""",
+    sql=f"""SELECT id_source, part, count(*) AS n, string_agg(agent || ':' || id_sample, ',' ORDER BY turn) AS samples
+            FROM (SELECT *, (row_number() OVER (PARTITION BY id_source ORDER BY turn) - 1) // 1000 AS part
+              FROM {SAMPLES}) GROUP BY id_source, part HAVING count(*) >= 2 OR part > 0""",
 )
 def paired_samples(spark, sf):
     paired = groups.paired_samples(samples(spark, sf), ["id_sample", "agent", "label", "text"])
     names = F.transform("samples", lambda s: F.concat_ws(":", s["agent"], s["id_sample"]))
     return paired.select(
         "id_source",
+        "part",
         F.size("samples").cast("bigint").alias("n"),
         F.array_join(names, ",").alias("samples"),
     )
@@ -61,12 +63,13 @@ def paired_samples(spark, sf):
 
 @query(
     "AG-03",
-    sql=f"""SELECT id_source, agent, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS text
-            FROM {SAMPLES} GROUP BY id_source, agent""",
+    sql=f"""SELECT id_source, agent, part, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS text
+            FROM (SELECT *, (row_number() OVER (PARTITION BY id_source, agent ORDER BY turn) - 1) // 1000 AS part
+              FROM {SAMPLES}) GROUP BY id_source, agent, part""",
 )
 def regroup_lines(spark, sf):
     lines = groups.regroup_lines(samples(spark, sf), ["id_source", "agent"], ["turn"], "text")
-    return lines.select("id_source", "agent", F.size("chunks").cast("bigint").alias("n"), "text")
+    return lines.select("id_source", "agent", "part", F.size("chunks").cast("bigint").alias("n"), "text")
 
 
 @query(

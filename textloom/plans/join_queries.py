@@ -38,9 +38,10 @@ def matched_unmatched_rows(spark, sf):
     "JN-03",
     sql=f"""WITH s AS (SELECT * FROM {SAMPLES}), h AS (SELECT id_source, arg_min(text, turn) AS source_text
               FROM s WHERE agent = 'human' GROUP BY id_source)
-            SELECT id_source, any_value(source_text) AS source_text, count(*) AS n,
+            SELECT id_source, part, any_value(source_text) AS source_text, count(*) AS n,
               string_agg(agent || ':' || id_sample, ',' ORDER BY turn) AS rewrites
-            FROM h JOIN (SELECT * FROM s WHERE agent <> 'human') USING (id_source) GROUP BY id_source""",
+            FROM h JOIN (SELECT *, (row_number() OVER (PARTITION BY id_source ORDER BY turn) - 1) // 1000 AS part
+              FROM s WHERE agent <> 'human') USING (id_source) GROUP BY id_source, part""",
 )
 def lookup_rewrites(spark, sf):
     turns = samples(spark, sf)
@@ -52,6 +53,7 @@ def lookup_rewrites(spark, sf):
     names = F.transform("rewrites", lambda r: F.concat_ws(":", r["agent"], r["id_sample"]))
     return listed.select(
         "id_source",
+        "part",
         "source_text",
         F.size("rewrites").cast("bigint").alias("n"),
         F.array_join(names, ",").alias("rewrites"),

@@ -262,7 +262,8 @@ def read_split_dirs(spark, sf):
 
 @query(
     "IO-21",
-    sql=f"""SELECT model, metric, max(v) FILTER (lang = 'en') AS en, max(v) FILTER (lang = 'de') AS de FROM (
+    sql=f"""SELECT model, metric, max(v) FILTER (lang = 'en') AS en, max(v) FILTER (lang = 'de') AS de,
+              max(v) FILTER (lang = 'es') AS es, max(v) FILTER (lang = 'fr') AS fr FROM (
               SELECT model, lang, 'accuracy' AS metric, round(avg(((y_score >= thr)::INT = y_true)::INT), 6) AS v
               FROM {SCORED}, (SELECT unnest(['low', 'high']) AS model, unnest([0.3, 0.7]::DOUBLE[]) AS thr)
               GROUP BY ALL UNION ALL SELECT model, lang, 'n_samples', count(*)::DOUBLE FROM {SCORED},
@@ -279,7 +280,7 @@ def load_metric_reports(spark, sf):
     report = F.map_from_entries(F.collect_list(F.struct("lang", metrics.alias("m"))))
     reports = cells.groupBy("model").agg(F.to_json(report).alias("value"))
     reports.repartition("model").write.partitionBy("model").text(path)
-    return readers.metric_table(readers.load_metric_reports(spark, path), ["en", "de"])
+    return readers.metric_table(readers.load_metric_reports(spark, path), ["en", "de", "es", "fr"])
 
 
 @query(

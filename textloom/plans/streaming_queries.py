@@ -15,18 +15,26 @@ from textloom.streaming import jobs
 
 @query(
     "SM-01",
-    sql="""SELECT doc_id, lang <> 'es' AS scored, CASE WHEN lang = 'es' THEN 'text is missing' END AS error FROM documents""",
+    sql="""SELECT doc_id, lang <> 'es' AS scored, CASE WHEN lang = 'es' THEN 'text is missing' END AS error,
+             true AS as_batch FROM documents""",
 )
 def stream_score(spark, sf):
-    """Spanish requests arrive without text and must not disturb the others."""
+    """Spanish requests arrive without text and must not disturb the others;
+    the stream's scores are those of a batch run."""
     model = md.logistic(METRICS, maxIter=20).fit(features(spark, sf))
     docs = table(spark, sf, "documents")
-    requests = jobs.read_files(spark, sf, docs.schema, "documents.parquet").select(
-        "doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("text")
-    )
+    text = F.when(F.col("lang") != "es", F.col("text")).alias("text")
+    requests = jobs.read_files(spark, sf, docs.schema, "documents.parquet").select("doc_id", text)
     out = scratch_path(spark, "scores")
-    jobs.stream_score(requests, model, out)
-    return spark.read.parquet(out).select("doc_id", F.col("y_score").isNotNull().alias("scored"), "error")
+    jobs.stream_score(requests, model, out, scratch_path(spark, "offsets"))
+    batch = jobs.score_requests(docs.select("doc_id", text), model)
+    both = spark.read.parquet(out).join(batch.select("doc_id", F.col("y_score").alias("expected")), "doc_id")
+    return both.select(
+        "doc_id",
+        F.col("y_score").isNotNull().alias("scored"),
+        "error",
+        F.col("y_score").eqNullSafe(F.col("expected")).alias("as_batch"),
+    )
 
 
 @query("SM-02", sql="SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
@@ -39,7 +47,7 @@ def stream_insert_if_absent(spark, sf):
     for part in (events, late):
         part.write.mode("append").parquet(inbox)
     rows = jobs.read_files(spark, inbox, events.schema, files_per_trigger=1)
-    jobs.stream_insert_if_absent(rows, store, "event_id", "ts")
+    jobs.stream_insert_if_absent(rows, store, "event_id", "ts", scratch_path(spark, "offsets"))
     return spark.read.parquet(store).select("event_id", "user_id", "event_type", r6("value").alias("value"))
 
 
@@ -49,5 +57,6 @@ def stream_features(spark, sf):
     inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "stats")
     docs.repartition(8, "doc_id").write.parquet(inbox)
     rows = jobs.read_files(spark, inbox, docs.schema, files_per_trigger=4)
-    jobs.stream_features(rows, lambda batch: with_text_metrics(batch).drop("text"), out)
+    offsets = scratch_path(spark, "offsets")
+    jobs.stream_features(rows, lambda batch: with_text_metrics(batch).drop("text"), out, offsets)
     return _rounded(spark.read.parquet(out))

@@ -144,8 +144,12 @@ def _entries(raw: str | None) -> str | None:
         entries = json.loads(raw) if raw else []
     except ValueError:
         return None
-    entries = entries if isinstance(entries, list) else [entries]
-    return json.dumps({e.get("@type"): e for e in entries if isinstance(e, dict)}) or None
+    by_type = {}
+    for entry in entries if isinstance(entries, list) else [entries]:
+        if isinstance(entry, dict):
+            kinds = entry.get("@type")
+            by_type.update((k, entry) for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str))
+    return json.dumps(by_type)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +191,11 @@ def extract_articles(pages: DataFrame) -> DataFrame:
         F.trim(F.regexp_replace("raw", r"\n+", "\n")).alias("text"),
         F.col("e.info.article_id").alias("id"),
         F.col("e.info.channel").alias("channel"),
+        F.col("e.info.subchannel").alias("subchannel"),
         F.col("e.info.headline").alias("headline"),
+        F.col("e.info.headline_social").alias("headline_social"),
+        F.col("e.info.intro").alias("intro"),
+        F.col("e.info.topics").alias("topics"),
         F.col("e.author").alias("author"),
         F.col("l.NewsArticle.dateCreated").alias("date_created"),
         F.col("l.NewsArticle.dateModified").alias("date_modified"),
@@ -238,9 +246,12 @@ def read_split_dirs(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
 
 def load_metric_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files ``{dataset: {metric: value}}``, one per model -> (model,
-    dataset, metric, value); the model is the file's folder or name."""
+    dataset, metric, value); the model is the file's ``model=`` folder, else
+    its name without ending."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"model=([^/]+)/", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(?:\.[^.]*)?\z", 1)
     raw = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"model=([^/]+)/", 1).alias("model"), "value"
+        F.coalesce(F.nullif(folder, F.lit("")), name).alias("model"), "value"
     )
     reports = raw.select(
         "model", F.from_json("value", "MAP<STRING, MAP<STRING, DOUBLE>>").alias("report")

@@ -1,4 +1,9 @@
-"""The online and incremental jobs as Structured Streaming queries."""
+"""The online and incremental jobs as Structured Streaming queries.
+
+Every job takes the folder of its checkpoint.  A job that is started again with
+the same folders continues after the last finished micro-batch and repeats an
+unfinished one without storing its rows twice.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.statistics import with_text_metrics
 from textloom.operators.models import scored_rows
-from textloom.session import scratch_path
 from textloom.sources.store import insert_if_absent
 
 
@@ -50,17 +54,18 @@ def score_requests(requests: DataFrame, model: Transformer) -> DataFrame:
     )
 
 
-def stream_score(requests: DataFrame, model: Transformer, out: str) -> None:
+def stream_score(requests: DataFrame, model: Transformer, out: str, checkpoint: str) -> None:
+    """Scores of all new requests, each stored once (the file sink logs its batches)."""
     run_to_end(
         score_requests(requests, model)
         .writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", scratch_path(requests.sparkSession, "offsets"))
+        .option("checkpointLocation", checkpoint)
     )
 
 
 def stream_insert_if_absent(
-    rows: DataFrame, store: str, key: str, event_time: str, delay: str = "1 hour"
+    rows: DataFrame, store: str, key: str, event_time: str, checkpoint: str, delay: str = "1 hour"
 ) -> None:
     """Insert only unseen keys.  Repeats that arrive within ``delay`` are
     dropped in bounded state; older ones meet the store itself, whose
@@ -71,22 +76,17 @@ def stream_insert_if_absent(
     def insert(batch: DataFrame, _: int) -> None:
         insert_if_absent(store, batch.drop("__time"), key, order=[event_time])
 
-    run_to_end(
-        fresh.writeStream.foreachBatch(insert).option(
-            "checkpointLocation", scratch_path(rows.sparkSession, "offsets")
-        )
-    )
+    run_to_end(fresh.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint))
 
 
-def stream_features(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str) -> None:
+def stream_features(
+    rows: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+) -> None:
     """Process micro-batches; each writes its own folder, so a repeated batch
-    replaces its earlier result."""
+    replaces its earlier result.  The checkpoint numbers the batches: ``out``
+    and ``checkpoint`` belong together."""
 
     def process(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run_to_end(
-        rows.writeStream.foreachBatch(process).option(
-            "checkpointLocation", scratch_path(rows.sparkSession, "offsets")
-        )
-    )
+    run_to_end(rows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint))
