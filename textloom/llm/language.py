@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -176,10 +175,10 @@ def identify(
     model = text_model(_bucket_counts(rows, languages, train_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # languages x buckets, fixed size
 
-    @F.pandas_udf("array<double>")
-    def evidence(raw: pd.Series) -> pd.Series:
-        weights = shared.value.astype(float)
-        return pd.Series([text_evidence(weights, None if t is None else bytes(t)) for t in raw])
+    @F.arrow_udf("array<double>")
+    def evidence(raw: pa.Array) -> pa.Array:
+        weights = shared.value.astype(float)  # one text at a time leaves the batch, so no second copy of it is held
+        return pa.array([text_evidence(weights, t.as_py()) for t in raw], pa.list_(pa.float64()))
 
     scored = rows.withColumn("__ll", evidence(F.col("__text").cast("binary")))
 
