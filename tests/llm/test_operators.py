@@ -341,6 +341,43 @@ def test_language_edges(spark, edge, nothing):
     assert language.identify(nothing, "text", queries.LANGUAGES, declared=F.col("lang")).count() == 0
 
 
+FOREIGN = {
+    "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir "
+    "qual era e cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura.",
+    "tr": "Bir varmış bir yokmuş, evvel zaman içinde kalbur saman içinde, develer tellal iken pireler berber iken, ben anamın "
+    "beşiğini tıngır mıngır sallar iken uzak bir ülkede bir padişah yaşarmış.",
+    "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "zh": "道可道,非常道。名可名,非常名。无名天地之始;有名万物之母。故常无欲,以观其妙;常有欲,以观其徼。",
+    "xx": " ".join("".join("bcdfghjklmnpqrstvwxz"[(7 * i * i + 3 * k * i + k) % 20] for k in range(3 + i % 7)) for i in range(1, 60)),
+}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_language_rejects_foreign_texts(spark, sf_dir, size):
+    """Foreign and random texts go, with the right, no or a wrong declared language; clean ones stay."""
+    docs = docs_of(spark, sf_dir.replace("sf0.001", size)).select("doc_id", "text", "lang", "source")
+    planted = [
+        (-1 - 3 * i - k, text, told, "src1")
+        for i, (lang, text) in enumerate(FOREIGN.items()) for k, told in enumerate((lang, None, "en"))
+    ]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    rows = language.identify(both, "text", queries.LANGUAGES, declared=F.col("lang"), host=F.col("source")).collect()
+    assert [r.doc_id for r in rows if r.doc_id < 0 and r["__accepted"]] == []
+    clean = [r["__accepted"] for r in rows if r.doc_id >= 0]
+    assert sum(clean) >= 0.99 * len(clean)
+
+
+def test_foreign_declaration_asks_for_a_better_fit(spark, sf_dir):
+    """A text half in German, half random passes undeclared and under a German tag, not if declared as another language."""
+    docs = docs_of(spark, sf_dir).select("doc_id", "text", "lang")
+    german = docs.where("lang = 'de'").orderBy(F.length("text").desc()).first().text[:600]
+    text = german + " " + (" ".join([FOREIGN["xx"]] * 2))[:330]
+    rows = [(-1, text, None), (-2, text, "de-AT"), (-3, text, "xx"), (-4, german, "xx")]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = language.identify(both, "text", queries.LANGUAGES, declared=F.col("lang")).where("doc_id < 0").collect()
+    assert {r.doc_id: r["__accepted"] for r in found} == {-1: True, -2: True, -3: False, -4: True}
+
+
 def test_page_evidence(spark, sf_dir):
     rows = spark.createDataFrame([("http://a.example.fr/x", '<html class="a" LANG=\'de-AT\'>'), ("https://h.net/es/1?q", "<p>"), (None, None)], "u string, h string")
     got = rows.select(language.address_host(F.col("u")), language.address_suffix(F.col("u")), language.markup_language(F.col("h"))).collect()

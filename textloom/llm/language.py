@@ -10,6 +10,11 @@
   domain and that towards the whole corpus.
 
 The last three are tables counted by grouped aggregation over all rows.
+
+None of them says that a text is in one of the languages at all.  That is
+decided against evenly spread trigrams: how far the texts of a language lie
+above them is measured on one half of the sample by the model of the other, and
+a text that stays below a share of that way in every language is rejected.
 """
 
 from __future__ import annotations
@@ -31,6 +36,11 @@ DISCOUNT, FULL_TRIGRAMS = 0.1, 2_000
 #: Pseudo-rows of the parent in a child's prior, and of a uniform table in the rest.
 HOST_ROWS, TABLE_ROWS = 20.0, 2.0
 MIN_POSTERIOR = 0.5
+#: Log-likelihood of a trigram if all buckets are equally likely.
+EVEN = -float(np.log(BUCKETS))
+#: Share of the way from EVEN to what is usual for a language that a text must reach, the second
+#: if its declared language is none of the known; standard errors by which short texts may miss it.
+LEAST_FITS, SLACK = (0.5, 0.75), 2.0
 
 
 def trigram_buckets(raw: bytes) -> np.ndarray:
@@ -53,14 +63,47 @@ def text_model(counts: np.ndarray) -> np.ndarray:
     return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
 
-def text_evidence(model: np.ndarray, raw: bytes | None) -> list[float] | None:
-    """Discounted log-likelihood per language over the whole text, the best being 0; None without a letter."""
+def usual_fit(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per language how far a trigram lies above EVEN on average, and its deviation.
+
+    From counts, halves x languages x buckets: each half is measured by the
+    model of the other.  -inf for a language without texts.
+    """
+    counts = halves.sum(axis=2).sum(axis=0)
+    models = [text_model(half) for half in halves[::-1]]
+    size = np.maximum(counts, 1.0)
+    mean = sum((half * model).sum(axis=1) for half, model in zip(halves, models)) / size
+    square = sum((half * model**2).sum(axis=1) for half, model in zip(halves, models)) / size
+    above = np.where(counts > 0, np.maximum(mean - EVEN, 0.0), -np.inf)
+    return above, np.sqrt(np.maximum(square - mean**2, 0.0))
+
+
+def text_margins(mean: np.ndarray, n: int, above: np.ndarray, deviation: np.ndarray) -> list[float]:
+    """For each of LEAST_FITS by how much a text passes it in the language that suits it best.
+
+    ``mean`` has the log-likelihood per trigram and language, ``n`` is the number of trigrams.
+    """
+    known = np.isfinite(above)
+    if not known.any():
+        return [0.0] * len(LEAST_FITS)  # nothing learned, nothing to reject by
+    way = mean[known] - EVEN + SLACK * deviation[known] / np.sqrt(n)
+    return [float((way - share * above[known]).max()) for share in LEAST_FITS]
+
+
+def text_evidence(
+    model: np.ndarray, raw: bytes | None, above: np.ndarray, deviation: np.ndarray
+) -> list[float] | None:
+    """Discounted log-likelihood per language over the whole text, the best being 0, then the margins of the text.
+
+    None without a letter.
+    """
     buckets = trigram_buckets(raw or b"")
     if not len(buckets):
         return None
     total = model[:, buckets].sum(axis=1)
+    margins = text_margins(total / len(buckets), len(buckets), above, deviation)
     total *= DISCOUNT * min(1.0, FULL_TRIGRAMS / len(buckets))
-    return (total - total.max()).tolist()
+    return (total - total.max()).tolist() + margins
 
 
 def address_host(url: Column) -> Column:
@@ -89,39 +132,41 @@ def markup_language(html: Column) -> Column:
 
 
 def _bucket_counts(rows: DataFrame, languages: Sequence[str], limit: int) -> np.ndarray:
-    """Trigram counts, languages x buckets, of about ``limit`` different texts per language.
+    """Trigram counts, halves x languages x buckets, of about ``limit`` different texts per language.
 
-    A hash of the text decides who is in the sample, so copies are in or out
-    together and are then counted once.  Texts are counted where they are; a
-    task hands on at most one row per language and bucket.
+    A hash of the text decides who is in the sample and in which half, so copies
+    are in or out together and are then counted once.  Texts are counted where
+    they are; a task hands on at most one row per half, language and bucket.
     """
     known = rows.where(F.col("__declared").isin(*languages))
     sizes = {r["__declared"]: r["count"] for r in known.groupBy("__declared").count().collect()}
     if not sizes:
-        return np.zeros((len(languages), BUCKETS))
+        return np.zeros((2, len(languages), BUCKETS))
     space = 1 << 31
     share = F.coalesce(*[
         F.when(F.col("__declared") == x, F.lit(min(space, limit * space // n))) for x, n in sizes.items()
     ])
     sample = known.where(F.pmod(F.xxhash64("__text"), F.lit(space)) < share).select("__declared", "__text")
-    sample = sample.dropDuplicates().select("__declared", F.col("__text").cast("binary").alias("__text"))
+    half = F.shiftright(F.xxhash64("__text"), 40).bitwiseAND(1).cast("long")  # not a bit that chose the sample
+    sample = sample.dropDuplicates().select("__declared", F.col("__text").cast("binary").alias("__text"), half.alias("__half"))
     place = {language: i for i, language in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((len(place), BUCKETS), np.int64)
+        found = np.zeros((2, len(place), BUCKETS), np.int64)
         for batch in batches:
-            for language, raw in zip(batch.column(0), batch.column(1)):
-                found[place[language.as_py()]] += np.bincount(trigram_buckets(raw.as_py() or b""), minlength=BUCKETS)
-        of, bucket = np.nonzero(found)
+            for language, raw, half in zip(*batch.columns):
+                of = place[language.as_py()]
+                found[half.as_py(), of] += np.bincount(trigram_buckets(raw.as_py() or b""), minlength=BUCKETS)
+        at = np.nonzero(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(of, pa.int64()), pa.array(bucket, pa.int64()), pa.array(found[of, bucket], pa.int64())],
-            names=["language", "bucket", "n"],
+            [pa.array(x, pa.int64()) for x in (*at, found[at])], names=["half", "language", "bucket", "n"]
         )
 
-    summed = sample.mapInArrow(count, "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n"))
-    counts = np.zeros((len(languages), BUCKETS))
-    for language, bucket, n in summed.collect():  # bounded by languages x buckets
-        counts[language, bucket] = n
+    rows = sample.mapInArrow(count, "half long, language long, bucket long, n long")
+    counts = np.zeros((2, len(languages), BUCKETS))
+    # Bounded by halves x languages x buckets.
+    for half, language, bucket, n in rows.groupBy("half", "language", "bucket").agg(F.sum("n")).collect():
+        counts[half, language, bucket] = n
     return counts
 
 
@@ -152,12 +197,13 @@ def identify(
     """All columns of ``docs`` with __lang, __posterior and __accepted.
 
     __lang is the likeliest language, __posterior its probability after all
-    evidence, and __accepted says that the text has letters and the probability
-    reaches ``min_posterior``.  Null evidence says nothing; a null, empty or
+    evidence, and __accepted says that the text has letters, is like the declared
+    texts of one of the languages at all, and the probability reaches
+    ``min_posterior``.  Null evidence says nothing; a null, empty or
     letterless text is judged by the rest and not accepted.  Ties go to the
     earlier language.  Declared values outside ``languages`` are kept as
-    evidence but not learned from.  Without any declared row the text says
-    nothing.  Rows are neither merged nor lost; an empty table gives no rows.
+    evidence but not learned from, and the text must then fit better to be
+    accepted.  Without any declared row the text says nothing.  Rows are neither merged nor lost; an empty table gives no rows.
 
     The corpus is read for the sample, once for the counts and once for the
     result; texts are not shuffled unless the host table is too large to send.
@@ -172,18 +218,20 @@ def identify(
             "__suffix": none if suffix is None else suffix,
         }
     )
-    model = text_model(_bucket_counts(rows, languages, train_rows))
+    halves = _bucket_counts(rows, languages, train_rows)
+    model = text_model(halves.sum(axis=0))
+    usual = usual_fit(halves)
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # languages x buckets, fixed size
 
     @F.arrow_udf("array<double>")
     def evidence(raw: pa.Array) -> pa.Array:
         weights = shared.value.astype(float)  # one text at a time leaves the batch, so no second copy of it is held
-        return pa.array([text_evidence(weights, t.as_py()) for t in raw], pa.list_(pa.float64()))
+        return pa.array([text_evidence(weights, t.as_py(), *usual) for t in raw], pa.list_(pa.float64()))
 
     scored = rows.withColumn("__ll", evidence(F.col("__text").cast("binary")))
 
     # --- what the corpus says, as sums of text posteriors -------------------
-    sharp = F.transform("__ll", lambda x: F.exp(x))
+    sharp = F.transform(F.slice("__ll", 1, n), lambda x: F.exp(x))
     posterior = F.transform(sharp, lambda x: x / F.aggregate(sharp, F.lit(0.0), lambda a, b: a + b))
     seen = (
         scored.select("__declared", "__suffix", "__host", "__ll")
@@ -241,9 +289,12 @@ def identify(
     weight = F.aggregate("__log", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     at = F.array_position("__log", best)
     names = F.array(*[F.lit(x) for x in languages])
+    # The first part of a tag such as en-GB names the language.
+    foreign = ~F.regexp_extract(F.lower("__declared"), r"\A([^_-]*)", 1).isin([x.lower() for x in languages])
+    margin = F.when(foreign, F.col("__ll")[n + 1]).otherwise(F.col("__ll")[n])
     return fused.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.get(names, (at - 1).cast("int")).alias("__lang"),
         (F.lit(1.0) / weight).alias("__posterior"),
-        (F.col("__ll").isNotNull() & (F.lit(1.0) / weight >= min_posterior)).alias("__accepted"),
+        (F.col("__ll").isNotNull() & (margin >= 0) & (F.lit(1.0) / weight >= min_posterior)).alias("__accepted"),
     )
