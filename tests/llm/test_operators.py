@@ -188,6 +188,50 @@ def test_line_dedup_is_shift_resistant(spark):
     assert len(left) <= 20 and "an own line" in got[2].text and got[3].text == "\n\n\n"
 
 
+def plain_passages(rows):
+    """Texts after remove_passages; ids are unique and not null."""
+    first, texts = {}, {}
+    for key, text in sorted((r for r in rows if r[1] is not None)):
+        lines = text.split("\n")
+        filled = [i for i, line in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", line)]
+        units = [(i, j, (lines[i], lines[j])) for i, j in zip(filled, filled[1:])]
+        units += [(i, i, lines[i]) for i in filled if len(re.findall(r"[^\x20\x09-\x0D]+", lines[i])) >= 50]
+        gone = set()
+        for i, j, unit in sorted(units, key=lambda u: u[0]):
+            before = first.setdefault(unit, (key, i, j))
+            if before[:2] != (key, i):
+                gone.update(range(i + (before[0] == key and before[2] == i), j + 1))
+        texts[key] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    return texts
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 5, 10])
+def test_short_passages_go_whole(spark, size):
+    """Passages of a few short lines in different surroundings."""
+    rows, planted = [], []
+    for i in range(20):
+        passage = [f"menu {size} {i} {k}" for k in range(size)]
+        for k in range(3):
+            around = [[f"own {i} {k} {side} {j}" for j in range(1 + (i + 2 * k + side) % 4)] for side in (0, 1)]
+            planted.append((3 * i + k, "\n".join(around[0] + around[1])))
+            rows.append((3 * i + k, "\n".join(around[0] + passage + around[1])))
+    got = line_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.text == (rows if r.doc_id % 3 == 0 else planted)[r.doc_id][1]
+        assert r["__n_removed"] == (0 if r.doc_id % 3 == 0 else size)
+
+
+def test_passages_equal_plain_python(spark, sf_dir, edge, nothing):
+    rows = [(r.doc_id, r.text) for r in docs_of(spark, sf_dir).collect()]
+    rows += [(-1, "a\na\na\na"), (-2, "x\n\ny"), (-3, "x\ny\nz\n"), (-4, "q\r\n\n\nx\n \ny\n\nz"), (-5, ""), (-6, "\n"), (-7, None), (-8, PARAGRAPH), (-9, "é\n" + PARAGRAPH)]
+    got = line_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got if r.text is not None} == plain_passages(rows) and len(got) == len(rows)
+    assert by_id(got)[-1][0].text == "a\na"
+    assert {r.text for r in queries.passage_dedup(spark, sf_dir).collect()} <= {*plain_passages(rows[:-9]).values(), None}
+    assert line_dedup.remove_passages(edge).count() == edge.count() and line_dedup.remove_passages(nothing).count() == 0
+    assert [r["size"] for r in line_dedup.remove_passages(edge).collect()] == ["size"] * edge.count()
+
+
 # --- 4 quality rules -----------------------------------------------------------
 
 

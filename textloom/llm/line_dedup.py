@@ -8,6 +8,10 @@ of its own.  Chunks of several lines, and such paragraphs, that occur again
 anywhere are removed, but for the first occurrence; what is equal is decided by
 the bytes.
 
+``remove_passages`` does without chunks: every two neighbouring lines are
+compared, so a passage goes from its first to its last line, however short its
+lines are and whatever stands around it.
+
 DataFrame functions only.
 """
 
@@ -90,6 +94,17 @@ def _repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return again.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("__at")).alias("__again"))
 
 
+def _flags(again: str, pieces: str) -> Column:
+    """'1' for a piece that stays, '0' for one that goes, one character each, from the sorted places of the latter."""
+    gap = F.transform(
+        again,
+        lambda at, k: F.concat(
+            F.repeat(F.lit("1"), at - F.when(k == 0, F.lit(0)).otherwise(F.get(again, k - 1) + 1)), F.lit("0")
+        ),
+    )
+    return F.split(F.rpad(F.array_join(gap, ""), F.size(pieces), "1"), "")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without repeated chunks, and __n_chunks, __n_removed.
 
@@ -108,14 +123,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         again, F.col(f"`{key}`").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left"
     )
     cut = with_pieces(joined, text)
-    # '1' for a chunk that stays, '0' for one that goes, one character each.
-    gap = F.transform(
-        "__again",
-        lambda at, k: F.concat(
-            F.repeat(F.lit("1"), at - F.when(k == 0, F.lit(0)).otherwise(F.get("__again", k - 1) + 1)), F.lit("0")
-        ),
-    )
-    flags = F.split(F.rpad(F.array_join(gap, ""), F.size("__pieces"), "1"), "")
+    flags = _flags("__again", "__pieces")
     # Zipped, not looked up inside a lambda: the flags are then made once per text.
     kept = F.zip_with(
         "__pieces", flags, lambda piece, flag: F.when(flag == "1", F.replace(piece, F.lit(_CONTINUE), F.lit("\n")))
@@ -127,3 +135,77 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.coalesce(F.size("__pieces"), F.lit(0)).cast("bigint").alias("__n_chunks"),
         F.coalesce(F.size("__again"), F.lit(0)).cast("bigint").alias("__n_removed"),
     )
+
+
+def _line_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per document (__id, __hash) its pairs of neighbouring lines and its long lines: first and last line, digest."""
+    lines = F.filter(
+        F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
+        lambda x: x["line"].rlike(WORD),
+    )
+    rows = docs.select(
+        F.col(f"`{key}`").alias("__id"), text_hash(F.col(f"`{text}`")).alias("__hash"), lines.alias("__lines")
+    )
+
+    def unit(first: Column, last: Column, piece: Column) -> Column:
+        digest = F.unhex(F.sha2(piece.cast("binary"), 256))
+        return F.struct(first.alias("__at"), last.alias("__to"), digest.alias("__key"))
+
+    # Line by line with the one after; the last line has none.
+    after = F.slice("__lines", F.lit(2), F.size("__lines"))
+    pairs = F.zip_with(
+        "__lines", after, lambda x, y: F.when(y.isNotNull(), unit(x["i"], y["i"], F.concat_ws("\n", x["line"], y["line"])))
+    )
+    long_lines = F.transform(
+        F.filter("__lines", lambda x: (F.length(x["line"]) >= 2 * LONG_WORDS - 1) & (F.regexp_count(x["line"], F.lit(WORD)) >= LONG_WORDS)),
+        lambda x: unit(x["i"], x["i"], x["line"]),
+    )
+    return rows.select("__id", "__hash", F.inline(F.filter(F.concat(pairs, long_lines), lambda x: x.isNotNull())))
+
+
+def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the text without repeated passages, and __n_lines, __n_removed.
+
+    A passage is two or more neighbouring lines with words, blank lines between
+    them left out of account, or one line of ``LONG_WORDS`` words.  Whatever was
+    there before, by id (null last), text and place, goes with the blank lines
+    inside it; of a pair that overlaps its own first occurrence only the second
+    line.  Every line that goes is still there at an earlier place.  Lines are
+    compared by their SHA-256.  Rows that agree in id and text count as one
+    document; null texts stay null with 0 lines.  Rows are neither merged nor lost.
+    """
+    body = F.col(f"`{text}`")
+    place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__hash", "__at")
+    units = materialize(_line_pairs(docs, key, text), "line-pairs")
+    # Combined before the shuffle: a passage of a third of all documents is one row per task.
+    repeated = (
+        units.groupBy("__key")
+        .agg(F.count("*").alias("__n"), F.min(F.struct(place.alias("place"), F.col("__to").alias("to"))).alias("__first"))
+        .where("__n > 1")
+        .select("__key", F.col("__first.place").alias("__first"), F.col("__first.to").alias("__first_to"))
+    )
+    again = units.withColumn("__place", place).join(repeated, "__key").where(F.col("__place") != F.col("__first"))
+    overlaps = (
+        F.col("__id").eqNullSafe(F.col("__first.__id"))
+        & (F.col("__hash") == F.col("__first.__hash"))
+        & (F.col("__at") == F.col("__first_to"))
+    )
+    gone = again.select(
+        F.col("__id").alias("__i"),
+        F.col("__hash").alias("__h"),
+        F.explode(F.sequence(F.col("__at") + overlaps.cast("int"), "__to")).alias("__line"),
+    )
+    # Bounded by the lines of one document.
+    gone = gone.groupBy("__i", "__h").agg(F.sort_array(F.collect_set("__line")).alias("__again"))
+    cut = (
+        docs.withColumn("__hash", text_hash(body))
+        .join(gone, F.col(f"`{key}`").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
+        .withColumn("__lines", F.split(body, "\n", -1))
+    )
+    kept = F.zip_with("__lines", _flags("__again", "__lines"), lambda line, flag: F.when(flag == "1", line))
+    new_text = F.when(F.col("__again").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    return cut.select(
+        *[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("__n_lines"),
+        F.coalesce(F.size("__again"), F.lit(0)).cast("bigint").alias("__n_removed"),
+    )

@@ -60,6 +60,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("__n_chunks").alias("n_chunks"), F.col("__n_removed").alias("n_removed"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages from their first to their last line; the cut of op3_line_dedup is that of its SQL check."""
+    found = line_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return entries.select(
@@ -157,5 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_url_rules,
         op10_quality_model,
         page_languages,
+        passage_dedup,
     )
 }
