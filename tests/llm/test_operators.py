@@ -496,6 +496,26 @@ def test_checksums_and_context(spark):
     assert clean[1].text is None
 
 
+def test_account_number_before_a_word(spark):
+    """What follows after a blank, a word, a number or another account number, is not part of an account number."""
+    spaced, plain, short = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO9386011117947"
+    texts = {
+        f"{spaced} I said": [spaced],
+        f"{plain} BIC COBADEFF": [plain],
+        f"{plain} 2024 invoice": [plain],
+        f"{spaced} GB82 WEST 1234 5698 7654 32": [spaced, "GB82 WEST 1234 5698 7654 32"],
+        f"{short} {short} 7": [short, short],
+        f"AB12 REFERENCE {spaced} A": [spaced],
+        f"{plain}A": [],
+        "DE88370400440532013000 BIC": [],
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S X": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in pii.find_personal_data(docs).collect():
+        found = [(s["value"], r.text[s["start"] : s["end"]]) for s in r["__spans"] if s["kind"] == "iban"]
+        assert found == [(x, x) for x in texts[r.text]], r.text
+
+
 # --- 9 url rules ---------------------------------------------------------------
 
 
