@@ -25,6 +25,13 @@ def test_models_give_rates(spark, sf_dir, name):
             assert not isinstance(value, float) or 0.0 <= value <= 3.0
 
 
+def test_every_language_is_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL")
+    found = QUERIES["leave_one_domain_out"](spark, sf_dir).select("domain", "setting").collect()
+    wanted = [(r.lang, setting) for r in docs.select("lang").distinct().collect() for setting in ("in_domain", "others")]
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
 def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES)
     assert all(COVERAGE[name] for name in QUERIES)
