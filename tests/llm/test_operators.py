@@ -385,6 +385,16 @@ def test_language_edges(spark, edge, nothing):
     assert language.identify(nothing, "text", queries.LANGUAGES, declared=F.col("lang")).count() == 0
 
 
+def test_host_without_parent_is_smoothed_once(spark, sf_dir):
+    """Ten texts in each of two languages on two hosts; a row without text has the prior of its host."""
+    docs = docs_of(spark, sf_dir).where("n_chars > 500").select("doc_id", "text", "lang")
+    rows = [(*r, host) for lang, host in (("fr", "h"), ("en", "g")) for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(10).collect()]
+    both = spark.createDataFrame([*rows, (-1, None, None, "h")], "doc_id long, text string, lang string, source string")
+    found = language.identify(both, "text", queries.LANGUAGES, declared=F.col("lang"), host=F.col("source")).where("doc_id = -1").first()
+    everywhere = (10 + 2 / 4) / (20 + 2)
+    assert found["__lang"] == "fr" and abs(found["__posterior"] - (10 + 20 * everywhere) / 30) < 0.01
+
+
 FOREIGN = {
     "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir "
     "qual era e cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura.",

@@ -254,14 +254,22 @@ def identify(
         size = sum((F.col(f"__c{i}") for i in range(n)), F.lit(0.0))
         return F.array(*[(F.col(f"__c{i}") + HOST_ROWS * p) / (size + HOST_ROWS) for i, p in enumerate(prior)])
 
-    parents = counted(["__parent"]).select(
-        F.col("__parent").alias("__up"), smoothed([F.lit(float(p)) for p in everywhere]).alias("__prior_up")
+    # The only host of a parent that is the host itself has one level above it, so that its rows count once.
+    alone = (F.col("__parent") == F.min("__host")) & (F.min("__host") == F.max("__host"))
+    sums = [F.sum(F.col("__n")[i]).alias(f"__c{i}") for i in range(n)]
+    parents = seen.groupBy("__parent").agg(*sums, alone.alias("__alone")).select(
+        "__alone", F.col("__parent").alias("__up"), smoothed([F.lit(float(p)) for p in everywhere]).alias("__prior_up")
     )
     hosts = (
         counted(["__host", "__parent"])
         .where(F.col("__host").isNotNull())
         .join(parents, F.col("__parent") == F.col("__up"))
-        .select(F.col("__host").alias("__h"), smoothed([F.col("__prior_up")[i] for i in range(n)]).alias("__prior"))
+        .select(
+            F.col("__host").alias("__h"),
+            F.when(F.col("__alone"), F.col("__prior_up"))
+            .otherwise(smoothed([F.col("__prior_up")[i] for i in range(n)]))
+            .alias("__prior"),
+        )
     )
     by_declared = _shares(seen.where("__declared IS NOT NULL"), ["__declared"], languages, "__of_declared")
     by_suffix = _shares(seen.where("__suffix IS NOT NULL"), ["__suffix"], languages, "__of_suffix")
