@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import (
+    collocations,
     language,
     line_dedup,
     mixing,
@@ -17,6 +18,8 @@ from textloom.llm import (
     quality_model,
     quality_rules,
     sentencepiece_bpe,
+    sharding,
+    spelling,
     url_rules,
 )
 from textloom.llm.sql import ORACLES  # noqa: F401
@@ -149,6 +152,25 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Regions, racks a region and shards a rack of the 24 shards.
+SHARD_TREE = sharding.Tree.even(3, 2, 4)
+
+
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_TREE)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard", "region", "rack"
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), noise=spelling.NOISE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -162,6 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_url_rules,
         op10_quality_model,
+        op11_shards,
+        op12_collocations,
+        op13_spelling_variants,
         page_languages,
         passage_dedup,
     )
