@@ -284,6 +284,22 @@ def test_mixing_edges(spark, edge, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+@pytest.mark.parametrize("same_id", [True, False])
+def test_mixing_counts_equal_rows(spark, same_id, tmp_path):
+    """Of a thousand equal rows, or of rows without an id, as many are taken as fit."""
+    rows = [(1 if same_id else None, "ten words are in this text of the hot row", "hot")] * 1000
+    rows += [(None, f"another text number {i % 40}", "other") for i in range(900)] + [(i, "x " * (i % 9), None) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA).repartition(7)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    con, sql = sql_over(table, queries.ORACLES["op5_mixing"])
+    got = mixing.mix_sources(table, weights=(5, 2, 1), keep=["doc_id", "source"])
+    taken = {r["source"]: r for r in got.groupBy("source").agg(F.sum("__taken").alias("n"), F.max("__target").alias("t"), F.max("__size").alias("s")).collect()}
+    assert all(abs(r["n"] - r["t"]) <= r["s"] for r in taken.values())
+    names = got.drop("source").toDF("doc_id", "size", "source_size", "target", "taken")
+    assert oracle.compare(names, con, sql) is None
+
+
 def test_mixing_reaches_targets(spark, sf_dir):
     rows = queries.op5_mixing(spark, sf_dir).collect()
     sources = {r.doc_id: r.source for r in docs_of(spark, sf_dir).collect()}

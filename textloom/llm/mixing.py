@@ -10,7 +10,8 @@ up to the rest of the budget.
 No source is sorted in one task.  Keys are counted in cells; the cell that
 holds the end of the budget is found by running totals over at most
 ``CELLS`` cells of a source, cut into cells once more, and only the documents
-of that small cell are put in order.
+of that small cell are put in order.  Equal rows have equal keys; they are counted,
+and as many of them are drawn as fit.
 """
 
 from __future__ import annotations
@@ -37,9 +38,13 @@ def symbol_quality(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.25), F.lit(1.0) - share)
 
 
-def sampling_position(seed: int, key: Column, quality: Column) -> Column:
-    """The exponential key e = -ln(u) / quality as e / (1 + e), in (0, 1); u comes from a hash of the key."""
-    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 12), 16, 10)
+def sampling_position(seed: int, key: Column, text: Column, quality: Column) -> Column:
+    """The exponential key e = -ln(u) / quality as e / (1 + e), in (0, 1); u comes from a hash of key and text.
+
+    With the text, so that documents without a key, or that share one, are drawn independently.
+    """
+    name = F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.md5(text.cast("binary")))
+    digits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10)
     u = (digits.cast("double") + 0.5) / float(16**12)
     e = -F.log(u) / quality
     return e / (e + 1.0)
@@ -94,7 +99,7 @@ def _boundary(rows: DataFrame, plan: DataFrame, cell: Column) -> DataFrame:
 def plan_mix(rows: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
     """Per source: sizes, target, whole epochs and where the drawn rest ends.
 
-    ``rows`` has __source, __id, size and __x and is read several times.
+    ``rows`` has __source, __id, size, __x and __row and is read several times.
     """
     sizes = materialize(rows.groupBy("__source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(sizes, weights, max_epochs)
@@ -117,26 +122,52 @@ def plan_mix(rows: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
         end.select(F.col("__source").alias("__s"), "__cell", "__first", "__rest"),
         F.col("__source").eqNullSafe(F.col("__s")) & (fine == F.col("__cell")),
     )
+    # Equal rows are one row with a count, combined before the shuffle.
+    last = last.groupBy("__source", "__cell", "__first", "__rest", "__x", "__id", "size").agg(F.count("*").alias("__n"))
     before = (
         Window.partitionBy("__source").orderBy("__x", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
-    start = F.col("__first") + F.coalesce(F.sum("size").over(before), F.lit(0))
+    start = F.col("__first") + F.coalesce(F.sum(F.col("size") * F.col("__n")).over(before), F.lit(0))
     # A document counts if its middle lies within the budget: at most half a document off.
-    drawn = last.withColumn("__in", 2 * start + F.col("size") <= 2 * F.col("__rest"))
-    cut = drawn.groupBy(F.col("__source").alias("__s")).agg(
-        F.max("__cell").alias("__cell"), F.max(F.when(F.col("__in"), F.struct("__x", "__id", "size"))).alias("__cut")
-    )
-    return materialize(
+    fit = F.floor((2 * (F.col("__rest") - start) - F.col("size")) / (2 * F.col("size"))) + 1
+    drawn = last.withColumn("__copies", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("__n"), fit)))
+    best = F.max(F.when(F.col("__copies") > 0, F.struct("__x", "__id", "size", "__copies", "__n")))
+    cut = drawn.groupBy(F.col("__source").alias("__s")).agg(F.max("__cell").alias("__cell"), best.alias("__last"))
+    cut = materialize(
         targets.join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").select(
             "__source",
             F.col("source_size").alias("__source_size"),
             F.col("target").alias("__target"),
             "__epochs",
             "__cell",
-            "__cut",
+            F.when(F.col("__last").isNotNull(), F.struct("__last.__x", "__last.__id", "__last.size")).alias("__cut"),
+            F.when(F.col("__last.__copies") < F.col("__last.__n"), F.col("__last.__copies")).alias("__copies"),
         ),
-        "mix",
+        "cut",
     )
+    upto = last_copies(rows, cut).select(F.col("__source").alias("__s"), "__upto")
+    return materialize(cut.join(upto, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__copies"), "mix")
+
+
+def last_copies(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """__source and __upto: the __row of the last copy drawn, for sources of which not all copies at the cut are drawn.
+
+    Copies are counted per task that read them; only those of the task in which the last one lies are put in order.
+    """
+    some = cut.where(F.col("__copies").isNotNull()).select(F.col("__source").alias("__s"), "__cut", "__copies")
+    tied = rows.join(
+        some,
+        F.col("__source").eqNullSafe(F.col("__s")) & F.struct("__x", "__id", "size").eqNullSafe(F.col("__cut")),
+    ).select("__source", "__copies", "__row", F.shiftright("__row", 33).alias("__task"))
+    counts = tied.groupBy("__source", "__copies", "__task").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = (F.col("__start") < F.col("__copies")) & (F.col("__copies") <= F.col("__start") + F.col("__n"))
+    starts = starts.where(inside).select(F.col("__source").alias("__s"), F.col("__task").alias("__t"), "__start")
+    order = Window.partitionBy("__source").orderBy("__row")
+    found = tied.join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__t")))
+    found = found.withColumn("__number", F.col("__start") + F.row_number().over(order))
+    return found.where("__number = __copies").select("__source", F.col("__row").alias("__upto"))
 
 
 def mix_sources(
@@ -155,23 +186,26 @@ def mix_sources(
     counted: a multiple of its size, at most ``max_epochs`` times.  A document
     without words (null or empty text) takes 0.  Documents without a source form
     a source of their own, the last.  Reruns agree; rows equal in source, id and
-    size are interchangeable, and null ids come first among equal keys.  An
-    empty table gives no rows.  Input columns may have any name that does not
-    start with two underscores.
+    text are interchangeable: as many of them are drawn as the budget allows.  They
+    are told apart by their place in the input, so ``docs`` should be a table, not
+    the result of a shuffle.  An empty table gives no rows.  Input columns may have
+    any name that does not start with two underscores.
     """
     body = F.col(f"`{text}`")
-    with_size = docs.withColumn("__words", word_count(body))
-    position = sampling_position(seed, F.col(f"`{key}`"), symbol_quality(body, F.col("__words")))
+    with_size = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", word_count(body))
+    position = sampling_position(seed, F.col(f"`{key}`"), body, symbol_quality(body, F.col("__words")))
     names = list(keep if keep is not None else docs.columns)
     keyed = with_size.withColumn("__x", position)
     narrow = keyed.select(
-        F.col(f"`{source}`").alias("__source"), F.col(f"`{key}`").alias("__id"), F.col("__words").alias("size"), "__x"
+        F.col(f"`{source}`").alias("__source"), F.col(f"`{key}`").alias("__id"), F.col("__words").alias("size"), "__x", "__row"
     )
     plan = plan_mix(materialize(narrow, "keys"), weights, max_epochs)
 
     fine = F.floor(F.col("__x") * (CELLS * CELLS))
     order = F.struct(F.col("__x"), F.col(f"`{key}`").alias("__id"), F.col("__words").alias("size"))
-    drawn = (fine < F.col("__cell")) | ((fine == F.col("__cell")) & (order <= F.col("__cut")))
+    upto = F.coalesce(F.col("__row") <= F.col("__upto"), F.lit(True))
+    at_cut = (fine == F.col("__cell")) & ((order < F.col("__cut")) | ((order <= F.col("__cut")) & upto))
+    drawn = (fine < F.col("__cell")) | at_cut
     copies = F.col("__epochs") + F.coalesce(drawn, F.lit(False)).cast("bigint")
     joined = keyed.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
     return joined.select(

@@ -128,7 +128,7 @@ def row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("bigint")
 
 
-def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: key, size, text_crc32, region, rack, shard, slot, grown_shard.
 
     The key and the tree alone decide the shard; slot numbers the rows of a shard
@@ -140,7 +140,7 @@ def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
     at, whatever their names.
 
     Equal rows are counted before the shuffle, so copies that make up a third of
-    all rows are one row per task, and are written out in blocks of ``BLOCK``.  A
+    all rows are one row per task, and are written out in blocks of ``block``.  A
     shard is numbered in ``CELLS`` ranges of the hash, never in one task.
     """
     body = F.col(f"`{text}`")
@@ -170,10 +170,10 @@ def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
         "__slot", F.col("__start") + F.coalesce(F.sum("__n").over(before), F.lit(0))
     )
     # Copies become blocks, blocks are dealt out, then become rows.
-    blocks = numbered.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / BLOCK))))
+    blocks = numbered.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / block))))
     dealt = blocks.repartition("__order", "__block")
-    last = F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1
-    copies = dealt.withColumn("__copy", F.explode(F.sequence(F.col("__block") * BLOCK, last)))
+    last = F.least(F.col("__n"), (F.col("__block") + 1) * block) - 1
+    copies = dealt.withColumn("__copy", F.explode(F.sequence(F.col("__block") * block, last)))
     return copies.select(
         F.col("__key").alias(key),
         "size",
