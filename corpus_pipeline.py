@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import language, line_dedup, mixing, near_dup, queries, sentencepiece_bpe
-from textloom.llm.common import text_hash
 from textloom.session import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,22 +22,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; n_chars follows the text."""
-    found = line_dedup.remove_repeats(docs)
+    """Repeated passages go from their first to their last line; n_chars follows the text.
+
+    Chunks cut by a rolling hash miss the ends of a passage and most passages of
+    two to five lines, so every two neighbouring lines are compared instead.
+    """
+    found = line_dedup.remove_passages(docs)
     length = F.when(F.col("__n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8).
+    """One row of each group of near-duplicates stays (five words, similarity 0.8).
 
-    Rows that repeat its id and text are the same document and stay as well.
+    Rows are compared by their texts alone: rows that share an id are not linked for
+    that, and copies go also when they carry the same id.  Texts without words stay.
     """
-    found = near_dup.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).distinct()
-    match = (F.col("doc_id") == F.col("__i")) & (F.col("__hash") == F.col("__h"))
-    kept = docs.withColumn("__hash", text_hash(F.col("text"))).join(gone, match, "left_anti")
-    return kept.select(*docs.columns)
+    # Written with their numbers, so that a row keeps its number if a task runs again.
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(rows, key="__row")
+    gone = found.where("NOT kept").select(F.col("__id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
