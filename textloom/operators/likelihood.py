@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.tokens import token_list
+from textloom.operators.backoff import PAD, padded_counts, padded_ngrams
 from textloom.operators.ranking import (
     DIRECT_ROWS,
     first_per_group,
@@ -115,34 +116,37 @@ def _look_up(
     return salted_lookup(rows, model, gram_columns(order), "c", spread, how, sizes=counts)
 
 
+def trigram_likelihoods(counts: DataFrame) -> DataFrame:
+    """p1, p2, p3 for distinct n-grams (w1, w2, w3, c) whose last token has one before it.
+
+    ``counts`` is written and counts every token once, with ``PAD`` before the
+    first, so the shorter orders follow from it.  w1 is ``PAD`` and p3 NULL for the
+    second token of a text.
+    """
+    some = counts.where(F.col("w2") != PAD)
+    singles = materialize(counts.groupBy(F.col("w3").alias("w1")).agg(F.sum("c").alias("c")), "ngrams1")
+    pairs = materialize(some.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("c").alias("c")), "ngrams2")
+    followed = pairs.groupBy("w2").agg(F.count("*").alias("__n"))
+    shares = ngram_model(singles, 1).select(F.col("w1").alias("w2"), F.col("p").alias("p1"))
+    shares = materialize(shares.join(followed, "w2"), "lookup")
+    lower = salted_lookup(
+        ngram_model(pairs, 2).select("w1", "w2", F.col("p").alias("p2")), shares, ["w2"], "__n", ["w1"], sizes=shares
+    ).select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "p1", "p2")
+    whole = ngram_model(materialize(some.where(F.col("w1") != PAD), "ngrams3"), 3).select("w1", "w2", "w3", "c", F.col("p").alias("p3"))
+    first = some.where(F.col("w1") == PAD).select("w1", "w2", "w3", "c", F.lit(None).cast("double").alias("p3"))
+    return whole.unionByName(first).join(lower, ["w2", "w3"])
+
+
 def token_likelihoods(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, p1, p2, p3) for every token but the first, which no context
-    precedes; p3 starts one position later.  Long form of the matrix."""
-    tokens = docs.select(key, token_list(F.col("text")).alias("t"))
-    positions = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: i < F.size("t")
-    )
-    entry = F.transform(
-        positions,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.when(i > 1, F.get("t", i - 2)).alias("x1"),
-            F.get("t", i - 1).alias("x2"),
-            F.get("t", i).alias("x3"),
-        ),
-    )
-    rows = tokens.select(key, F.inline(entry))
-    for order in ORDERS:
-        counts = train(docs, order)
-        names = [f"x{4 - order + j}" for j in range(order)]
-        renamed = dict(zip(gram_columns(order), names))
-        model = ngram_model(counts, order).select(
-            *[F.col(g).alias(x) for g, x in renamed.items()], "c", F.col("p").alias(f"p{order}")
-        )
-        rows = salted_lookup(
-            rows, model, names, "c", [key, "pos"], "left", sizes=counts.withColumnsRenamed(renamed)
-        ).drop("c")
-    return rows.select(key, "pos", *[f"p{o}" for o in ORDERS])
+    precedes; p3 starts one position later.  Long form of the matrix.
+
+    The tokens are shuffled twice: once to count the distinct n-grams, which get
+    the probabilities of all orders, and once to fetch them."""
+    scored = materialize(trigram_likelihoods(materialize(padded_counts(docs, 3), "padded")), "likelihoods")
+    rows = padded_ngrams(docs, 3, key).where("pos >= 1")
+    found = salted_lookup(rows, scored, gram_columns(3), "c", [key, "pos"], sizes=scored)
+    return found.select(key, "pos", *[f"p{o}" for o in ORDERS])
 
 
 def likelihood_matrix(likelihoods: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions.patterns import TOKEN
+from textloom.operators import backoff
 from textloom.operators import likelihood as lm
 from textloom.plans.registry import corpus, query, r6
 
@@ -197,3 +198,63 @@ def vector_feature_program(spark, sf):
     vectors = lm.token_likelihoods(corpus(spark, sf))
     features = lm.vector_features(vectors, "doc_id", PROGRAMS)
     return features.select("doc_id", *[r6(f"f{i}").alias(f"f{i}") for i in range(4)])
+
+
+# --- back-off model on texts it was not fitted on ------------------------------------
+
+def _discounts(table: str) -> str:
+    """Discounts of the counts 1, 2 and more, per fold, from how many n-grams have the counts 1 to 4."""
+
+    def of(k: int) -> str:
+        share = f"{k} - {k + 1} * (n1 / (n1 + 2.0::DOUBLE * n2)) * n{k + 1} / n{k}"
+        return f"CASE WHEN n{k} > 0 AND n1 > 0 THEN least(greatest({share}, 0.0::DOUBLE), {k}.0::DOUBLE) ELSE 0.0::DOUBLE END AS d{k}"
+
+    counts = ", ".join(f"(count(*) FILTER (c = {i}))::DOUBLE AS n{i}" for i in (1, 2, 3, 4))
+    return f"SELECT f, {of(1)}, {of(2)}, {of(3)} FROM (SELECT f, {counts} FROM {table} GROUP BY f)"
+
+
+_LESS = "CASE {c} WHEN 1 THEN {d}.d1 WHEN 2 THEN {d}.d2 ELSE {d}.d3 END"
+
+
+def _contexts(table: str, context: str) -> str:
+    kinds = "any_value(d1) * count(*) FILTER (c = 1) + any_value(d2) * count(*) FILTER (c = 2) + any_value(d3) * count(*) FILTER (c > 2)"
+    return f"SELECT f{context}, sum(c)::DOUBLE AS total, ({kinds}) / sum(c)::DOUBLE AS gamma, count(*) AS known FROM {table} JOIN d{table[1]} USING (f) GROUP BY f{context}"
+
+
+def _own(order: int) -> str:
+    c, d = f"c{order}.c", f"d{order}"
+    return f"coalesce(({c} - {_LESS.format(c=c, d=d)}) / x{order}.total, 0.0::DOUBLE)"
+
+
+BACKOFF = f"""WITH l AS (SELECT doc_id, (substr(md5(doc_id::VARCHAR), 1, 1) < '8')::INT AS fold,
+     regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents),
+   g AS (SELECT doc_id, fold, i, CASE WHEN i > 2 THEN t[i - 2] ELSE '' END AS a, CASE WHEN i > 1 THEN t[i - 1] ELSE '' END AS b,
+     t[i] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM l)),
+   c3 AS (SELECT 1 - fold AS f, a, b, w, count(*) AS c FROM g GROUP BY ALL),
+   c2 AS (SELECT f, b, w, count(*) AS c FROM c3 GROUP BY ALL), c1 AS (SELECT f, w, count(*) AS c FROM c2 GROUP BY ALL),
+   d3 AS ({_discounts('c3')}), d2 AS ({_discounts('c2')}), d1 AS ({_discounts('c1')}),
+   x3 AS ({_contexts('c3', ', a, b')}), x2 AS ({_contexts('c2', ', b')}), x1 AS ({_contexts('c1', '')}),
+   p AS (SELECT doc_id, {_own(1)} + x1.gamma / (x1.known + 1) AS p1, {_own(2)} AS o2, coalesce(x2.gamma, 1.0::DOUBLE) AS g2,
+       {_own(3)} AS o3, coalesce(x3.gamma, 1.0::DOUBLE) AS g3
+     FROM g JOIN d1 ON d1.f = fold JOIN d2 ON d2.f = fold JOIN d3 ON d3.f = fold JOIN x1 ON x1.f = fold
+       LEFT JOIN c1 ON c1.f = fold AND c1.w = g.w LEFT JOIN c2 ON c2.f = fold AND c2.b = g.b AND c2.w = g.w
+       LEFT JOIN c3 ON c3.f = fold AND c3.a = g.a AND c3.b = g.b AND c3.w = g.w
+       LEFT JOIN x2 ON x2.f = fold AND x2.b = g.b LEFT JOIN x3 ON x3.f = fold AND x3.a = g.a AND x3.b = g.b)"""
+
+
+@query(
+    "LM-02",
+    "LM-08",
+    sql=f"""{BACKOFF} SELECT doc_id, count(*) AS n, round(avg(-ln(p1)), 6) + 0.0::DOUBLE AS nll_1,
+              round(avg(-ln(o2 + g2 * p1)), 6) + 0.0::DOUBLE AS nll_2, round(avg(-ln(o3 + g3 * (o2 + g2 * p1))), 6) + 0.0::DOUBLE AS nll_3,
+              round(median(-ln(o3 + g3 * (o2 + g2 * p1))), 6) + 0.0::DOUBLE AS median_nll FROM p GROUP BY doc_id""",
+)
+def held_out_perplexity(spark, sf):
+    """Every document under the back-off model of the other half of the documents."""
+    fold = (F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "8").cast("int")
+    scored = backoff.cross_fitted(corpus(spark, sf), fold, (0, 1))
+    return scored.groupBy("doc_id").agg(
+        F.count("*").alias("n"),
+        *[r6(F.avg(-F.ln(f"p{k}"))).alias(f"nll_{k}") for k in lm.ORDERS],
+        r6(F.percentile(-F.ln("p3"), 0.5)).alias("median_nll"),
+    )
