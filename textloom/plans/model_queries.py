@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from textloom.functions.statistics import METRICS, with_text_metrics
-from textloom.operators import evaluation as ev, likelihood as lm, models as md
+from textloom.operators import boosting, convolution as cv, epochs, evaluation as ev, likelihood as lm, models as md
 from textloom.operators.splits import with_part
 from textloom.plans.registry import corpus, query, r6
 from textloom.plans.row_queries import hash_split
@@ -108,6 +108,17 @@ def boosted_trees_multiclass(spark, sf):
     return found.groupBy("label", "y_pred").agg(F.count("*").alias("n"))
 
 
+@query("ML-05")
+def softmax_boosting(spark, sf):
+    """Three classes in one model; the loss is the mean -ln of the probability of the true class."""
+    rows = features(spark, sf).withColumn("label", F.col("label") + F.col("toxic"))
+    train, test = train_test(rows)
+    model = boosting.fit_softmax_trees(train, METRICS, classes=3, rounds=30, depth=3, rate=0.2, bins=32)
+    found = model.transform(test.select("label", *METRICS))
+    loss = -F.ln(F.element_at("y_proba", F.col("label").cast("int") + 1))
+    return found.groupBy("label", "y_pred").agg(F.count("*").alias("n"), r6(F.avg(loss)).alias("loss"))
+
+
 @query("ML-06")
 def embedding_classifier(spark, sf):
     rows = md.embedding_vectors(table(spark, sf, "embeddings"), "embedding")
@@ -135,6 +146,20 @@ def sequence_feature_classifier(spark, sf):
     return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
 
 
+@query("ML-07")
+def sequence_convolution(spark, sf):
+    """Kernels over the whole likelihood matrices of any length, then a linear model."""
+    likelihoods = materialize(lm.token_likelihoods(corpus(spark, sf)), "likelihoods")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    matrix = lm.likelihood_matrix(likelihoods).join(labels, "doc_id").withColumn("split", hash_split())
+    moments = cv.layer_moments(likelihoods, [f"p{o}" for o in lm.ORDERS])
+    kernels = cv.with_pooled_kernels(matrix, "intermediate_likelihoods", *moments)
+    rows = materialize(kernels.withColumn("raw_features", array_to_vector("kernels")).drop("kernels"), "kernels")
+    train, test = train_test(rows)
+    model = md.embedding_classifier(maxIter=30, regParam=0.01).fit(train)
+    return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
+
+
 @query("ML-08")
 def cross_validate(spark, sf):
     rows = with_part(features(spark, sf), "doc_id", 3, out="fold")
@@ -190,6 +215,16 @@ def early_stop(spark, sf):
     return rounded(metrics.withColumn("rounds", F.lit(model.stages[-1].getNumTrees)), "rounds")
 
 
+@query("ML-12")
+def patient_training(spark, sf):
+    """Loss of every epoch; the best one is kept when the evaluation loss has stopped to fall."""
+    rows = md.standardize(features(spark, sf).withColumn("held", F.col("split") == "eval"), METRICS)
+    train = materialize(rows.where("split <> 'test'").select("label", "held", *METRICS), "train")
+    found = epochs.train_with_patience(train, METRICS, "label", "held", epochs=60, patience=3, rate=0.3)
+    trace = spark.createDataFrame(found.trace, "epoch int, train_loss double, eval_loss double")
+    return rounded(trace.withColumn("best", F.col("epoch") == found.best_epoch), "epoch", "best")
+
+
 @query("ML-13")
 def save_load_model(spark, sf):
     """Scores of the stored model next to those of the fitted one."""

@@ -91,7 +91,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._textloom_path = path
+    return written
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
+    path = getattr(table, "_textloom_path", None)
+    if path is not None:
+        session = table.sparkSession
+        target = session._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
