@@ -57,14 +57,15 @@ class Training:
 
 
 def losses(df: DataFrame, columns: Sequence[str], label: str, held: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per part (train, evaluation): (rows, loss); and the gradient of the train loss; sums over all rows.
+    """Of each row of ``weights``, one model each: (rows, loss) of the parts train and evaluation, gradient of the train loss.
 
-    The last weight is the intercept.  Rows without a label or with a missing value count with the value 0.
+    Sums over all rows, for all models in one pass.  The last weight is the
+    intercept.  Rows with a missing value count with the value 0.
     """
-    width = len(columns)
+    width, models = len(columns), len(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(4 + width + 1)
+        sums = np.zeros((models, 4 + width + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -72,21 +73,42 @@ def losses(df: DataFrame, columns: Sequence[str], label: str, held: str, weights
             x = np.nan_to_num(x.astype(np.float64))
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             evaluated = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            z = x @ weights
+            z = weights @ x.T
             loss = np.logaddexp(0.0, z) - y * z
             error = np.where(evaluated, 0.0, 1.0 / (1.0 + np.exp(-z)) - y)
-            sums[:4] += (~evaluated).sum(), loss[~evaluated].sum(), evaluated.sum(), loss[evaluated].sum()
-            sums[4:] += error @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["i", "v"])
+            sums[:, 0] += (~evaluated).sum()
+            sums[:, 1] += loss[:, ~evaluated].sum(axis=1)
+            sums[:, 2] += evaluated.sum()
+            sums[:, 3] += loss[:, evaluated].sum(axis=1)
+            sums[:, 4:] += error @ x
+        flat = sums.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
 
     values = [F.col(c).cast("double") for c in columns]
     rows = df.select(F.col(label).cast("double").alias("__y"), F.col(held).alias("__e"), *values)
-    # One row per weight and task, combined before the shuffle.
+    # One row per weight, model and task, combined before the shuffle.
     found = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    sums = np.zeros(4 + width + 1)
+    sums = np.zeros(models * (4 + width + 1))
     for row in found:
         sums[row["i"]] = row["v"]
-    return sums[:4].reshape(2, 2), sums[4:]
+    sums = sums.reshape(models, -1)
+    return sums[:, :4].reshape(models, 2, 2), sums[:, 4:]
+
+
+def advance(state: Training, sums: np.ndarray, gradient: np.ndarray, rate: float, l2: float) -> None:
+    """One epoch: note the losses of the weights before the step, then take the step."""
+    train, evaluation = (float(loss / n) if n else float("nan") for n, loss in sums)
+    decisive = train if np.isnan(evaluation) else evaluation
+    epoch = len(state.trace) + 1
+    state.trace.append((epoch, train, evaluation))
+    if decisive < state.best_loss:
+        state.best, state.best_epoch, state.best_loss = state.weights, epoch, decisive
+    weights = np.array(state.weights)
+    step = gradient / max(sums[0, 0], 1.0) + l2 * np.append(weights[:-1], 0.0)
+    moment = DECAY * np.array(state.moment) + (1 - DECAY) * step
+    squares = DECAY_SQUARES * np.array(state.squares) + (1 - DECAY_SQUARES) * step**2
+    shift = (moment / (1 - DECAY**epoch)) / (np.sqrt(squares / (1 - DECAY_SQUARES**epoch)) + LEAST_DIVISOR)
+    state.weights, state.moment, state.squares = (weights - rate * shift).tolist(), moment.tolist(), squares.tolist()
 
 
 def train_with_patience(
@@ -107,21 +129,8 @@ def train_with_patience(
     spark = df.sparkSession
     state = (Training.load(spark, path) if path else None) or Training.start(len(columns) + 1)
     while len(state.trace) < epochs and len(state.trace) - state.best_epoch <= patience:
-        weights = np.array(state.weights)
-        sums, gradient = losses(df, columns, label, held, weights)
-        train, evaluation = (float(loss / n) if n else float("nan") for n, loss in sums)
-        decisive = train if np.isnan(evaluation) else evaluation
-        epoch = len(state.trace) + 1
-        state.trace.append((epoch, train, evaluation))
-        # The losses are those of the weights before the step.
-        if decisive < state.best_loss:
-            state.best, state.best_epoch, state.best_loss = state.weights, epoch, decisive
-        penalty = l2 * np.append(weights[:-1], 0.0)
-        step = gradient / max(sums[0, 0], 1.0) + penalty
-        moment = DECAY * np.array(state.moment) + (1 - DECAY) * step
-        squares = DECAY_SQUARES * np.array(state.squares) + (1 - DECAY_SQUARES) * step**2
-        shift = (moment / (1 - DECAY**epoch)) / (np.sqrt(squares / (1 - DECAY_SQUARES**epoch)) + LEAST_DIVISOR)
-        state.weights, state.moment, state.squares = (weights - rate * shift).tolist(), moment.tolist(), squares.tolist()
+        sums, gradients = losses(df, columns, label, held, np.array([state.weights]))
+        advance(state, sums[0], gradients[0], rate, l2)
         if path:
             state.save(spark, path)
     return state

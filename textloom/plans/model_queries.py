@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from textloom.functions.statistics import METRICS, with_text_metrics
-from textloom.operators import boosting, convolution as cv, epochs, evaluation as ev, likelihood as lm, models as md
+from textloom.operators import boosting, convolution as cv, epochs, evaluation as ev, likelihood as lm, models as md, search
 from textloom.operators.splits import with_part
 from textloom.plans.registry import corpus, query, r6
 from textloom.plans.row_queries import hash_split
@@ -180,6 +180,18 @@ def hyperparameter_search(spark, sf):
     return spark.createDataFrame(trials, "reg double, elastic double, f1 double")
 
 
+@query("ML-09")
+def adaptive_search(spark, sf):
+    """Fifty trials of learning rate and penalty; every rung is a few passes for all its trials."""
+    rows = md.standardize(features(spark, sf).withColumn("held", F.col("split") == "eval"), METRICS)
+    train = materialize(rows.where("split <> 'test'").select("label", "held", *METRICS), "train")
+    space = {"rate": search.Range(0.003, 1.0, log=True), "l2": search.Range(1e-6, 0.1, log=True)}
+    objective = search.logistic_objective(train, METRICS, "label", "held")
+    done = search.search(spark, space, objective, trials=50, bracket=10, path=scratch_path(spark, "trials"))
+    rows = [(t.trial, t.rung, t.budget, t.params["rate"], t.params["l2"], t.score) for t in done]
+    return rounded(spark.createDataFrame(rows, "trial int, rung int, budget int, rate double, l2 double, score double"), "trial", "rung", "budget")
+
+
 @query("ML-10")
 def leave_one_domain_out(spark, sf):
     rows = features(spark, sf).withColumn("held_out", F.col("split") == "test")
