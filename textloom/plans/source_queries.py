@@ -3,6 +3,8 @@ by the reader under test and compared with the table itself."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Window, functions as F
 
 from textloom.operators.evaluation import confusion_at
@@ -10,7 +12,7 @@ from textloom.operators.ranking import collect_parts
 from textloom.plans.registry import SAMPLES, SCORED, corpus, query, r6, samples, scored
 from textloom.plans.row_queries import SPLIT_SQL, hash_split
 from textloom.session import scratch_path, table
-from textloom.sources import readers, store, writers
+from textloom.sources import committed, readers, store, writers
 
 
 def documents(spark, sf, *columns):
@@ -294,3 +296,21 @@ def write_predictions(spark, sf):
     scores = scored(spark, sf).select(F.col("doc_id").alias("id"), F.col("y_score").alias("score"))
     writers.write_predictions(writers.fill_predictions(template, scores, decimals=3), path)
     return spark.read.schema("id BIGINT, score DOUBLE").json(path)
+
+
+@query(
+    "IO-10",
+    "IO-13",
+    sql="SELECT 'json' AS form, count(*) AS n, count(*) AS read_back, true AS dated FROM documents",
+)
+def committed_export(spark, sf):
+    """Documents through the committing sink: totals and time of its manifest, and the rows that it names."""
+    docs = corpus(spark, sf, "lang", "source")
+    path = scratch_path(spark, "committed")
+    started = datetime.now(timezone.utc)
+    committed.write_committed(docs, path)
+    back = committed.read_committed(spark, path, docs.schema).agg(F.count_distinct("doc_id").alias("read_back"))
+    found = committed.manifests(spark, path).select(
+        "form", F.col("rows").alias("n"), (F.col("collected_at") >= F.lit(started)).alias("dated")
+    )
+    return found.crossJoin(F.broadcast(back)).select("form", "n", "read_back", "dated")  # one row each

@@ -10,7 +10,7 @@ from textloom.plans.model_queries import features
 from textloom.plans.registry import query, r6
 from textloom.plans.text_queries import _per_document, _rounded
 from textloom.session import scratch_path, table
-from textloom.streaming import jobs
+from textloom.streaming import jobs, keyed_state
 
 
 @query(
@@ -60,3 +60,15 @@ def stream_features(spark, sf):
     offsets = scratch_path(spark, "offsets")
     jobs.stream_features(rows, lambda batch: with_text_metrics(batch).drop("text"), out, offsets)
     return _rounded(spark.read.parquet(out))
+
+
+@query("SM-02", sql="SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def stream_first_by_key(spark, sf):
+    """Every event arrives three times, up to a day apart; the state alone tells which are new."""
+    events = table(spark, sf, "events")
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "events")
+    for hours in (0, 2, 24):
+        events.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {hours} HOUR")).write.mode("append").parquet(inbox)
+    rows = jobs.read_files(spark, inbox, events.schema, files_per_trigger=1)
+    keyed_state.insert_first_by_key(rows, out, "event_id", "ts", scratch_path(spark, "offsets"))
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", r6("value").alias("value"))
