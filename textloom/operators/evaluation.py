@@ -7,8 +7,10 @@ distinct scores, then uses ``running_totals``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.ranking import running_totals
@@ -226,13 +228,27 @@ def threshold_at_fpr(
     )
 
 
-def evaluation_report(df: DataFrame, groups: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+def evaluation_report(
+    df: DataFrame,
+    groups: Sequence[str] = (),
+    threshold: float = 0.5,
+    sigmoid: bool = False,
+    less_than: bool = False,
+    predicted: str | None = None,
+) -> DataFrame:
     """n, class counts, AUROC and the metrics at the given, the median, the
-    mean-midpoint and the 5 % FPR threshold; one row per group."""
+    mean-midpoint and the 5 % FPR threshold; one row per group.
+
+    ``sigmoid`` takes y_score as logits, ``less_than`` says that low scores are
+    positive, ``predicted`` names a column of given predictions that stand for
+    those at ``threshold``.
+    """
     groups = list(groups)
+    if sigmoid:
+        df = df.withColumn("y_score", 1.0 / (1.0 + F.exp(-F.col("y_score"))))
     cuts = threshold_mean_midpoint(df, groups).select(*groups, "threshold_mean")
     cuts = on_groups(cuts, threshold_median(df, groups), groups, "left")
-    cuts = on_groups(cuts, threshold_at_fpr(df, groups), groups, "left")
+    cuts = on_groups(cuts, threshold_at_fpr(df, groups, less_than=less_than), groups, "left")
     cuts = cuts.withColumn("threshold", F.lit(threshold))
     placed = on_groups(df, cuts, groups)
     named = {"": "threshold", "_median": "threshold_median", "_mean": "threshold_mean", "_fpr": "threshold_fpr"}
@@ -244,7 +260,9 @@ def evaluation_report(df: DataFrame, groups: Sequence[str] = (), threshold: floa
     for suffix, cut in named.items():
         if suffix:
             cells.append(F.max(cut).alias(cut))
-        pred = predict(F.col("y_score"), F.col(cut))
+        pred = predict(F.col("y_score"), F.col(cut), less_than)
+        if predicted and not suffix:
+            pred = F.col(predicted)
         cells += [c.alias(f"__{n}{suffix}") for n, c in confusion(F.col("y_true"), pred).items()]
     counted = placed.groupBy(*groups).agg(*cells)
     measures = []
@@ -256,7 +274,8 @@ def evaluation_report(df: DataFrame, groups: Sequence[str] = (), threshold: floa
             for m, c in metrics_from_confusion(*parts).items()
         ]
     kept = [c for c in counted.columns if not c.startswith("__")]
-    return on_groups(counted.select(*kept, *measures), auroc(df, groups), groups)
+    turned = df.withColumn("y_score", -F.col("y_score")) if less_than else df
+    return on_groups(counted.select(*kept, *measures), auroc(turned, groups), groups)
 
 
 def best_direction_scores(df: DataFrame, groups: Sequence[str], threshold: Column) -> DataFrame:
@@ -365,15 +384,40 @@ def class_share(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def layer_correlation(df: DataFrame, column: str, layers: int) -> DataFrame:
-    """Pearson r of each pair of layers over all rows, in one aggregate."""
-    pairs = [(i, j) for i in range(layers) for j in range(i + 1, layers)]
-
-    def layer(i: int) -> Column:
-        return F.get(F.col(column), F.lit(i)).cast("double")
+    """(a, b, r): Pearson r of each pair of layers over all rows.
 
-    wide = df.agg(*[F.corr(layer(i), layer(j)).alias(f"r_{i}_{j}") for i, j in pairs])
-    rows = [
-        F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"r_{i}_{j}").alias("r"))
-        for i, j in pairs
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    Tasks sum products of whole batches; one row per pair and task is shuffled.
+    NULL where a layer is constant.  Rows whose vector is null or of another
+    length do not count.
+    """
+    first, second = np.triu_indices(layers, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(layers), np.zeros((layers, layers))
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, layers)
+                n, sums, products = n + len(values), sums + values.sum(axis=0), products + values.T @ values
+        squares = np.diag(products)
+        columns = {
+            "a": first, "b": second, "n": np.full(len(first), float(n)), "x": sums[first], "y": sums[second],
+            "xx": squares[first], "yy": squares[second], "xy": products[first, second],
+        }
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k in "ab" else pa.float64()) for k, v in columns.items()})
+
+    vectors = df.where(F.size(column) == layers).select(F.col(column).cast("array<double>").alias("__v"))
+    moments = ("n", "x", "y", "xx", "yy", "xy")
+    found = vectors.mapInArrow(run, "a int, b int, " + ", ".join(f"{m} double" for m in moments))
+    n, x, y, xx, yy, xy = (F.sum(m) for m in moments)
+    spread = F.sqrt(F.greatest((n * xx - x * x) * (n * yy - y * y), F.lit(0.0)))
+    return found.groupBy("a", "b").agg(F.try_divide(n * xy - x * y, spread).alias("r"))
+
+
+def random_predictions(df: DataFrame, key: str, share: Column, seed: int = 0) -> DataFrame:
+    """Add y_score, a draw in [0, 1) by a hash of the key, and y_pred: 1 for the share of rows with the smallest draws.
+
+    The predictor knows the share of the classes and nothing else.
+    """
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10)
+    draw = digits.cast("double") / float(16**8)
+    return df.withColumn("y_score", draw).withColumn("y_pred", (F.col("y_score") < share).cast("int"))

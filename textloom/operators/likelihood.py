@@ -300,14 +300,17 @@ def branch_paths(
     return nodes
 
 
-def filter_top_p(model: DataFrame, order: int, p: float) -> DataFrame:
-    """Smallest set of most likely continuations that reaches share ``p``:
-    kept while the counts before it stay below ``p`` of the context."""
+def filter_top_p(model: DataFrame, order: int, p: float, share: str = "p") -> DataFrame:
+    """Smallest set of most likely continuations that reaches ``p``: kept while
+    the shares before it stay below ``p``.  ``share`` is the column of
+    probabilities, renormalised over what is kept."""
     grams = gram_columns(order)
     placed = running_totals(
-        model, [F.desc("c"), F.col(grams[-1])], {"__before": F.col("c")}, keys=grams[:-1]
+        model, [F.desc("c"), F.col(grams[-1])], {"__before": F.col(share)}, keys=grams[:-1]
     )
-    return placed.where(F.col("__before") < F.col("context_c") * F.lit(p)).drop("__before")
+    kept = placed.where(F.col("__before") < F.lit(p)).drop("__before")
+    joined = _attach(kept, order, {"__kept": lambda over: over(F.sum(share))})
+    return joined.withColumn(share, F.col(share) / F.col("__kept")).drop("__kept")
 
 
 def apply_temperature(model: DataFrame, order: int, temperature: float) -> DataFrame:

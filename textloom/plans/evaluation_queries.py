@@ -61,15 +61,6 @@ def confusion_counts(spark, sf):
     return scored(spark, sf).groupBy("source").agg(*cells)
 
 
-@query(
-    "AG-10",
-    sql="""SELECT label AS y_true, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INT AS y_pred,
-           count(*) AS n FROM embeddings GROUP BY ALL""",
-)
-def confusion_matrix(spark, sf):
-    return class_scores(spark, sf).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
-
-
 @query(
     "AG-11",
     sql=f"""SELECT doc_id, (y_score >= 0.5)::INT AS above, 1 - (y_score >= 0.5)::INT AS below,
@@ -172,34 +163,36 @@ def threshold_at_fpr(spark, sf):
     return cut.select(F.round("threshold_fpr", 4).alias("threshold_fpr"))
 
 
-def sql_report() -> str:
+def sql_report(source: str = SCORED, less_than: bool = False, given: str | None = None) -> str:
     """Thresholds per language, then the metrics at each of them."""
+    falls, before = ("", "- c") if less_than else ("DESC", "")
+    turned = f"(SELECT lang, y_true, -y_score AS y_score FROM {source})" if less_than else source
 
     def at(suffix: str, cut: str) -> str:
-        hits = sql_confusion(f"y_score >= {cut}")
+        hits = sql_confusion(given if given and not suffix else f"(y_score {'<' if less_than else '>='} {cut})")
         return f"""(SELECT lang AS l{suffix}, {sql_metrics(suffix)} FROM (SELECT lang, {hits}
-          FROM {SCORED} JOIN cuts USING (lang) WHERE {cut} IS NOT NULL GROUP BY lang))"""
+          FROM {source} JOIN cuts USING (lang) WHERE {cut} IS NOT NULL GROUP BY lang))"""
 
-    return f"""WITH r AS (SELECT lang, y_score, sum(c) OVER (PARTITION BY lang ORDER BY y_score DESC)::DOUBLE
+    return f"""WITH r AS (SELECT lang, y_score, (sum(c) OVER (PARTITION BY lang ORDER BY y_score {falls}) {before})::DOUBLE
           / (sum(c) OVER (PARTITION BY lang))::DOUBLE AS rate
-        FROM (SELECT lang, y_score, count(*) AS c FROM {SCORED} WHERE y_true = 0 GROUP BY ALL)),
+        FROM (SELECT lang, y_score, count(*) AS c FROM {source} WHERE y_true = 0 GROUP BY ALL)),
       fpr AS (SELECT lang, coalesce(arg_max(y_score, rate) FILTER (rate <= 0.05::DOUBLE), arg_min(y_score, rate)) AS thr
         FROM r GROUP BY lang),
       cuts AS (SELECT lang, 0.5::DOUBLE AS threshold, threshold_mean, threshold_median, thr AS threshold_fpr FROM (
         SELECT lang, (avg(y_score) FILTER (y_true = 0) + avg(y_score) FILTER (y_true = 1)) / 2 AS threshold_mean,
-          CASE WHEN sum(y_true) * 2 = count(*) THEN median(y_score) END AS threshold_median FROM {SCORED} GROUP BY lang)
+          CASE WHEN sum(y_true) * 2 = count(*) THEN median(y_score) END AS threshold_median FROM {source} GROUP BY lang)
         LEFT JOIN fpr USING (lang))
       SELECT lang, n_samples, n_samples_human, n_samples_ai, round(threshold_median, 6) AS threshold_median,
         round(threshold_mean, 6) AS threshold_mean, round(threshold_fpr, 6) AS threshold_fpr,
         a.* EXCLUDE (l), b.* EXCLUDE (l_median), c.* EXCLUDE (l_mean), d.* EXCLUDE (l_fpr),
         round(roc_auc, 6) + 0.0::DOUBLE AS roc_auc
       FROM (SELECT lang, count(*) AS n_samples, count(*) FILTER (y_true = 0) AS n_samples_human,
-          count(*) FILTER (y_true = 1) AS n_samples_ai FROM {SCORED} GROUP BY lang)
+          count(*) FILTER (y_true = 1) AS n_samples_ai FROM {source} GROUP BY lang)
         JOIN cuts USING (lang) JOIN {at('', 'threshold')} a ON lang = l
         LEFT JOIN {at('_median', 'threshold_median')} b ON lang = l_median
         LEFT JOIN {at('_mean', 'threshold_mean')} c ON lang = l_mean
         LEFT JOIN {at('_fpr', 'threshold_fpr')} d ON lang = l_fpr
-        JOIN (SELECT lang AS lr, roc_auc FROM {sql_auroc(SCORED, 'lang')}) ON lang = lr"""
+        JOIN (SELECT lang AS lr, roc_auc FROM {sql_auroc(turned, 'lang')}) ON lang = lr"""
 
 
 @query("AG-18", sql=sql_report())
@@ -215,6 +208,24 @@ def evaluation_report(spark, sf):
     )
 
 
+LOGITS = """(SELECT lang, quality AS y_true, 1.0::DOUBLE / (1.0::DOUBLE + exp(-ln((n_chars + 1) / 1000.0::DOUBLE))) AS y_score,
+  (n_chars < 800)::INT AS y_given FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("AG-18", sql=sql_report(LOGITS, less_than=True, given="y_given"))
+def evaluation_report_logits(spark, sf):
+    """Logits of which low ones are positive, with given predictions beside them."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y_true"))
+    rows = docs.join(labels, "doc_id").select(
+        "lang", "y_true", F.ln((F.col("n_chars") + 1) / 1000.0).alias("y_score"), (F.col("n_chars") < 800).cast("int").alias("y_given")
+    )
+    report = ev.evaluation_report(rows, ["lang"], sigmoid=True, less_than=True, predicted="y_given")
+    return report.select(
+        "lang", *[c if c.startswith("n_samples") else r6(c).alias(c) for c in report.columns if c != "lang"]
+    )
+
+
 def _best(side: str) -> str:
     pred = f"y_score {side} 0.6"
     return f"SELECT lang, {sql_confusion(pred)} FROM {SCORED} GROUP BY lang"
@@ -235,9 +246,15 @@ CLASSES = list(range(10))
 
 
 def class_scores(spark, sf):
-    """Vectors with their class, the arg max of the first ten values and those
-    values as class scores."""
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    """Vectors with their class and a score per class: the sum of every tenth of all
+    their values, from the class's number on.  The arg max is the prediction."""
+    value = F.col("embedding")
+    scores = F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda c: F.aggregate(
+            F.filter(value, lambda _, i: F.pmod(i, F.lit(10)) == c), F.lit(0.0), lambda total, x: total + x.cast("double")
+        ),
+    )
     top = F.array_position("s", F.array_max("s")) - 1
     vectors = table(spark, sf, "embeddings").select("vec_id", "label", scores.alias("s"))
     return vectors.select(
@@ -246,7 +263,13 @@ def class_scores(spark, sf):
 
 
 VECTORS = """(SELECT vec_id, label AS y_true, list_position(s, list_max(s)) - 1 AS y_pred, s AS y_proba
-  FROM (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS s FROM embeddings))"""
+  FROM (SELECT vec_id, label, list_transform(range(10), lambda c: list_reduce([0.0::DOUBLE] || list_filter(
+    list_transform(embedding, lambda x: x::DOUBLE), lambda x, i: (i - 1) % 10 = c), lambda a, x: a + x)) AS s FROM embeddings))"""
+
+
+@query("AG-10", sql=f"SELECT y_true, y_pred::INT AS y_pred, count(*) AS n FROM {VECTORS} GROUP BY ALL")
+def confusion_matrix(spark, sf):
+    return class_scores(spark, sf).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
 def sql_multiclass(source: str, classes: list[int], group: str, minimum: int) -> str:
@@ -370,16 +393,36 @@ def class_share(spark, sf):
     return share.select("split", "n", *[r6(c).alias(c) for c in share.columns[2:]])
 
 
+@query(
+    "AG-28",
+    sql=f"""WITH s AS (SELECT doc_id, {SPLIT_SQL} AS split, y_true FROM {SCORED}),
+            p AS (SELECT split, y_true, (('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE
+              < avg(y_true) OVER (PARTITION BY split))::INT AS y_pred FROM s)
+            SELECT split, count(*) AS n, count(*) FILTER (y_pred = 1) AS n_ai, round(avg((y_pred = y_true)::INT), 6) + 0.0::DOUBLE AS accuracy,
+              round(CASE WHEN sum(y_pred) + sum(y_true) = 0 THEN NULL ELSE 2.0::DOUBLE * sum(y_pred * y_true) / (sum(y_pred) + sum(y_true)) END, 6) + 0.0::DOUBLE AS f1
+            FROM p GROUP BY split""",
+)
+def random_predictor(spark, sf):
+    """What a predictor reaches that draws by the share of the classes in each split."""
+    rows = scored(spark, sf).drop("y_score").withColumn("split", hash_split())
+    share = rows.groupBy("split").agg(F.avg("y_true").alias("share"))
+    found = ev.random_predictions(ev.on_groups(rows, share, ["split"]), "doc_id", F.col("share"))
+    both = F.sum(F.col("y_pred") * F.col("y_true"))
+    return found.groupBy("split").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("y_pred") == 1).alias("n_ai"),
+        r6(F.avg((F.col("y_pred") == F.col("y_true")).cast("int"))).alias("accuracy"),
+        r6(F.try_divide(2.0 * both, F.sum("y_pred") + F.sum("y_true"))).alias("f1"),
+    )
+
+
 @query(
     "AG-30",
-    sql=" UNION ALL ".join(
-        f"SELECT {i} AS a, {j} AS b, round(corr(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 6) AS r FROM embeddings"
-        for i in range(13)
-        for j in range(i + 1, 13)
-    ),
+    sql="""SELECT i::INT AS a, j::INT AS b, round(corr(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 6) + 0.0::DOUBLE AS r
+           FROM embeddings, range(64) AS x(i), range(64) AS y(j) WHERE i < j GROUP BY i, j""",
 )
 def layer_correlation(spark, sf):
-    pairs = ev.layer_correlation(table(spark, sf, "embeddings"), "embedding", layers=13)
+    pairs = ev.layer_correlation(table(spark, sf, "embeddings"), "embedding", layers=64)
     return pairs.withColumn("r", r6("r"))
 
 

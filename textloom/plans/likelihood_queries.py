@@ -158,15 +158,15 @@ def branch_paths(spark, sf):
 
 @query(
     "LM-11",
-    sql=f"""{LM} SELECT b AS w1, w AS w2, round(p_t, 6) AS p_t FROM (
-              SELECT *, pow(p, 1 / 0.9::DOUBLE) / sum(pow(p, 1 / 0.9::DOUBLE)) OVER (PARTITION BY b) AS p_t,
-                sum(c) OVER (PARTITION BY b ORDER BY c DESC, w ROWS UNBOUNDED PRECEDING) - c AS before FROM m2)
-            WHERE before < cc * 0.15::DOUBLE""",
+    sql=f"""{LM} SELECT w1, w2, round(p_t / sum(p_t) OVER (PARTITION BY w1), 6) AS p_t FROM (SELECT b AS w1, w AS w2, p_t,
+              coalesce(sum(p_t) OVER (PARTITION BY b ORDER BY c DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM (SELECT *, pow(p, 1 / 0.9::DOUBLE) / sum(pow(p, 1 / 0.9::DOUBLE)) OVER (PARTITION BY b) AS p_t FROM m2))
+            WHERE before < 0.15::DOUBLE""",
 )
 def filter_continuations(spark, sf):
-    """Temperature 0.9, then the continuations that make up the top 15 %."""
+    """Temperature 0.9, then the continuations that make up the top 15 % of the tempered probabilities."""
     warmed = lm.apply_temperature(lm.ngram_model(lm.train(corpus(spark, sf), 2), 2), 2, temperature=0.9)
-    return lm.filter_top_p(warmed, 2, p=0.15).select("w1", "w2", r6("p_t").alias("p_t"))
+    return lm.filter_top_p(warmed, 2, p=0.15, share="p_t").select("w1", "w2", r6("p_t").alias("p_t"))
 
 
 @query(
