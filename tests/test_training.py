@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from textloom.operators import convolution as cv, epochs
+from textloom.operators import convolution as cv, epochs, models as md
 
 
 def plain_pooled(matrix, dilations):
@@ -101,3 +101,16 @@ def test_no_evaluation_rows(spark):
     df, *_ = table_of(spark, 40)
     found = epochs.train_with_patience(df.withColumn("held", F.lit(False)), ["a"], "label", "held", epochs=3)
     assert found.best_epoch == 3 and all(math.isnan(t[2]) for t in found.trace)
+
+
+def test_every_model_on_every_data_set(spark):
+    """Two data sets with opposite labels: a model is right on its own and wrong on the other."""
+    rng = np.random.default_rng(5)
+    rows = [(name, float(x), int((x > 0) == (name == "up")), i % 4 == 0) for name in ("up", "down") for i, x in enumerate(rng.normal(size=200))]
+    rows += [("single", 1.0, 1, False)] * 5 + [("single", -1.0, 0, True)] * 5
+    df = spark.createDataFrame(rows, "name string, x double, label int, held boolean")
+    found = {(r["model"], r["dataset"]): r for r in md.cross_evaluate(df, "name", "held", md.logistic(["x"])).collect()}
+    assert set(found) == {(m, d) for m in ("up", "down") for d in ("up", "down", "single")}
+    assert found["up", "up"]["accuracy"] > 0.9 and found["up", "down"]["accuracy"] < 0.1 and found["down", "down"]["roc_auc"] > 0.9
+    with pytest.raises(ValueError):
+        md.cross_evaluate(df, "name", "held", md.logistic(["x"]), most=1)

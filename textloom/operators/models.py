@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.arrays import pad_or_trim
 from textloom.operators.evaluation import binary_metrics, on_groups
+from textloom.session import materialize
 
 
 def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -187,6 +188,29 @@ def leave_one_domain_out(
     return whole
 
 
+def cross_evaluate(
+    df: DataFrame, dataset: str, held_out: str, estimator: Estimator, most: int = 100
+) -> DataFrame:
+    """(model, dataset, metrics): a model fitted on the rows of each data set, evaluated on the held-out rows of all.
+
+    ``held_out`` is a boolean column.  More than ``most`` data sets are an error,
+    as each is a fit.  The metrics of a model are written before the next fit, so
+    the plan does not grow.  A data set whose training rows have one label has no model.
+    """
+    sides = df.where(f"NOT {held_out}").groupBy(dataset).agg(F.count_distinct("label").alias("n"))
+    names = [r[0] for r in sides.where("n > 1").select(dataset).orderBy(dataset).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} data sets")
+    test, whole = df.where(held_out), None
+    for name in names:
+        model = estimator.fit(df.where(F.col(dataset).eqNullSafe(F.lit(name)) & ~F.col(held_out)))
+        scored = scored_rows(model.transform(test)).withColumn("dataset", F.col(dataset))
+        metrics = binary_metrics(scored, ["dataset"]).select(F.lit(name).alias("model"), "*")
+        metrics = materialize(metrics, "cross-evaluated")
+        whole = metrics if whole is None else whole.unionByName(metrics)
+    return whole
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight``, the inverse frequency of the row's class."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))

@@ -202,6 +202,14 @@ def leave_one_domain_out(spark, sf):
     )
 
 
+@query("JN-09")
+def cross_evaluate_models(spark, sf):
+    """A model fitted on each language, with all metrics on every language."""
+    rows = features(spark, sf).withColumn("held_out", F.col("split") == "test")
+    found = md.cross_evaluate(rows, "lang", "held_out", md.logistic(METRICS, maxIter=20))
+    return rounded(found, "model", "dataset")
+
+
 @query(
     "ML-11",
     sql="""SELECT doc_id, round(1.0::DOUBLE / count(*) OVER (PARTITION BY quality), 6) AS weight FROM labels""",
