@@ -3,14 +3,15 @@
 The relation R_k holds every occurrence of a phrase of k words, sorted by piece
 and position.  R_1 is cut from the texts and written once.  From R_k to R_k+1:
 
-1. the groups of R_k are counted over all rows;
-2. occurrences of groups that are not frequent leave (semi-join);
-3. what is left is merge-joined with itself on piece and next position.
+1. R_k is merge-joined with itself on piece and next position, and the groups of
+   the result are counted over all rows;
+2. occurrences of groups that are not frequent leave (semi-join), and what is left
+   is written as R_k+1.
 
-R_k is stored in blocks of many pieces of one language, columns as arrays.  A piece
-never spans blocks, so the merge join needs no shuffle; the counts of a block are
-combined before they are shuffled.  Positions leave a gap between pieces, so that
-next positions are always of one piece.
+R_k is stored in blocks of many pieces of one language, its columns packed.  A piece
+never spans blocks, so the merge join needs no shuffle, and the counts of a block
+are combined before they are shuffled.  Positions leave a gap between pieces, so
+that next positions are always of one piece.
 
 The semi-join asks a bitmap of frequent groups of bounded size.  It may let others
 through, which costs time; the counts after it decide, so nothing is lost and
@@ -20,20 +21,23 @@ nothing is added.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from textloom.llm.common import release_memory
 from textloom.session import materialize
 
 #: Words of a phrase, its least occurrences, phrases returned per language.
 LONGEST, LEAST, BEST = 3, 10, 2000
 #: A phrase goes if a longer one that holds it has so many percent of its occurrences.
 COVERED = 50
-#: Positions in a block, about; a single longer piece is a block of its own.
-BLOCK = 1 << 20
+#: Positions that a task holds before it writes its blocks, about; a longer piece is a block of its own.
+BLOCK = 1 << 18
 #: Bits of the bitmap of frequent groups (8 MB).
 BITS = 1 << 26
 
@@ -42,29 +46,39 @@ ENDS, NO_LANGUAGE = b".,;:!?\n\x0b\x0c\r", "und"
 
 #: All ends become one mark, which no word can contain.
 _TO_MARK = bytes.maketrans(ENDS, b"." * len(ENDS))
-_RELATION = "lang string, steps array<int>, groups array<int>, phrases array<string>, counts array<long>"
-_ARROW = {
-    "lang": pa.string(),
-    "steps": pa.list_(pa.int32()),
-    "groups": pa.list_(pa.int32()),
-    "phrases": pa.list_(pa.string()),
-    "counts": pa.list_(pa.int64()),
-}
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    """One block as an Arrow batch of one row; numpy arrays become list columns without Python objects."""
-    arrays = []
-    for name, kind in _ARROW.items():
-        value = columns[name]
-        if isinstance(value, np.ndarray):
-            values = pa.array(value.astype(kind.value_type.to_pandas_dtype()), kind.value_type)
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-        elif isinstance(value, pa.Array):
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value))
-        else:
-            arrays.append(pa.array([value], kind))
-    return pa.RecordBatch.from_arrays(arrays, names=list(_ARROW))
+_BLOCK_FIELDS = "lang string, steps binary, groups binary, phrases binary"
+_GROUP_FIELDS = "lang string, phrase string, n long"
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """The values in as few bytes each as the largest needs, behind one byte that tells how many."""
+    size = np.min_scalar_type(int(values.max(initial=0))).itemsize
+    return bytes([size]) + values.astype(f"u{size}").tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1)
+
+
+def _packed(lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[str]) -> pa.RecordBatch:
+    """A block as one row; places ascend, groups number the phrases."""
+    columns = (_narrow(np.diff(places, prepend=0)), _narrow(groups), "\n".join(phrases).encode())
+    arrays = [pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in columns]]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "steps", "groups", "phrases"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str]]]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, steps, groups, phrases = (batch.column(c)[row].as_py() for c in range(4))
+            yield lang, np.cumsum(_wide(steps), dtype=np.int64), _wide(groups), phrases.decode().split("\n")
+        del batch
+    release_memory()
+
+
+def _counted(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases, pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
 class _Block:
@@ -81,23 +95,15 @@ class _Block:
         self.parts.append(np.array(found + [-1], np.int32))
         self.size += len(found) + 1
 
-    def relation(self, lang: str) -> pa.RecordBatch | None:
+    def packed(self, lang: str) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(self.parts)
         places = np.flatnonzero(codes >= 0)
-        if not len(places):
-            return None
-        words = [word.decode("utf-8", "replace") for word in self.codes if word != b"."]
-        groups = codes[places]
-        return _batch(
-            lang=lang,
-            steps=np.diff(places, prepend=0),
-            groups=groups,
-            phrases=pa.array(words, pa.string()),
-            counts=np.bincount(groups, minlength=len(words)),
-        )
+        if len(places):
+            words = [word.decode("utf-8", "replace") for word in self.codes if word != b"."]
+            yield _packed(lang, places, codes[places], words)
 
 
-def occurrences(docs: DataFrame, text: str, group: str) -> DataFrame:
+def occurrences(docs: DataFrame, text: str, group: str, block_size: int = BLOCK) -> DataFrame:
     """R_1 of whole texts; A-Z are lower-cased, null texts have no words, a null group is ``NO_LANGUAGE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,98 +117,156 @@ def occurrences(docs: DataFrame, text: str, group: str) -> DataFrame:
                 start = 0
                 while start < len(tokens):
                     end = len(tokens)
-                    if end - start > BLOCK:
+                    if end - start > block_size:
                         # A very long text is cut where a piece ends.
                         try:
-                            end = tokens.index(b".", start + BLOCK) + 1
+                            end = tokens.index(b".", start + block_size) + 1
                         except ValueError:
                             end = len(tokens)
                     block = blocks.setdefault(lang, _Block())
                     block.add(tokens[start:end])
                     held += end - start
                     start = end
-                    if held >= BLOCK:
-                        yield from filter(None, (b.relation(name) for name, b in blocks.items()))
+                    if held >= block_size:
+                        yield from chain.from_iterable(b.packed(name) for name, b in blocks.items())
                         blocks, held = {}, 0
-        yield from filter(None, (b.relation(name) for name, b in blocks.items()))
+        yield from chain.from_iterable(b.packed(name) for name, b in blocks.items())
+        release_memory()
 
     lang = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(NO_LANGUAGE))
-    return docs.select(lang.alias("lang"), F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, _RELATION)
+    return docs.select(lang.alias("lang"), F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, _BLOCK_FIELDS)
+
+
+def word_groups(relation: DataFrame) -> DataFrame:
+    """lang, phrase, n: the groups of every block of R_1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, groups, phrases in _unpacked(batches):
+            yield _counted(lang, pa.array(phrases, pa.string()), np.bincount(groups, minlength=len(phrases)))
 
+    return relation.mapInArrow(run, _GROUP_FIELDS)
 
-def group_counts(relation: DataFrame, least: int) -> DataFrame:
+
+def group_counts(groups: DataFrame, least: int) -> DataFrame:
     """lang, phrase, n over all blocks, of groups with at least ``least`` occurrences."""
-    rows = relation.select("lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("n"))))
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return groups.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+#: The hash of a phrase turns the hash of its beginning by so many bits and mixes in the last word's.
+_TURN = 7
+
+
+def _word_hash(lang: str, word: str) -> int:
+    return xxhash.xxh64_intdigest(f"{lang}\n{word}", seed=42)
 
 
-def _hash(lang: str, phrase: str) -> int:
-    return xxhash.xxh64_intdigest(f"{lang}\n{phrase}", seed=42) % BITS
+def phrase_hashes(lang: str, phrases: list[str]) -> np.ndarray:
+    words: dict[str, int] = {}
+    out = np.zeros(len(phrases), np.uint64)
+    for i, phrase in enumerate(phrases):
+        mixed = 0
+        for word in phrase.split(" "):
+            found = words.get(word)
+            if found is None:
+                found = words[word] = _word_hash(lang, word)
+            mixed = ((mixed << _TURN | mixed >> 64 - _TURN) & (1 << 64) - 1) ^ found
+        out[i] = mixed
+    return out
+
+
+def longer_hashes(first: np.ndarray, last_word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of all words but the last and of the last word."""
+    return (first << np.uint64(_TURN) | first >> np.uint64(64 - _TURN)) ^ last_word
 
 
 def bitmap(groups: DataFrame) -> np.ndarray:
-    """One bit per frequent group, at most ``BITS`` of them whatever the input; positions agree with ``_hash``."""
-    bit = F.xxhash64(F.concat_ws("\n", "lang", "phrase")).bitwiseAND(F.lit(BITS - 1))
-    words = groups.select(F.shiftright(bit, 5).alias("word"), F.expr("1L").alias("one"), bit.alias("bit"))
+    """One bit per frequent group, at most ``BITS`` of them whatever the input; positions agree with ``phrase_hashes``."""
+    hashes = F.transform(F.split("phrase", " "), lambda word: F.xxhash64(F.concat_ws("\n", F.col("lang"), word)))
+    turned = F.aggregate(
+        hashes,
+        F.lit(0).cast("bigint"),
+        lambda mixed, word: F.shiftleft(mixed, _TURN).bitwiseOR(F.shiftrightunsigned(mixed, 64 - _TURN)).bitwiseXOR(word),
+    )
+    bits = groups.select(turned.bitwiseAND(F.lit(BITS - 1)).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 31 as int))")
-    found = words.groupBy("word").agg(F.bit_or(one).alias("bits")).toArrow()
+    found = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(BITS // 32, np.uint32)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
-def extend(relation: DataFrame, frequent: np.ndarray, last: bool) -> DataFrame:
-    """R_k+1 from R_k: semi-join with the frequent groups, merge join on the next position, groups of every block counted.
+def _frequent(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    places = hashes & np.uint64(BITS - 1)
+    return (bits[places >> np.uint64(5)] >> (places & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+class _Joined:
+    """Merge join of a block of R_k with itself on the next position, frequent groups only."""
+
+    def __init__(self, lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[str], bits: np.ndarray):
+        hashes = phrase_hashes(lang, phrases)
+        kept = _frequent(bits, hashes)[groups]
+        places, groups = places[kept], groups[kept]
+        # Both sides are sorted by position.
+        adjacent = np.flatnonzero(places[1:] == places[:-1] + 1)
+        self.places = places[adjacent]
+        pairs = groups[adjacent].astype(np.int64) * len(phrases) + groups[adjacent + 1]
+        self.distinct, self.group, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.first, self.second = self.distinct // len(phrases), self.distinct % len(phrases)
+        self.lang, self.all, self.all_hashes = lang, phrases, hashes
+
+    def phrases(self, some: np.ndarray | slice = slice(None)) -> pa.Array:
+        first = pa.array(self.all, pa.string()).take(pa.array(self.first[some]))
+        ends = pa.array([phrase.rsplit(" ", 1)[-1] for phrase in self.all], pa.string())
+        return pc.binary_join_element_wise(first, ends.take(pa.array(self.second[some])), " ")
+
+    def hashes(self) -> np.ndarray:
+        ends = phrase_hashes(self.lang, [phrase.rsplit(" ", 1)[-1] for phrase in self.all])
+        return longer_hashes(self.all_hashes[self.first], ends[self.second])
 
-    The last relation keeps its groups and counts only.
-    """
-    shared = relation.sparkSession.sparkContext.broadcast(frequent)
+
+def next_groups(relation: DataFrame, frequent) -> DataFrame:
+    """lang, phrase, n: the groups of every block of R_k+1; ``frequent`` is the broadcast bitmap of R_k's groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lang = batch.column(0)[row].as_py()
-                places = np.cumsum(batch.column(1)[row].values.to_numpy(), dtype=np.int64)
-                groups = batch.column(2)[row].values.to_numpy()
-                phrases = batch.column(3)[row].values.to_pylist()
-                marks = np.fromiter((_hash(lang, phrase) for phrase in phrases), np.int64, len(phrases))
-                good = (bits[marks >> 5] >> (marks & 31).astype(np.uint32)) & np.uint32(1) == 1
-                kept = good[groups]
-                places, groups = places[kept], groups[kept]
-                # Both sides are sorted by position.
-                adjacent = np.flatnonzero(places[1:] == places[:-1] + 1)
-                if not len(adjacent):
-                    continue
-                pairs = groups[adjacent].astype(np.int64) * len(phrases) + groups[adjacent + 1]
-                distinct, group, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-                longer = [
-                    phrases[a] + " " + phrases[b].rsplit(" ", 1)[-1]
-                    for a, b in zip((distinct // len(phrases)).tolist(), (distinct % len(phrases)).tolist())
-                ]
-                yield _batch(
-                    lang=lang,
-                    steps=None if last else np.diff(places[adjacent], prepend=0),
-                    groups=None if last else group,
-                    phrases=pa.array(longer, pa.string()),
-                    counts=counts,
-                )
-
-    return relation.mapInArrow(run, _RELATION)
-
-
-def phrase_groups(docs: DataFrame, text: str, group: str, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+        for lang, places, groups, phrases in _unpacked(batches):
+            joined = _Joined(lang, places, groups, phrases, frequent.value)
+            yield _counted(lang, joined.phrases(), joined.counts)
+
+    return relation.mapInArrow(run, _GROUP_FIELDS)
+
+
+def next_relation(relation: DataFrame, frequent, longer) -> DataFrame:
+    """R_k+1 from R_k: merge join, then semi-join with the frequent groups; both bitmaps are broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, places, groups, phrases in _unpacked(batches):
+            joined = _Joined(lang, places, groups, phrases, frequent.value)
+            good = _frequent(longer.value, joined.hashes())
+            kept = good[joined.group]
+            if kept.any():
+                numbers = np.cumsum(good) - 1
+                yield _packed(lang, joined.places[kept], numbers[joined.group[kept]], joined.phrases(np.flatnonzero(good)).to_pylist())
+
+    return relation.mapInArrow(run, _BLOCK_FIELDS)
+
+
+def phrase_groups(
+    docs: DataFrame, text: str, group: str, longest: int, least: int, block_size: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases (lang, phrase, k, n) of 1 to ``longest`` words, and lang, total: all words of a language."""
-    relation = materialize(occurrences(docs, text, group), "occurrences-1")
-    totals = relation.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("n"))
-    totals = totals.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = materialize(group_counts(relation, least), "groups-1")
-    found = frequent.withColumn("k", F.lit(1))
+    share = docs.sparkSession.sparkContext.broadcast
+    relation = materialize(occurrences(docs, text, group, block_size), "occurrences-1")
+    words = materialize(group_counts(word_groups(relation), 1), "words")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = words.where(F.col("n") >= least)
+    found, bits = frequent.withColumn("k", F.lit(1)), share(bitmap(frequent))
     for k in range(2, longest + 1):
-        relation = extend(relation, bitmap(frequent), last=k == longest)
-        relation = materialize(relation, f"occurrences-{k}")
-        frequent = materialize(group_counts(relation, least), f"groups-{k}")
+        frequent = materialize(group_counts(next_groups(relation, bits), least), f"groups-{k}")
         found = found.unionByName(frequent.withColumn("k", F.lit(k)))
+        if k < longest:
+            longer = share(bitmap(frequent))
+            relation, bits = materialize(next_relation(relation, bits, longer), f"occurrences-{k}"), longer
     return found, totals
 
 
@@ -214,6 +278,7 @@ def collocations(
     least: int = LEAST,
     covered: int = COVERED,
     best: int | None = BEST,
+    block_size: int = BLOCK,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``best`` phrases of each group (None: all).
 
@@ -224,7 +289,7 @@ def collocations(
     but blanks, tabs and the ends of pieces; repeated rows count each; without
     words there are no rows.  Other columns are not looked at.
     """
-    phrases, totals = phrase_groups(docs, text, group, longest, least)
+    phrases, totals = phrase_groups(docs, text, group, longest, least, block_size)
     words = F.split("phrase", " ")
     several = phrases.where("k > 1").withColumn("__words", words)
 

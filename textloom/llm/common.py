@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,6 +30,14 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def release_memory() -> None:
+    """Give unused memory of a finished task back to the system; the worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -54,6 +63,7 @@ def map_texts(
                 found = compute(batch.column(n).to_pylist())
                 columns = [pa.array(found[name], type=kind) for name, kind in types]
                 yield pa.RecordBatch.from_arrays(batch.columns[:n] + columns, names=names)
+        release_memory()
 
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
     return source.mapInArrow(run, schema)
