@@ -108,12 +108,17 @@ def metrics_grouping_sets(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cross_domain_matrix(df: DataFrame, rows: str, columns: str, values: Sequence[str], score: str):
-    """Mean score by (train domain, test domain) with the row average."""
-    matrix = df.groupBy(rows).pivot(columns, list(values)).agg(F.avg(score))
-    filled = [F.coalesce(F.col(v), F.lit(0.0)) for v in values]
-    present = [F.when(F.col(v).isNull(), 0).otherwise(1) for v in values]
-    average = sum(filled[1:], filled[0]) / sum(present[1:], present[0])
-    return matrix.withColumn("average", average)
+    """Mean score by (train domain, test domain) with the row average.
+
+    One column per given value and ``other`` for all the rest, NULL included;
+    the average is that of the columns that have rows.
+    """
+    column = F.col(columns)
+    cells = {v: column == v for v in values} | {"other": F.coalesce(~column.isin(list(values)), F.lit(True))}
+    matrix = df.groupBy(rows).agg(*[F.avg(F.when(hit, F.col(score))).alias(v) for v, hit in cells.items()])
+    filled = [F.coalesce(F.col(v), F.lit(0.0)) for v in cells]
+    present = [F.when(F.col(v).isNull(), 0).otherwise(1) for v in cells]
+    return matrix.withColumn("average", F.try_divide(sum(filled[1:], filled[0]), sum(present[1:], present[0])))
 
 
 def token_budget(df: DataFrame, tokens: Column, cap: int, price_per_million: float) -> DataFrame:

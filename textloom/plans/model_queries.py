@@ -141,7 +141,7 @@ def sequence_feature_classifier(spark, sf):
     matrix = lm.likelihood_matrix(lm.token_likelihoods(docs)).join(labels, "doc_id")
     vector = md.flatten_matrix(F.col("intermediate_likelihoods"), length=128, layers=3)
     rows = matrix.select("doc_id", "label", vector.alias("features"), hash_split().alias("split"))
-    train, test = train_test(rows.persist())
+    train, test = train_test(materialize(rows, "matrices"))
     model = md.sequence_classifier(inputs=384, rounds=30).fit(train)
     return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
 
@@ -168,7 +168,7 @@ def cross_validate(spark, sf):
 
 @query("ML-09")
 def hyperparameter_search(spark, sf):
-    rows = with_part(features(spark, sf), "doc_id", 2, out="fold").persist()
+    rows = materialize(with_part(features(spark, sf), "doc_id", 2, out="fold"), "folds")
     estimator = LogisticRegression(family="multinomial", maxIter=15)
     pipeline = md.scaled_pipeline(METRICS, estimator)
     grid = {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]}
