@@ -13,6 +13,7 @@ corpus (orders 1 to 3).  A context can be very frequent, so
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -187,16 +188,34 @@ def scoring_model(counts: DataFrame, order: int) -> DataFrame:
     return with_target_ranks(joined.withColumn("p", F.col("c") / F.col("context_c")), order)
 
 
-def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class ScoringModel:
+    """Counts of one order and, for every n-gram, what the scores need; both written once."""
+
+    order: int
+    counts: DataFrame
+    table: DataFrame
+
+
+def fit_scoring(docs: DataFrame, order: int = 2) -> ScoringModel:
+    counts = train(docs, order)
+    return ScoringModel(order, counts, materialize(scoring_model(counts, order), f"scoring{order}"))
+
+
+def document_scores(docs: DataFrame, model: ScoringModel | int = 2, key: str = "doc_id") -> DataFrame:
     """(key, n, llr, fast_detect): both curvature scores of one order.
 
+    An order instead of a model fits one on the documents themselves.
+
     llr = -sum ln p / sum ln(1 + rank), NULL when all ranks are 0;
     fast_detect = (sum ln p - sum E) / sqrt(sum V), NULL without variance.
-    The first ``max(order - 1, 1)`` tokens have no score.
+    The first ``max(order - 1, 1)`` tokens have no score, nor have n-grams that
+    the model has not seen (``backoff.score_tokens`` gives those a value).
     """
-    grams = ngram_rows(docs, order, key).where("pos >= 1")
-    counts = train(docs, order)
-    found = _look_up(grams, scoring_model(counts, order), counts, order, [key, "pos"])
+    if isinstance(model, int):
+        model = fit_scoring(docs, model)
+    grams = ngram_rows(docs, model.order, key).where("pos >= 1")
+    found = _look_up(grams, model.table, model.counts, model.order, [key, "pos"])
     sums = found.groupBy(key).agg(
         F.count("*").alias("n"),
         F.sum(F.ln("p")).alias("log_p"),
@@ -212,18 +231,17 @@ def document_scores(docs: DataFrame, order: int = 2, key: str = "doc_id") -> Dat
     )
 
 
-def scores_per_layer(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, layer, n, llr, fast_detect) for every order."""
+def scores_per_layer(docs: DataFrame, models: Sequence[ScoringModel], key: str = "doc_id") -> DataFrame:
+    """(key, layer, n, llr, fast_detect) for every model."""
     whole = None
-    for order in ORDERS:
-        scored = document_scores(docs, order, key).withColumn("layer", F.lit(order))
+    for model in models:
+        scored = document_scores(docs, model, key).withColumn("layer", F.lit(model.order))
         whole = scored if whole is None else whole.unionByName(scored)
     return whole
 
 
-def perplexity(docs: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
-    """(key, mean_nll, median_nll) over the tokens of each document."""
-    counts = train(docs, order)
+def perplexity(docs: DataFrame, counts: DataFrame, order: int = 2, key: str = "doc_id") -> DataFrame:
+    """(key, mean_nll, median_nll) over the tokens of each document whose n-grams ``counts`` (see ``train``) holds."""
     grams = ngram_rows(docs, order, key)
     found = _look_up(grams, ngram_model(counts, order), counts, order, [key, "pos"])
     nll = -F.ln("p")
@@ -242,20 +260,32 @@ def context_cross_entropy(bigrams: DataFrame, unigrams: DataFrame) -> DataFrame:
     )
 
 
-def cross_entropy_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class RatioModel:
+    """Probabilities of single tokens (the performer) and the cross-entropy of every context; written once."""
+
+    counts: DataFrame
+    unigrams: DataFrame
+    entropies: DataFrame
+
+
+def fit_ratio(docs: DataFrame) -> RatioModel:
+    counts = train(docs, 1).withColumnRenamed("w1", "w2")
+    unigrams = materialize(ngram_model(counts, 1).select("w2", "c", F.col("p").alias("p1")), "performer")
+    bigrams = ngram_model(train(docs, 2), 2)
+    return RatioModel(counts, unigrams, materialize(context_cross_entropy(bigrams, unigrams.drop("c")), "entropies"))
+
+
+def cross_entropy_ratio(docs: DataFrame, model: RatioModel, key: str = "doc_id") -> DataFrame:
     """(key, ratio): mean negative log-likelihood under the performer over the
     mean cross-entropy from observer to performer."""
-    counts1 = train(docs, 1).withColumnRenamed("w1", "w2")
-    unigrams = ngram_model(counts1, 1).select("w2", "c", F.col("p").alias("p1"))
-    bigrams = ngram_model(train(docs, 2), 2)
-    entropies = materialize(context_cross_entropy(bigrams, unigrams.drop("c")), "entropies")
     # The two halves of the ratio need one look-up each and no common rows.
     pairs = ngram_rows(docs, 2, key)
     performed = salted_lookup(
-        pairs.select(key, "pos", "w2"), unigrams, ["w2"], "c", [key, "pos"], sizes=counts1
+        pairs.select(key, "pos", "w2"), model.unigrams, ["w2"], "c", [key, "pos"], sizes=model.counts
     )
     expected = salted_lookup(
-        pairs.select(key, "pos", "w1"), entropies, ["w1"], "context_c", [key, "pos"], sizes=entropies
+        pairs.select(key, "pos", "w1"), model.entropies, ["w1"], "context_c", [key, "pos"], sizes=model.entropies
     )
     nll = performed.groupBy(key).agg(F.sum(-F.ln("p1")).alias("nll"))
     ce = expected.groupBy(key).agg(F.sum("cross_entropy").alias("ce"))

@@ -100,12 +100,14 @@ def top_k_continuations(spark, sf):
 
 @query("LM-05", sql=f"{LM} SELECT doc_id, n, llr FROM ({sql_scores(2)})")
 def llr_score(spark, sf):
-    return round_scores(lm.document_scores(corpus(spark, sf), 2)).drop("fast_detect")
+    docs = corpus(spark, sf)
+    return round_scores(lm.document_scores(docs, lm.fit_scoring(docs, 2))).drop("fast_detect")
 
 
 @query("LM-06", sql=f"{LM} SELECT doc_id, n, fast_detect FROM ({sql_scores(2)})")
 def fast_detect_score(spark, sf):
-    return round_scores(lm.document_scores(corpus(spark, sf), 2)).drop("llr")
+    docs = corpus(spark, sf)
+    return round_scores(lm.document_scores(docs, lm.fit_scoring(docs, 2))).drop("llr")
 
 
 @query(
@@ -114,7 +116,8 @@ def fast_detect_score(spark, sf):
     + " UNION ALL ".join(f"SELECT {o} AS layer, * FROM ({sql_scores(o)})" for o in (1, 2, 3)),
 )
 def scores_per_layer(spark, sf):
-    return round_scores(lm.scores_per_layer(corpus(spark, sf)))
+    docs = corpus(spark, sf)
+    return round_scores(lm.scores_per_layer(docs, [lm.fit_scoring(docs, order) for order in lm.ORDERS]))
 
 
 @query(
@@ -124,7 +127,8 @@ def scores_per_layer(spark, sf):
             FROM g JOIN m2 USING (b, w) GROUP BY doc_id""",
 )
 def perplexity(spark, sf):
-    return lm.perplexity(corpus(spark, sf)).select(
+    docs = corpus(spark, sf)
+    return lm.perplexity(docs, lm.train(docs, 2)).select(
         "doc_id", r6("mean_nll").alias("mean_nll"), r6("median_nll").alias("median_nll")
     )
 
@@ -136,7 +140,8 @@ def perplexity(spark, sf):
             FROM g JOIN m1 USING (w) JOIN ce USING (b) GROUP BY doc_id""",
 )
 def cross_entropy_ratio(spark, sf):
-    return lm.cross_entropy_ratio(corpus(spark, sf)).withColumn("ratio", r6("ratio"))
+    docs = corpus(spark, sf)
+    return lm.cross_entropy_ratio(docs, lm.fit_ratio(docs)).withColumn("ratio", r6("ratio"))
 
 
 @query(
