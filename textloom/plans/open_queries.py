@@ -62,7 +62,7 @@ def explode_zipped(spark, sf):
     sql="""SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type AS kind, NULL::VARCHAR AS absent,
              CASE WHEN value > 50 THEN round(value, 6) + 0.0::DOUBLE END AS high FROM events""",
 )
-def open_metadata(spark, sf):
+def metadata_variant(spark, sf):
     """Events with all but their key in one open value; ``high`` is a key that only some of them have."""
     events = table(spark, sf, "events").select(
         "event_id",
