@@ -201,9 +201,9 @@ def test_only_the_best_of_a_language_return(spark):
 def test_bitmap_finds_what_python_hashes(spark):
     groups = [("en", "a b"), ("dé", "ß"), ("und", "日本 x")] + [("en", f"w{i}") for i in range(500)]
     bits = collocations.bitmap(spark.createDataFrame(groups, "lang string, phrase string"))
-    marks = {int(h) % collocations.BITS for lang, phrase in groups for h in collocations.phrase_hashes(lang, [phrase])}
-    first, last = (collocations.phrase_hashes("en", [p]) for p in ("a b", "c"))
-    assert collocations.longer_hashes(first, last) == collocations.phrase_hashes("en", ["a b c"])
+    marks = {int(h) % collocations.BITS for lang, phrase in groups for h in collocations.phrase_hashes(lang, [phrase.encode()])}
+    first, last = (collocations.phrase_hashes("en", [p]) for p in (b"a b", b"c"))
+    assert collocations.longer_hashes(first, last) == collocations.phrase_hashes("en", [b"a b c"])
     assert {w * 32 + b for w in bits.nonzero()[0].tolist() for b in range(32) if bits[w] >> b & 1} == marks
 
 

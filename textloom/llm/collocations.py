@@ -60,18 +60,18 @@ def _wide(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"u{packed[0]}", offset=1)
 
 
-def _packed(lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[str]) -> pa.RecordBatch:
+def _packed(lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[bytes]) -> pa.RecordBatch:
     """A block as one row; places ascend, groups number the phrases."""
-    columns = (_narrow(np.diff(places, prepend=0)), _narrow(groups), "\n".join(phrases).encode())
+    columns = (_narrow(np.diff(places, prepend=0)), _narrow(groups), b"\n".join(phrases))
     arrays = [pa.array([lang], pa.string()), *[pa.array([x], pa.binary()) for x in columns]]
     return pa.RecordBatch.from_arrays(arrays, names=["lang", "steps", "groups", "phrases"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str]]]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
     for batch in batches:
         for row in range(batch.num_rows):
             lang, steps, groups, phrases = (batch.column(c)[row].as_py() for c in range(4))
-            yield lang, np.cumsum(_wide(steps), dtype=np.int64), _wide(groups), phrases.decode().split("\n")
+            yield lang, np.cumsum(_wide(steps), dtype=np.int64), _wide(groups), phrases.split(b"\n")
         del batch
     release_memory()
 
@@ -99,8 +99,7 @@ class _Block:
         codes = np.concatenate(self.parts)
         places = np.flatnonzero(codes >= 0)
         if len(places):
-            words = [word.decode("utf-8", "replace") for word in self.codes if word != b"."]
-            yield _packed(lang, places, codes[places], words)
+            yield _packed(lang, places, codes[places], [word for word in self.codes if word != b"."])
 
 
 def occurrences(docs: DataFrame, text: str, group: str, block_size: int = BLOCK) -> DataFrame:
@@ -142,7 +141,7 @@ def word_groups(relation: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, _, groups, phrases in _unpacked(batches):
-            yield _counted(lang, pa.array(phrases, pa.string()), np.bincount(groups, minlength=len(phrases)))
+            yield _counted(lang, _strings(phrases), np.bincount(groups, minlength=len(phrases)))
 
     return relation.mapInArrow(run, _GROUP_FIELDS)
 
@@ -156,21 +155,17 @@ def group_counts(groups: DataFrame, least: int) -> DataFrame:
 _TURN = 7
 
 
-def _word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(f"{lang}\n{word}", seed=42)
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    lead = lang.encode() + b"\n"
+    return np.fromiter((xxhash.xxh64_intdigest(lead + word, 42) for word in words), np.uint64, len(words))
 
 
-def phrase_hashes(lang: str, phrases: list[str]) -> np.ndarray:
-    words: dict[str, int] = {}
+def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
+    """Hashes of phrases that have equally many words."""
+    parts = [phrase.split(b" ") for phrase in phrases]
     out = np.zeros(len(phrases), np.uint64)
-    for i, phrase in enumerate(phrases):
-        mixed = 0
-        for word in phrase.split(" "):
-            found = words.get(word)
-            if found is None:
-                found = words[word] = _word_hash(lang, word)
-            mixed = ((mixed << _TURN | mixed >> 64 - _TURN) & (1 << 64) - 1) ^ found
-        out[i] = mixed
+    for words in zip(*parts):
+        out = longer_hashes(out, word_hashes(lang, words))
     return out
 
 
@@ -200,12 +195,17 @@ def _frequent(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[places >> np.uint64(5)] >> (places & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def _strings(phrases: list[bytes]) -> pa.Array:
+    return pa.array(phrases, pa.binary()).cast(pa.string(), safe=False)
+
+
 class _Joined:
     """Merge join of a block of R_k with itself on the next position, frequent groups only."""
 
-    def __init__(self, lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[str], bits: np.ndarray):
-        hashes = phrase_hashes(lang, phrases)
-        kept = _frequent(bits, hashes)[groups]
+    def __init__(self, lang: str, places: np.ndarray, groups: np.ndarray, phrases: list[bytes], bits: np.ndarray):
+        self.lang, self.all = lang, phrases
+        self.all_hashes = phrase_hashes(lang, phrases)
+        kept = _frequent(bits, self.all_hashes)[groups]
         places, groups = places[kept], groups[kept]
         # Both sides are sorted by position.
         adjacent = np.flatnonzero(places[1:] == places[:-1] + 1)
@@ -213,15 +213,16 @@ class _Joined:
         pairs = groups[adjacent].astype(np.int64) * len(phrases) + groups[adjacent + 1]
         self.distinct, self.group, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
         self.first, self.second = self.distinct // len(phrases), self.distinct % len(phrases)
-        self.lang, self.all, self.all_hashes = lang, phrases, hashes
+        single = b" " not in phrases[0]
+        self.ends = phrases if single else [phrase.rsplit(b" ", 1)[-1] for phrase in phrases]
+        self.end_hashes = self.all_hashes if single else None
 
     def phrases(self, some: np.ndarray | slice = slice(None)) -> pa.Array:
-        first = pa.array(self.all, pa.string()).take(pa.array(self.first[some]))
-        ends = pa.array([phrase.rsplit(" ", 1)[-1] for phrase in self.all], pa.string())
-        return pc.binary_join_element_wise(first, ends.take(pa.array(self.second[some])), " ")
+        first = _strings(self.all).take(pa.array(self.first[some]))
+        return pc.binary_join_element_wise(first, _strings(self.ends).take(pa.array(self.second[some])), " ")
 
     def hashes(self) -> np.ndarray:
-        ends = phrase_hashes(self.lang, [phrase.rsplit(" ", 1)[-1] for phrase in self.all])
+        ends = word_hashes(self.lang, self.ends) if self.end_hashes is None else self.end_hashes
         return longer_hashes(self.all_hashes[self.first], ends[self.second])
 
 
@@ -246,7 +247,7 @@ def next_relation(relation: DataFrame, frequent, longer) -> DataFrame:
             kept = good[joined.group]
             if kept.any():
                 numbers = np.cumsum(good) - 1
-                yield _packed(lang, joined.places[kept], numbers[joined.group[kept]], joined.phrases(np.flatnonzero(good)).to_pylist())
+                yield _packed(lang, joined.places[kept], numbers[joined.group[kept]], joined.phrases(np.flatnonzero(good)).cast(pa.binary()).to_pylist())
 
     return relation.mapInArrow(run, _BLOCK_FIELDS)
 
