@@ -100,3 +100,12 @@ def test_forgotten_keys_come_again(spark, tmp_path):
     arrive(spark, str(tmp_path / "in"), [(1, 2, "b")])
     run(spark, tmp_path, ttl_ms=1)
     assert {r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b"}
+
+
+def test_stream_score_reads_a_table_of_several_files(spark, sf_dir, tmp_path):
+    import __spark_entry__
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = __spark_entry__.QUERIES["stream_score"](spark, str(tmp_path)).collect()
+    assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(r["as_batch"] for r in found)

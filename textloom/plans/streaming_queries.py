@@ -24,7 +24,8 @@ def stream_score(spark, sf):
     model = md.logistic(METRICS, maxIter=20).fit(features(spark, sf))
     docs = table(spark, sf, "documents")
     text = F.when(F.col("lang") != "es", F.col("text")).alias("text")
-    requests = jobs.read_files(spark, sf, docs.schema, "documents.parquet").select("doc_id", text)
+    # The table is one file or a folder of files; a pattern names either, and the folder's files are the stream.
+    requests = jobs.read_files(spark, f"{sf}/documents.parque[t]", docs.schema).select("doc_id", text)
     out = scratch_path(spark, "scores")
     jobs.stream_score(requests, model, out, scratch_path(spark, "offsets"))
     batch = jobs.score_requests(docs.select("doc_id", text), model)
