@@ -102,6 +102,22 @@ def test_forgotten_keys_come_again(spark, tmp_path):
     assert {r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b"}
 
 
+def test_keys_that_share_a_bucket_are_told_apart(spark, tmp_path):
+    schema = spark.createDataFrame([], EVENTS).schema
+    arrive(spark, str(tmp_path / "in"), [(k, at, f"{k}-{at}") for k in (*range(300), None) for at in (7, 3, 9)])
+    arrive(spark, str(tmp_path / "in"), [(k, 1, "late") for k in (*range(100), None)] + [(1000, 2, "new")])
+    rows = jobs.read_files(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    fresh = keyed_state.first_by_key(rows, "key", "at", buckets=2)
+    spark.conf.set(keyed_state.PROVIDER, keyed_state.ROCKSDB)
+    try:
+        writer = fresh.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        jobs.run_to_end(writer.option("checkpointLocation", str(tmp_path / "offsets")))
+    finally:
+        spark.conf.unset(keyed_state.PROVIDER)
+    found = sorted(str(r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == sorted([f"{k}-3" for k in (*range(300), None)] + ["new"])
+
+
 def test_stream_score_reads_a_table_of_several_files(spark, sf_dir, tmp_path):
     import __spark_entry__
 

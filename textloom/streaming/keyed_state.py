@@ -9,48 +9,62 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are handed to Python in so many groups, each with one map from key to state.
+BUCKETS = 1024
+
+
 class FirstOfKey(StatefulProcessor):
-    """The first row of a key, by ``order`` within a micro-batch; later ones are dropped as long as the key is remembered."""
+    """The first rows of the keys of a bucket, by ``order`` within a micro-batch; later ones are dropped as long as the key is remembered.
+
+    Rows are whole Python rows, not pandas: a column of longs with nulls would become doubles there.
+    """
 
-    def __init__(self, order: str, ttl_ms: int | None):
-        self.order, self.ttl_ms = order, ttl_ms
+    def __init__(self, columns: list[str], key: str, kind: StructType, order: str, ttl_ms: int | None):
+        self.columns, self.key, self.kind, self.order, self.ttl_ms = columns, key, kind, order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        first, n = None, 0
-        for batch in rows:  # one row is held, however many a key has
-            n += len(batch)
-            best = batch.nsmallest(1, self.order) if first is None else pd.concat([first, batch]).nsmallest(1, self.order)
-            first = best
-        known = self.seen.exists()
-        self.seen.update(((self.seen.get()[0] if known else 0) + n,))
-        if not known and first is not None:
-            yield first
+        self.seen = handle.getMapState("seen", self.kind, "known boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        first = {}  # one row per key is held, however many a key has
+        for row in rows:
+            at = row[self.order]
+            at = (True, 0) if at is None or at != at else (False, at)  # missing times come last
+            held = first.get(row[self.key])
+            if held is None or at < held[0]:
+                first[row[self.key]] = (at, row)
+        for value, (_, row) in first.items():
+            name = (value is None, value)
+            known = self.seen.containsKey(name)
+            if not known or self.ttl_ms:  # the time a key is remembered starts anew with every row
+                self.seen.updateValue(name, (True,))
+            if not known:
+                yield Row(**{c: row[c] for c in self.columns})
 
     def close(self) -> None:
         pass
 
 
-def first_by_key(rows: DataFrame, key: str, order: str, ttl_ms: int | None = None) -> DataFrame:
+def first_by_key(rows: DataFrame, key: str, order: str, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The stream without rows whose key was there before.
 
     ``ttl_ms`` forgets a key so many milliseconds after its last row; by default it is never forgotten.
-    ``order`` is a numeric or time column.  Rows without a key are one key.
+    ``key`` is of a simple type, ``order`` is a numeric or time column.  Rows without a key are one key.  A checkpoint
+    belongs to its number of buckets.
     """
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstOfKey(order, ttl_ms),
+    kind = StructType([StructField("missing", BooleanType()), StructField("key", rows.schema[key].dataType)])
+    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return bucketed.groupBy("__bucket").transformWithState(
+        statefulProcessor=FirstOfKey(rows.columns, key, kind, order, ttl_ms),
         outputStructType=StructType(rows.schema.fields),
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
