@@ -1,12 +1,15 @@
 """The ways that take over for large or hot groups give the same rows."""
 
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
 from textloom.operators import groups, likelihood as lm, ranking as rk, sampling, splits, joins
+from textloom.session import CLEANUP, materialize
 from textloom.sources import writers
 
 
@@ -127,3 +130,21 @@ def test_exact_quantile_and_auroc_split(spark, monkeypatch):
     area = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert ev.auroc(df, ["g"]).first()["roc_auc"] == pytest.approx(area)
     assert Window is not None
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = spark.range(10_000).repartition(4, "id").groupBy((F.col("id") % 97).alias("g")).agg(F.sum("id").alias("s"))
+    written = materialize(rows, "grouped")
+    for _ in range(50):  # executors delete them a little later
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == set() and written.count() == 97
+    assert spark.conf.get(CLEANUP, None) != "true"

@@ -28,7 +28,7 @@ from textloom.operators.ranking import (
     salted_lookup,
     with_rank,
 )
-from textloom.session import materialize
+from textloom.session import materialize, release
 
 ORDERS = (1, 2, 3)
 
@@ -144,7 +144,9 @@ def token_likelihoods(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     The tokens are shuffled twice: once to count the distinct n-grams, which get
     the probabilities of all orders, and once to fetch them."""
-    scored = materialize(trigram_likelihoods(materialize(padded_counts(docs, 3), "padded")), "likelihoods")
+    counts = materialize(padded_counts(docs, 3), "padded")
+    scored = materialize(trigram_likelihoods(counts), "likelihoods")
+    release(counts)
     rows = padded_ngrams(docs, 3, key).where("pos >= 1")
     found = salted_lookup(rows, scored, gram_columns(3), "c", [key, "pos"], sizes=scored)
     return found.select(key, "pos", *[f"p{o}" for o in ORDERS])

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textloom.session import materialize, shuffle_partitions
+from textloom.session import materialize, one_use_shuffles, shuffle_partitions
 
 #: Largest group that one task sorts on its own.
 DIRECT_ROWS = 2_000_000
@@ -23,7 +23,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Number of rows of the largest key group (map-side combined count)."""
     if not keys:
         return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
+    with one_use_shuffles(df.sparkSession):
+        row = df.groupBy(*keys).count().agg(F.max("count")).first()
     return row[0] or 0
 
 

@@ -7,12 +7,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Largest side that is ever broadcast on purpose (rows, after the check below).
 BROADCAST_ROWS = 200_000
 
+#: Whether shuffle files go at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Applications that have the package.
 _SHIPPED: set[str] = set()
 
@@ -83,6 +87,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def one_use_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of frames that are made and run in here once they have run.
+
+    Otherwise they lie on the executors' disks until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back.
 
@@ -90,7 +111,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     often it is used, and keeps the statistics and column pruning of Parquet.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with one_use_shuffles(df.sparkSession):
+        df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._textloom_path = path
     return written
