@@ -405,6 +405,7 @@ def vector_features(vectors: DataFrame, key: str, programs: Sequence[str]) -> Da
     features = vectors.groupBy(key).agg(
         *[vector_feature(p).alias(n) for p, n in zip(programs, names)]
     )
+    features = materialize(features, "features")  # one row per document, used twice
     moments = features.agg(
         *[F.avg(n).alias(f"__m_{n}") for n in names],
         *[F.stddev_pop(n).alias(f"__s_{n}") for n in names],
