@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions.tokens import token_list
 from textloom.operators.ranking import salted_lookup
-from textloom.session import materialize
+from textloom.session import materialize, release
 
 #: Stands before the first token of a text; no token is empty.
 PAD = ""
@@ -202,6 +202,7 @@ def score_tokens(docs: DataFrame, model: BackoffModel, key: str = "doc_id", text
     rows = padded_ngrams(docs, model.order, key, text)
     distinct = materialize(rows.groupBy(*grams).agg(F.count("*").alias("n")), "distinct")
     scored = materialize(ngram_probabilities(distinct, model), "scored")
+    release(distinct)
     found = salted_lookup(rows, scored, grams, "n", [key, "pos"], sizes=scored)
     return found.select(key, "pos", *[f"p{k}" for k in range(1, model.order + 1)])
 
@@ -221,6 +222,9 @@ def cross_fitted(docs: DataFrame, fold: Column, folds: Sequence[int], order: int
     whole = None
     for number in folds:
         model = fit_backoff(numbered.where(F.col("__fold") != number), order)
-        scored = score_tokens(numbered.where(F.col("__fold") == number), model, key)
+        # Written, so that the shuffled tokens and the model of a fold are gone before those of the next.
+        scored = materialize(score_tokens(numbered.where(F.col("__fold") == number), model, key), "fold")
+        for part in (*model.grams.values(), *model.contexts.values()):
+            release(part)
         whole = scored if whole is None else whole.unionByName(scored)
     return whole
