@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.session import spread_small, table
+from textloom.session import spread, spread_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,12 @@ def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread_small(docs, "doc_id")
 
 
+def spread_corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents, dealt by id whatever the size: for what is grouped or joined by document and far
+    larger than its text."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 HUMAN, SYSTEM = "human", "system"
 
 

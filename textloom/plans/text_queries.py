@@ -18,7 +18,7 @@ from textloom.functions.patterns import (
 )
 from textloom.functions.statistics import METRICS, with_text_metrics, words
 from textloom.functions.tokens import encode_tokens, offset_table, token_table, vocabulary
-from textloom.plans.registry import corpus, query, r6
+from textloom.plans.registry import corpus, query, r6, spread_corpus
 from textloom.session import spread_small, table
 
 
@@ -235,7 +235,7 @@ def content_seed(spark, sf):
 )
 def word_table(spark, sf):
     """Word counts per document: the long form behind type and hapax counts."""
-    exploded = corpus(spark, sf).select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    exploded = spread_corpus(spark, sf).select("doc_id", F.explode(words(F.col("text"))).alias("word"))
     return exploded.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 

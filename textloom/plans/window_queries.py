@@ -8,7 +8,7 @@ from textloom.functions.patterns import SPACE, TOKEN
 from textloom.functions.text import content_seed
 from textloom.functions.tokens import token_list, with_token_offsets
 from textloom.operators import spans as sp, windows as wn
-from textloom.plans.registry import corpus, query, r6
+from textloom.plans.registry import corpus, query, r6, spread_corpus
 from textloom.plans.text_queries import PIECES_SQL, SENTENCES_SQL
 
 TOKENS = f"(SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents)"
@@ -101,9 +101,9 @@ SENTENCE_SPANS = f"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDE
    WHERE start < total))"""
 
 
-def spans(spark, sf):
+def spans(spark, sf, docs=corpus):
     feature_len = F.size(token_list(F.col("text")))
-    return wn.sentence_token_spans(corpus(spark, sf), "doc_id", feature_len)
+    return wn.sentence_token_spans(docs(spark, sf), "doc_id", feature_len)
 
 
 @query(
@@ -182,7 +182,7 @@ def mixed(spark, sf):
         F.lit("]"),
     )
     broken = (F.col("lang") == "es") & (F.col("source") < "src15")
-    docs = with_token_offsets(corpus(spark, sf, "lang", "source", "n_chars")).select(
+    docs = with_token_offsets(spread_corpus(spark, sf, "lang", "source", "n_chars")).select(
         "doc_id",
         "offsets",
         F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("label"),
@@ -191,7 +191,7 @@ def mixed(spark, sf):
         .otherwise(F.col("source"))
         .alias("source"),
     )
-    return docs.join(sp.span_arrays(spans(spark, sf), "doc_id"), "doc_id")
+    return docs.join(sp.span_arrays(spans(spark, sf, spread_corpus), "doc_id"), "doc_id")
 
 
 TOKEN_OFFSETS = f"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k,

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Largest side that is ever broadcast on purpose (rows, after the check below).
 BROADCAST_ROWS = 200_000
 
+#: What ``spread`` puts into a partition (bytes of the scan, as Parquet has them).
+SPREAD_BYTES = 16 * 1024 * 1024
+
 #: Whether shuffle files go at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -138,13 +141,22 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
 
     One small Parquet file is one task, however many cores there are.  The
     plan's own size estimate decides; input that already fills the cores is
-    returned untouched, so nothing is shuffled at scale.
+    returned untouched, so nothing is shuffled at scale.  A partition gets
+    ``SPREAD_BYTES`` at most, unless one key has more: what is grouped by the
+    key afterwards stays in these partitions.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     split = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+    return spread(df, key) if plan_bytes(df) < df.sparkSession.sparkContext.defaultParallelism * split else df
+
+
+def plan_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread by a key, over every core and into partitions that do not grow with the table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-plan_bytes(df) // SPREAD_BYTES)), key)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
