@@ -26,3 +26,12 @@ def test_partitions_follow_the_size_of_the_table(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(session, "SPREAD_BYTES", 4096)
     for docs in (registry.corpus(spark, sf_dir), registry.spread_corpus(spark, sf_dir)):
         assert docs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_offsets_are_found_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(tk, "SLICE_BYTES", 10)
+    found = list(tk._in_slices(iter([pa.array(["ab, c", None, "", "é d " * 9, "x"]), pa.array([], pa.string())]), True))
+    assert len(found) > 2
+    lists = [r for part in found for r in part.to_pylist()]
+    assert lists[:3] == [{"start": [0, 4], "end": [2, 5], "token": ["ab", "c"]}] + [{"start": [], "end": [], "token": []}] * 2
+    assert lists[3]["start"] == list(range(0, 36, 2)) and lists[4]["token"] == ["x"]

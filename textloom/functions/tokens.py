@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -11,6 +14,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from textloom.functions.patterns import TOKEN
 from textloom.operators.ranking import salted_lookup, with_rank
 
+#: Text that Python takes apart at a time.
+SLICE_BYTES = 1024 * 1024
+
 _TOKEN = regex.compile(TOKEN)
 _FOUND = StructType(
     [
@@ -27,26 +33,46 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def _places(found: list) -> np.ndarray:
-    return np.array([m.span() for m in found], dtype="int32").reshape(-1, 2)
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive parts of about ``SLICE_BYTES`` of text, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype="int64") // SLICE_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from (texts.slice(a, b - a) for a, b in zip(bounds, bounds[1:]))
 
 
-@F.pandas_udf(_FOUND)
-def _found_tokens(texts: pd.Series) -> pd.DataFrame:
-    starts, ends, tokens = [], [], []
-    for text in texts:
+def _found(texts: pa.Array, words: bool) -> pa.StructArray:
+    counts, places, tokens = [0], [], []
+    for text in texts.to_pylist():
         found = list(_TOKEN.finditer(text or ""))
-        places = _places(found)
-        starts.append(places[:, 0])
-        ends.append(places[:, 1])
-        tokens.append([m.group() for m in found])
-    return pd.DataFrame({"start": starts, "end": ends, "token": tokens})
-
-
-@F.pandas_udf(_PLACED)
-def _token_places(texts: pd.Series) -> pd.DataFrame:
-    places = [_places(list(_TOKEN.finditer(text or ""))) for text in texts]
-    return pd.DataFrame({"start": [p[:, 0] for p in places], "end": [p[:, 1] for p in places]})
+        counts.append(len(found))
+        places.extend(m.span() for m in found)
+        if words:
+            tokens.extend(m.group() for m in found)
+    offsets = pa.array(np.cumsum(counts), type=pa.int32())
+    both = np.array(places, dtype="int32").reshape(-1, 2)
+    parts = {"start": pa.array(both[:, 0].copy()), "end": pa.array(both[:, 1].copy())}
+    if words:
+        parts["token"] = pa.array(tokens, type=pa.string())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, p) for p in parts.values()], names=list(parts))
+
+
+def _in_slices(batches: Iterator[pa.Array], words: bool) -> Iterator[pa.Array]:
+    """What Python holds at a time are the matches of one slice, however many rows a batch has."""
+    for texts in batches:
+        for part in _slices(texts):
+            yield _found(part, words)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+
+
+@F.arrow_udf(_FOUND)
+def _found_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _in_slices(batches, True)
+
+
+@F.arrow_udf(_PLACED)
+def _token_places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _in_slices(batches, False)
 
 
 def with_token_offsets(docs: DataFrame, text: str = "text", out: str = "offsets") -> DataFrame:
