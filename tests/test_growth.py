@@ -35,3 +35,16 @@ def test_offsets_are_found_in_bounded_slices(monkeypatch):
     lists = [r for part in found for r in part.to_pylist()]
     assert lists[:3] == [{"start": [0, 4], "end": [2, 5], "token": ["ab", "c"]}] + [{"start": [], "end": [], "token": []}] * 2
     assert lists[3]["start"] == list(range(0, 36, 2)) and lists[4]["token"] == ["x"]
+
+
+def test_ngrams_are_made_without_a_lambda(spark):
+    for order in lm.ORDERS:
+        grams = lm.ngram_rows(texts(spark), order)
+        assert "lambda" not in plan(grams)
+        expected = []
+        for key, text in TEXTS:
+            t = [w.strip(".").lower() for w in (text or "").split()]
+            expected += [(key, i, *t[i - order + 1 : i + 1]) for i in range(order - 1, len(t))]
+        assert rows(grams) == sorted(expected, key=repr)
+        counts = {tuple(r)[:-1]: r["c"] for r in lm.ngram_counts(texts(spark), order).collect()}
+        assert counts == {g: [e[2:] for e in expected].count(g) for g in {e[2:] for e in expected}}
