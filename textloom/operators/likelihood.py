@@ -306,7 +306,8 @@ def branch_paths(
         F.col("p").alias("next_p"),
         F.col("rank").cast("int").alias("rank"),
     )
-    best = best.where(F.col("next") != end_token)
+    # Both are written: the union below would work every level out again from the counts.
+    best = materialize(best.where(F.col("next") != end_token), "best")
     level = start.select(
         "token",
         F.lit(0).alias("depth"),
@@ -325,6 +326,7 @@ def branch_paths(
             F.col("rank").alias("sibling"),
             F.col("next_p").alias("p"),
         )
+        level = materialize(level, "level")
         nodes = level if nodes is None else nodes.unionByName(level)
     return nodes
 
