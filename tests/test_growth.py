@@ -48,3 +48,11 @@ def test_ngrams_are_made_without_a_lambda(spark):
         assert rows(grams) == sorted(expected, key=repr)
         counts = {tuple(r)[:-1]: r["c"] for r in lm.ngram_counts(texts(spark), order).collect()}
         assert counts == {g: [e[2:] for e in expected].count(g) for g in {e[2:] for e in expected}}
+
+
+def test_levels_and_kept_continuations_are_worked_out_once(spark):
+    model = lm.ngram_model(lm.train(texts(spark), 2), 2)
+    nodes = lm.branch_paths(model, spark.createDataFrame([("a",)], "token string"), k=2, depth=3)
+    assert "Join" not in plan(nodes) and "Window" not in plan(nodes)
+    assert ("b", 1, "a b") in rows(nodes, "token", "depth", "path")
+    assert plan(lm.filter_top_p(model, 2, 0.5)).count("Window") == 1

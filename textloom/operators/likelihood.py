@@ -339,7 +339,7 @@ def filter_top_p(model: DataFrame, order: int, p: float, share: str = "p") -> Da
     placed = running_totals(
         model, [F.desc("c"), F.col(grams[-1])], {"__before": F.col(share)}, keys=grams[:-1]
     )
-    kept = placed.where(F.col("__before") < F.lit(p)).drop("__before")
+    kept = materialize(placed.where(F.col("__before") < F.lit(p)).drop("__before"), "kept")
     joined = _attach(kept, order, {"__kept": lambda over: over(F.sum(share))})
     return joined.withColumn(share, F.col(share) / F.col("__kept")).drop("__kept")
 
