@@ -56,3 +56,15 @@ def test_levels_and_kept_continuations_are_worked_out_once(spark):
     assert "Join" not in plan(nodes) and "Window" not in plan(nodes)
     assert ("b", 1, "a b") in rows(nodes, "token", "depth", "path")
     assert plan(lm.filter_top_p(model, 2, 0.5)).count("Window") == 1
+
+
+def test_places_of_possible_ends_are_found_once(spark, monkeypatch):
+    model = st.learn_boundaries(texts(spark))
+    calls, ends = [], st.possible_ends
+    monkeypatch.setattr(st, "possible_ends", lambda *a, **b: calls.append(1) or ends(*a, **b))
+    st.no_ends(texts(spark), model).collect()
+    assert len(calls) == 1
+    assert "lambda" not in plan(st.token_counts(texts(spark)))
+    assert rows(st.token_counts(texts(spark).where("doc_id < 5"))) == [
+        ("C", True, 1), ("a", False, 2), ("a", True, 1), ("b", False, 1), ("b", True, 1), ("b.", False, 1)
+    ]

@@ -47,7 +47,7 @@ def pieces(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, rf"[{SPACE}]+"), lambda t: t != "")
+    return F.array_remove(F.split(text, rf"[{SPACE}]+"), "")
 
 
 def token_type(token: Column) -> Column:
@@ -75,11 +75,11 @@ def token_case(token: Column) -> Column:
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, begins, c): distinct tokens, apart at the beginning of a text or behind an ender."""
     listed = docs.select(tokens(F.col(text)).alias("__t"))
-    rows = F.transform(
-        F.col("__t"),
-        lambda t, i: F.struct(t.alias("token"), ((i == 0) | F.get("__t", i - 1).rlike(ENDS)).alias("begins")),
-    )
-    return listed.select(F.inline(rows)).groupBy("token", "begins").agg(F.count("*").alias("c"))
+    # Each token beside the one before it; the first stands behind an ender.
+    before = F.concat(F.array(F.lit(".")), F.slice("__t", F.lit(1), F.greatest(F.size("__t") - 1, F.lit(0))))
+    before = F.slice(before, F.lit(1), F.size("__t"))
+    rows = listed.select(F.inline(F.arrays_zip(F.col("__t").alias("token"), before.alias("before"))))
+    return rows.groupBy("token", F.col("before").rlike(ENDS).alias("begins")).agg(F.count("*").alias("c"))
 
 
 def possible_ends(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +160,11 @@ class SentenceModel:
 
 def described_pairs(docs: DataFrame, scores: DataFrame, key: str, text: str) -> DataFrame:
     """(last, first, c) around the possible ends of the texts, with what the decision asks of the two tokens."""
-    pairs = possible_ends(docs, key, text).groupBy("last", "first").agg(F.count("*").alias("c"))
+    return _described(possible_ends(docs, key, text), scores)
+
+
+def _described(places: DataFrame, scores: DataFrame) -> DataFrame:
+    pairs = places.groupBy("last", "first").agg(F.count("*").alias("c"))
     pairs = pairs.select(
         "last",
         "first",
@@ -236,9 +240,10 @@ def decide(pairs: DataFrame, model: SentenceModel) -> DataFrame:
 
 def no_ends(docs: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, goes_on): the possible ends of a text, by number, that are none."""
-    decided = decide(described_pairs(docs, model.abbreviations, key, text), model)
+    places = materialize(possible_ends(docs, key, text), "places")  # of all sentences, used twice
+    decided = decide(_described(places, model.abbreviations), model)
     pairs = materialize(decided.where("NOT ends").select("last", "first", "c"), "no-ends")
-    found = salted_lookup(possible_ends(docs, key, text), pairs, ["last", "first"], "c", [key, "at"], sizes=pairs)
+    found = salted_lookup(places, pairs, ["last", "first"], "c", [key, "at"], sizes=pairs)
     # Bounded by the pieces of one text.
     return found.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("goes_on"))
 
