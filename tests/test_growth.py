@@ -58,6 +58,15 @@ def test_levels_and_kept_continuations_are_worked_out_once(spark):
     assert plan(lm.filter_top_p(model, 2, 0.5)).count("Window") == 1
 
 
+def test_micro_batches_keep_every_core_busy(spark, sf_dir, monkeypatch):
+    asked = []
+    read = jobs.read_files
+    monkeypatch.setattr(jobs, "read_files", lambda *a, **b: asked.append(b["files_per_trigger"]) or read(*a, **b))
+    found = streaming_queries.stream_features(spark, sf_dir)
+    assert asked[0] >= spark.sparkContext.defaultParallelism
+    assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_places_of_possible_ends_are_found_once(spark, monkeypatch):
     model = st.learn_boundaries(texts(spark))
     calls, ends = [], st.possible_ends

@@ -9,7 +9,7 @@ from textloom.operators import models as md
 from textloom.plans.model_queries import features
 from textloom.plans.registry import query, r6
 from textloom.plans.text_queries import _per_document, _rounded
-from textloom.session import scratch_path, table
+from textloom.session import SPREAD_BYTES, plan_bytes, scratch_path, table
 from textloom.streaming import jobs, keyed_state
 
 
@@ -56,8 +56,10 @@ def stream_insert_if_absent(spark, sf):
 def stream_features(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "stats")
-    docs.repartition(8, "doc_id").write.parquet(inbox)
-    rows = jobs.read_files(spark, inbox, docs.schema, files_per_trigger=4)
+    # A micro-batch takes a quarter of the files, and these are enough for every core, or of a bounded size.
+    files = 4 * max(2, spark.sparkContext.defaultParallelism, -(-plan_bytes(docs) // (4 * SPREAD_BYTES)))
+    docs.repartition(files, "doc_id").write.parquet(inbox)
+    rows = jobs.read_files(spark, inbox, docs.schema, files_per_trigger=files // 4)
     offsets = scratch_path(spark, "offsets")
     jobs.stream_features(rows, lambda batch: with_text_metrics(batch).drop("text"), out, offsets)
     return _rounded(spark.read.parquet(out))
