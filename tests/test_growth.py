@@ -50,6 +50,14 @@ def test_ngrams_are_made_without_a_lambda(spark):
         assert counts == {g: [e[2:] for e in expected].count(g) for g in {e[2:] for e in expected}}
 
 
+def test_windows_are_cut_before_they_are_grouped(spark):
+    docs = spark.createDataFrame([(1, [str(i) for i in range(300)]), (2, [])], "k long, t array<string>")
+    whole = wn.reassemble_windows(wn.sliding_token_windows(docs, "t", 64, 16), "k")
+    grouped = next(line for line in plan(whole).splitlines() if "Aggregate" in line)
+    assert "slice(" not in grouped
+    assert {r["k"]: r["tokens"] for r in whole.collect()} == {1: [str(i) for i in range(300)], 2: []}
+
+
 def test_levels_and_kept_continuations_are_worked_out_once(spark):
     model = lm.ngram_model(lm.train(texts(spark), 2), 2)
     nodes = lm.branch_paths(model, spark.createDataFrame([("a",)], "token string"), k=2, depth=3)

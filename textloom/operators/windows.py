@@ -61,8 +61,10 @@ def sliding_token_windows(
 def reassemble_windows(df: DataFrame, key: str) -> DataFrame:
     """Inverse of the windows: drop each context, order by offset, concatenate."""
     own = F.expr("slice(input_ids, start_token_idx + 1, greatest(size(input_ids) - start_token_idx, 0))")
-    pieces = F.sort_array(F.collect_list(F.struct("prefix_token_offset", own.alias("own"))))
-    return df.groupBy(key).agg(pieces.alias("p")).select(
+    # Cut before the grouping: else rows that are sorted or spilled there carry every context.
+    cut = df.select(key, "prefix_token_offset", own.alias("own"))
+    pieces = F.sort_array(F.collect_list(F.struct("prefix_token_offset", "own")))
+    return cut.groupBy(key).agg(pieces.alias("p")).select(
         key, F.flatten(F.col("p.own")).alias("tokens")
     )
 
