@@ -58,6 +58,19 @@ def test_windows_are_cut_before_they_are_grouped(spark):
     assert {r["k"]: r["tokens"] for r in whole.collect()} == {1: [str(i) for i in range(300)], 2: []}
 
 
+def test_standardize_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def dear(x):
+        seen.add(1)
+        return float(x)
+
+    scaled = md.standardize(spark.range(4).select("id", dear("id").alias("x")), ["x"])
+    assert [round(r["x"], 4) for r in scaled.orderBy("id").collect()] == [-1.3416, -0.4472, 0.4472, 1.3416]
+    assert seen.value == 4
+
+
 def test_levels_and_kept_continuations_are_worked_out_once(spark):
     model = lm.ngram_model(lm.train(texts(spark), 2), 2)
     nodes = lm.branch_paths(model, spark.createDataFrame([("a",)], "token string"), k=2, depth=3)

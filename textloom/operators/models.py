@@ -33,6 +33,7 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The scaler of Spark ML divides by the sample deviation; as a pipeline stage
     it differs from this by the factor sqrt((n - 1) / n).
     """
+    df = materialize(df, "standardize")  # used twice, and the columns may be dear
     moments = df.agg(
         *[F.avg(c).alias(f"__m_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns],
