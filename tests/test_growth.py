@@ -50,6 +50,14 @@ def test_ngrams_are_made_without_a_lambda(spark):
         assert counts == {g: [e[2:] for e in expected].count(g) for g in {e[2:] for e in expected}}
 
 
+def test_repeated_words_are_counted_without_a_lambda_over_pairs(spark):
+    docs = spark.createDataFrame([("the the a",), ("a A aa a b b c",), ("",), ("- -",), ("x " * 30_000,)], "text string")
+    measured = with_text_metrics(docs)
+    assert "zip_with" not in plan(measured)
+    found = [(r["n_words"], round(r["type_token_ratio"], 6), round(r["hapax_ratio"], 6)) for r in measured.collect()]
+    assert found == [(3, 0.666667, 0.333333), (7, 0.571429, 0.285714), (0, 0.0, 0.0), (0, 0.0, 0.0), (30_000, 0.000033, 0.0)]
+
+
 def test_windows_are_cut_before_they_are_grouped(spark):
     docs = spark.createDataFrame([(1, [str(i) for i in range(300)]), (2, [])], "k long, t array<string>")
     whole = wn.reassemble_windows(wn.sliding_token_windows(docs, "t", 64, 16), "k")

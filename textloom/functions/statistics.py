@@ -31,6 +31,11 @@ METRICS = [
 ]
 
 
+#: A run of equal words in a sorted list, a space before, between and behind them; possessive, so that
+#: neither a long word nor a long run is tried twice.
+REPEATED = r"(?<= )([^ ]++) (?:\1 )++"
+
+
 def words(text: Column) -> Column:
     """White-space pieces without outer punctuation that hold a letter or number.
 
@@ -81,7 +86,8 @@ def with_text_metrics(df: DataFrame, text: str = "text", ascii_rules: bool = Fal
     """
     body = F.coalesce(F.col(text), F.lit(""))
     no_punct = rf"[\p{{L}}\p{{N}}{SPACE}]+" if ascii_rules else rf"[{WORD}{SPACE}]+"
-    # Letters and plain ASCII hold no digit: a cheap class first, the long one on the rest.
+    # Letters and plain ASCII hold no digit, plain ASCII but A-Z no capital: a cheap class first, the long one on the rest.
+    maybe_upper = F.regexp_replace(body, r"[\x00-@\[-\x{BF}]+", "")
     maybe_digit = F.regexp_replace(body, r"[\x00-/:-\x{B1}\p{L}]+", "")
     tokens = words_ascii(body) if ascii_rules else words(body)
     runs = _matches(body, SENTENCE_RUN)
@@ -89,30 +95,22 @@ def with_text_metrics(df: DataFrame, text: str = "text", ascii_rules: bool = Fal
         ~body.rlike(rf"[^{SPACE}]") if ascii_rules else body == F.lit("")
     )
     staged = df.withColumn("__tokens", tokens).withColumn(
-        "__sorted", F.sort_array(F.transform("__tokens", F.lower))
+        "__sorted",
+        F.array_remove(F.sort_array(F.split(F.lower(F.array_join("__tokens", " ")), " ")), ""),
     )
     staged = staged.withColumns(
         {
             "__types": F.size(F.array_distinct("__sorted")).cast("bigint"),
-            "__repeated": F.size(
-                F.array_distinct(
-                    F.filter(
-                        F.zip_with(
-                            F.slice("__sorted", 2, F.greatest(F.size("__sorted") - 1, F.lit(1))),
-                            F.slice("__sorted", 1, F.greatest(F.size("__sorted") - 1, F.lit(1))),
-                            lambda a, b: F.when(a == b, a),
-                        ),
-                        lambda w: w.isNotNull(),
-                    )
-                )
-            ).cast("bigint"),
+            "__repeated": _matches(
+                F.concat(F.lit(" "), F.array_join("__sorted", " "), F.lit(" ")), REPEATED
+            ),
             "n_chars": F.length(body).cast("bigint"),
             "n_chars_nospace": _left_over(body, rf"[{SPACE}]+"),
             "n_words": F.size("__tokens").cast("bigint"),
             "__word_chars": F.length(F.array_join("__tokens", "")).cast("bigint"),
             "n_sents": F.when(empty, F.lit(0)).otherwise(F.greatest(runs, F.lit(1))).cast("bigint"),
             "n_punct": _left_over(body, no_punct),
-            "__upper": _left_over(body, f"[^{UPPER}]+"),
+            "__upper": _left_over(maybe_upper, f"[^{UPPER}]+"),
             "__digit": _left_over(maybe_digit, f"[^{DIGIT}]+"),
             "url_count": _matches(body, URL),
         }
