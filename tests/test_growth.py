@@ -106,3 +106,20 @@ def test_places_of_possible_ends_are_found_once(spark, monkeypatch):
     assert rows(st.token_counts(texts(spark).where("doc_id < 5"))) == [
         ("C", True, 1), ("a", False, 2), ("a", True, 1), ("b", False, 1), ("b", True, 1), ("b.", False, 1)
     ]
+
+
+def test_one_model_lies_on_disk_at_a_time(spark, monkeypatch):
+    written, most = set(), []
+    write, drop = lm.materialize, lm.release
+
+    def seen(df, label):
+        out = write(df, label)
+        written.add(out._textloom_path)
+        most.append(sum("ngrams" in p or "scoring" in p for p in written))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", seen)
+    monkeypatch.setattr(lm, "release", lambda t: (written.discard(t._textloom_path), drop(t)))
+    found = lm.scores_per_layer(texts(spark).where("doc_id < 5"), lm.one_at_a_time(texts(spark).where("doc_id < 5")))
+    assert rows(found, "doc_id", "layer", "n") == [(1, 1, 5), (1, 2, 5), (1, 3, 4)]
+    assert max(most) <= 2 and not [p for p in written if "layer" not in p]
