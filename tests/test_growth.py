@@ -7,7 +7,7 @@ from conftest import rows
 from textloom import session
 from textloom.functions import tokens as tk
 from textloom.functions.statistics import with_text_metrics
-from textloom.operators import likelihood as lm, models as md, sentences as st, windows as wn
+from textloom.operators import likelihood as lm, models as md, ranking as rk, sentences as st, windows as wn
 from textloom.plans import registry, streaming_queries
 from textloom.streaming import jobs
 
@@ -123,3 +123,24 @@ def test_one_model_lies_on_disk_at_a_time(spark, monkeypatch):
     found = lm.scores_per_layer(texts(spark).where("doc_id < 5"), lm.one_at_a_time(texts(spark).where("doc_id < 5")))
     assert rows(found, "doc_id", "layer", "n") == [(1, 1, 5), (1, 2, 5), (1, 3, 4)]
     assert max(most) <= 2 and not [p for p in written if "layer" not in p]
+
+
+def test_layers_are_scored_in_shares_of_their_ngrams(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c a b d. a b c"), (2, "b c a x"), (2, "a b"), (3, None), (None, "c a b d")], "doc_id long, text string")
+    r9 = [F.round(c, 9) for c in ("llr", "fast_detect")]
+    plain = [(k, o, *r) for o in lm.ORDERS for k, *r in rows(lm.document_scores(docs, o).select("doc_id", "n", *r9))]
+    looked, look = [], lm.salted_lookup
+    monkeypatch.setattr(lm, "salted_lookup", lambda left, *a, **k: looked.append(left.count()) or look(left, *a, **k))
+    found = lm.scores_per_layer(lm.tokenized(docs), lm.one_at_a_time(docs))
+    assert sorted(rows(found.select("doc_id", "layer", "n", *r9)), key=str) == sorted(plain, key=str)
+    assert len(looked) == sum(lm.PARTS.values()) > 3 and sum(looked) == 15 + 15 + 11
+
+
+def test_sizes_of_groups_are_bounded_by_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(1,), (1,), (1,), (2,), (2,), (None,)], "k int")
+    asked, largest = [], rk.largest_group
+    monkeypatch.setattr(rk, "largest_group", lambda d, keys: asked.append(list(keys)) or largest(d, keys))
+    assert rk.groups_within(df, ["k"], 3) and asked == [["__bucket"]]
+    assert not rk.groups_within(df, ["k"], 2) and not rk.groups_within(df, [], 5)
+    monkeypatch.setattr(rk, "HASH_BUCKETS", 1)  # all in one bucket: the groups themselves decide
+    assert rk.groups_within(df, ["k"], 3) and asked[-1] == ["k"]
