@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -88,11 +88,20 @@ def group_sentences(sentences: Column, per_chunk: int = 4) -> Column:
     )
 
 
+def _pieces(text: Column) -> Column:
+    marked = F.regexp_replace(text, rf"([.!?]+)[{SPACE}]+", "$1\u0001")
+    return F.split(marked, "\u0001")
+
+
 def split_sentences(text: Column) -> Column:
     """Fixed rule: a sentence ends after a run of ``.!?`` that white space or
     the end of the text follows."""
-    marked = F.regexp_replace(text, rf"([.!?]+)[{SPACE}]+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
+    return F.filter(F.transform(_pieces(text), strip), lambda s: s != "")
+
+
+def sentence_sizes(text: Column, size: Callable[[Column], Column]) -> Column:
+    """``size`` of each sentence of ``split_sentences``, for sizes that white space at its ends does not change."""
+    return F.transform(F.filter(_pieces(text), lambda s: s.rlike(f"[^{SPACE}]")), size)
 
 
 def join_chunks(chunks: Column) -> Column:

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from textloom.functions.text import split_sentences, split_whitespace
-from textloom.functions.tokens import token_list
+from textloom.functions.text import sentence_sizes, split_whitespace
+from textloom.functions.tokens import token_count, token_list
 from textloom.operators.ranking import seeded_hash
 
 
@@ -129,18 +129,19 @@ def fixed_chunks(
 
 
 def sentence_token_spans(
-    docs: DataFrame, key: str, feature_len: Column, text: str = "text", min_length: int = -1
+    docs: DataFrame, key: str, feature_len: Column | None = None, text: str = "text", min_length: int = -1
 ) -> DataFrame:
     """(key, span_no, start, end): token range of every sentence, cut at
-    ``feature_len``; sentences that start beyond it are gone."""
+    ``feature_len``; sentences that start beyond it are gone.  Without one it
+    is the number of tokens of the text."""
     # Both are fixed before the rows multiply: next to a generator an expression
     # would be evaluated for every sentence.
-    sized = docs.select(
-        key,
-        feature_len.alias("feature_len"),
-        F.transform(split_sentences(F.col(text)), lambda s: F.size(token_list(s))).alias("sizes"),
-    )
-    counted = sized.select(key, "feature_len", F.posexplode("sizes").alias("sent_no", "n"))
+    sized = docs.withColumn("sizes", sentence_sizes(F.col(text), token_count))
+    if feature_len is None:  # a sentence neither ends nor is trimmed inside a token
+        feature_len = F.aggregate("sizes", F.lit(0), lambda total, n: total + n)
+    sized = sized.select(key, feature_len.alias("feature_len"), "sizes")
+    # Not plain posexplode: for it the sizes are worked out once more, to drop rows without any.
+    counted = sized.select(key, "feature_len", F.posexplode_outer("sizes").alias("sent_no", "n")).where("sent_no IS NOT NULL")
     before = Window.partitionBy(key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
     spans = placed.where("start < feature_len").select(

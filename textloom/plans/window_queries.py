@@ -101,9 +101,8 @@ SENTENCE_SPANS = f"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDE
    WHERE start < total))"""
 
 
-def spans(spark, sf, docs=corpus):
-    feature_len = F.size(token_list(F.col("text")))
-    return wn.sentence_token_spans(docs(spark, sf), "doc_id", feature_len)
+def spans(docs):
+    return wn.sentence_token_spans(docs, "doc_id")
 
 
 @query(
@@ -111,7 +110,7 @@ def spans(spark, sf, docs=corpus):
     sql=f"""SELECT doc_id, span_no::INT AS span_no, start::INT AS start, stop::INT AS "end" FROM {SENTENCE_SPANS}""",
 )
 def sentence_token_spans(spark, sf):
-    return spans(spark, sf)
+    return spans(corpus(spark, sf))
 
 
 @query(
@@ -122,7 +121,7 @@ def sentence_token_spans(spark, sf):
             FROM {SENTENCE_SPANS}""",
 )
 def stack_neighbour_spans(spark, sf):
-    return wn.stack_neighbour_spans(spans(spark, sf), "doc_id", k=2)
+    return wn.stack_neighbour_spans(spans(corpus(spark, sf)), "doc_id", k=2)
 
 
 @query("WN-07", sql=f"SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS text FROM {TOKENS}")
@@ -182,16 +181,20 @@ def mixed(spark, sf):
         F.lit("]"),
     )
     broken = (F.col("lang") == "es") & (F.col("source") < "src15")
-    docs = with_token_offsets(spread_corpus(spark, sf, "lang", "source", "n_chars")).select(
+    # Both sides of the join are made of the same dealt rows, so that neither is dealt again.
+    docs = spread_corpus(spark, sf, "lang", "source", "n_chars")
+    labelled = docs.select(
         "doc_id",
-        "offsets",
+        "text",
         F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("label"),
         F.when(F.col("lang") == "fr", span)
         .when(broken, F.concat("source", F.lit("__[a:b]")))
         .otherwise(F.col("source"))
         .alias("source"),
     )
-    return docs.join(sp.span_arrays(spans(spark, sf, spread_corpus), "doc_id"), "doc_id")
+    placed = labelled.join(sp.span_arrays(spans(docs), "doc_id"), "doc_id")
+    # Offsets are found behind the join, which sorts the rows: they are several times larger than the text.
+    return with_token_offsets(placed).drop("text")
 
 
 TOKEN_OFFSETS = f"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k,
@@ -231,9 +234,9 @@ def labelled_spans(spark, sf):
 
 @query("SC-17", sql=f"SELECT doc_id, span_no::INT AS span_no, span_label FROM {SPAN_LABELS}")
 def span_labels(spark, sf):
-    return labelled_spans(spark, sf).select(
-        "doc_id", F.posexplode("span_labels").alias("span_no", "span_label")
-    )
+    # Not plain posexplode: for it the labels are worked out once more, before the join, to drop documents without any.
+    rows = labelled_spans(spark, sf).select("doc_id", F.posexplode_outer("span_labels").alias("span_no", "span_label"))
+    return rows.where("span_no IS NOT NULL")
 
 
 @query(
@@ -256,7 +259,7 @@ def fold_fusion_label(spark, sf):
 )
 def document_score(spark, sf):
     probability = 1.0 / (1 + F.col("end") - F.col("start"))
-    scored = sp.document_score(spans(spark, sf), "doc_id", probability)
+    scored = sp.document_score(spans(corpus(spark, sf)), "doc_id", probability)
     listed = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return scored.select(
         "doc_id",
