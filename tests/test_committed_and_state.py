@@ -5,8 +5,10 @@ import os
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from textloom.sources import committed
 from textloom.streaming import jobs, keyed_state
 
@@ -45,6 +47,25 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert committed.read_committed(spark, path, SCHEMA).count() == 50
 
 
+def test_a_task_that_ends_after_its_job_failed_leaves_nothing(tmp_path, monkeypatch):
+    class Context:
+        partitionId = taskAttemptId = lambda self: 0
+
+    monkeypatch.setattr(committed.TaskContext, "get", lambda: Context())
+    writer = committed.CommittedWriter(StructType([StructField("id", LongType())]), {"path": str(tmp_path / "out")})
+    batch = pa.RecordBatch.from_pylist([{"id": 1}])
+
+    def batches():
+        writer.abort([None])
+        yield batch
+
+    assert writer.write(iter([batch])).rows == 1
+    for late in (batches(), iter([batch])):  # failed while the task writes, and before it begins
+        with pytest.raises(RuntimeError, match="has failed"):
+            writer.write(late)
+        assert not [f for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
+
+
 def test_parts_without_a_manifest_are_no_data(spark, tmp_path):
     path = str(tmp_path / "out")
     committed.write_committed(spark.createDataFrame(ROWS, SCHEMA), path)

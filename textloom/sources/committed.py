@@ -3,7 +3,8 @@
 ``df.write.format("committed_lines").option("path", folder)`` writes one file of JSON
 lines, or one XML file per row, for each task below ``folder``.  What counts is the
 manifest, written last with the time, the totals and the parts; a failed job removes
-its parts, and parts that no manifest names are no data.
+its parts, and parts that no manifest names are no data.  Tasks may still run when their
+job has failed, so it first leaves a mark, and a task that finds it removes its own files.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.types import StructType
 
 FORMAT = "committed_lines"
 MANIFESTS = "_manifests"
+ABORTED = "_aborted"
 
 
 @dataclass
@@ -75,6 +77,8 @@ class CommittedWriter(DataSourceArrowWriter):
                             line = (json.dumps(row, ensure_ascii=False, default=str) + "\n").encode()
                             out.write(line)
                             part.rows, part.bytes = part.rows + 1, part.bytes + len(line)
+            if files.get_file_info(f"{folder}/{ABORTED}/{self.job}").type != pafs.FileType.NotFound:
+                raise RuntimeError(f"job {self.job} has failed")
         except BaseException:
             for name in part.files:
                 _remove(files, f"{folder}/{name}")
@@ -103,8 +107,11 @@ class CommittedWriter(DataSourceArrowWriter):
         files.move(aside, f"{folder}/{MANIFESTS}/{self.job}.json")
 
     def abort(self, messages: list[Part | None]) -> None:
-        """Remove all parts of the job, also of tasks that were killed; one that still writes is named by no manifest."""
+        """Remove all parts of the job, also of tasks that were killed; one that still writes finds the mark when it ends."""
         files, folder = _opened(self.path)
+        files.create_dir(f"{folder}/{ABORTED}", recursive=True)
+        with files.open_output_stream(f"{folder}/{ABORTED}/{self.job}"):
+            pass
         for found in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
             if found.base_name.startswith(f"part-{self.job}-"):
                 _remove(files, found.path)
