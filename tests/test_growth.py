@@ -138,6 +138,37 @@ def test_layers_are_scored_in_shares_of_their_ngrams(spark, monkeypatch):
     assert len(looked) == sum(lm.PARTS.values()) > 3 and sum(looked) == 15 + 15 + 11
 
 
+def test_a_share_of_an_order_is_a_small_part_of_its_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(i * i + k) % 97}" for i in range(k, k + 200))) for k in range(5)], "doc_id long, text string")
+    looked, sums, most = [], set(), []
+    look, write, drop = lm.salted_lookup, lm.materialize, lm.release
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "layer_sums":
+            sums.add(out._textloom_path)
+            most.append(len(sums))
+        return out
+
+    monkeypatch.setattr(lm, "salted_lookup", lambda left, *a, **k: looked.append(left.count()) or look(left, *a, **k))
+    monkeypatch.setattr(lm, "materialize", seen)
+    monkeypatch.setattr(lm, "release", lambda t: (sums.discard(t._textloom_path), drop(t)))
+    found = lm.scores_per_layer(lm.tokenized(docs), lm.one_at_a_time(lm.tokenized(docs), (3,)))
+    assert rows(found, "doc_id", "n") == [(k, 198) for k in range(5)]
+    assert sum(looked) == 5 * 198 and max(looked) < 0.2 * sum(looked)
+    assert max(most) == 2 and not sums  # those of all shares before, and with the new one
+
+
+def test_a_context_is_sorted_once(spark):
+    counts = lm.train(texts(spark), 3)
+    scoring = lm.scoring_model(counts, 3)
+    executed = scoring._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", executed.split("Initial Plan")[0])) == 1
+    assert {(r["w1"], r["w2"], r["w3"], r["c"], r["rank"], round(r["p"], 6)) for r in scoring.where("w1 = 'a' and w2 = 'b'").collect()} == {
+        ("a", "b", "a", 2, 0, 0.5), ("a", "b", "c", 2, 1, 0.5)
+    }
+
+
 def test_sizes_of_groups_are_bounded_by_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,), (2,), (None,)], "k int")
     asked, largest = [], rk.largest_group
