@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from textloom.operators import likelihood as lm, packs as pk
+from textloom.plans import model_queries as mq
 
 TEXTS = [(1, "a b a b. C a"), (2, ""), (3, None), (4, "b"), (5, "a b a b c c c ab abc"), (5, "b a x"), (None, "a b c ab"), (None, "zoë a"), (7, "c c")]
 
@@ -64,3 +65,14 @@ def test_tokens_are_not_rows_of_a_shuffle(spark):
 def test_no_tokens_give_no_rows(spark):
     likely = lm.token_likelihoods(spark.createDataFrame([(1, None), (2, " . ")], "doc_id long, text string"))
     assert likely.collect() == [] and lm.likelihood_matrix(likely).collect() == []
+
+
+def test_matrices_are_not_joined(spark, sf_dir, monkeypatch):
+    """The labels meet vectors of a fixed length, not the matrices."""
+    written, write = {}, mq.materialize
+    monkeypatch.setattr(mq, "materialize", lambda df, label: written.update({label: df}) or write(df, label))
+    monkeypatch.setattr(mq.ev, "binary_metrics", lambda scored: scored.groupBy("y_true").agg(F.avg("y_score").alias("s")))
+    for query, label in ((mq.sequence_feature_classifier, "matrices"),):
+        assert 1 <= query(spark, sf_dir).count() <= 2
+        moved = [line for line in written[label]._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].splitlines()]
+        assert "intermediate_likelihoods" not in "".join(moved) and set(written) <= {"matrices", "kernels"}

@@ -138,9 +138,11 @@ def sequence_feature_classifier(spark, sf):
     """Likelihood matrices of three orders, brought to 128 positions and flattened."""
     docs = corpus(spark, sf)
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    matrix = lm.likelihood_matrix(lm.token_likelihoods(docs)).join(labels, "doc_id")
+    matrix = lm.likelihood_matrix(lm.token_likelihoods(docs))
     vector = md.flatten_matrix(F.col("intermediate_likelihoods"), length=128, layers=3)
-    rows = matrix.select("doc_id", "label", vector.alias("features"), hash_split().alias("split"))
+    # The join moves the vectors, which are bounded, and not the matrices.
+    rows = matrix.select("doc_id", vector.alias("features")).join(labels, "doc_id")
+    rows = rows.select("doc_id", "label", "features", hash_split().alias("split"))
     train, test = train_test(materialize(rows, "matrices"))
     model = md.sequence_classifier(inputs=384, rounds=30).fit(train)
     return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
