@@ -72,7 +72,7 @@ def test_matrices_are_not_joined(spark, sf_dir, monkeypatch):
     written, write = {}, mq.materialize
     monkeypatch.setattr(mq, "materialize", lambda df, label: written.update({label: df}) or write(df, label))
     monkeypatch.setattr(mq.ev, "binary_metrics", lambda scored: scored.groupBy("y_true").agg(F.avg("y_score").alias("s")))
-    for query, label in ((mq.sequence_feature_classifier, "matrices"),):
+    for query, label in ((mq.sequence_feature_classifier, "matrices"), (mq.sequence_convolution, "kernels")):
         assert 1 <= query(spark, sf_dir).count() <= 2
         moved = [line for line in written[label]._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].splitlines()]
         assert "intermediate_likelihoods" not in "".join(moved) and set(written) <= {"matrices", "kernels"}

@@ -151,12 +151,14 @@ def sequence_feature_classifier(spark, sf):
 @query("ML-07")
 def sequence_convolution(spark, sf):
     """Kernels over the whole likelihood matrices of any length, then a linear model."""
-    likelihoods = materialize(lm.token_likelihoods(corpus(spark, sf)), "likelihoods")
+    likelihoods = lm.token_likelihoods(corpus(spark, sf))
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    matrix = lm.likelihood_matrix(likelihoods).join(labels, "doc_id").withColumn("split", hash_split())
     moments = cv.layer_moments(likelihoods, [f"p{o}" for o in lm.ORDERS])
-    kernels = cv.with_pooled_kernels(matrix, "intermediate_likelihoods", *moments)
-    rows = materialize(kernels.withColumn("raw_features", array_to_vector("kernels")).drop("kernels"), "kernels")
+    matrix = lm.likelihood_matrix(likelihoods)
+    # The join moves the kernels, whose number is fixed, and not the matrices.
+    kernels = cv.with_pooled_kernels(matrix, "intermediate_likelihoods", *moments).join(labels, "doc_id")
+    kernels = kernels.select("doc_id", "label", hash_split().alias("split"), array_to_vector("kernels").alias("raw_features"))
+    rows = materialize(kernels, "kernels")
     train, test = train_test(rows)
     model = md.embedding_classifier(maxIter=30, regParam=0.01).fit(train)
     return rounded(ev.binary_metrics(md.scored_rows(model.transform(test))))
