@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
-from textloom.operators import backoff
+from textloom.operators import backoff, packs
 
 TRAIN = ["a b c a b d", "a b c", "", None, "b b b c d e e", "a c a b c e f", "x"]
 HELD_OUT = [(1, "a b c z z a"), (2, "q"), (3, "e f a b d c x"), (4, None), (5, "")]
@@ -103,3 +103,52 @@ def test_frequent_words_are_split(spark):
     model = backoff.fit_backoff(docs_of(spark, texts), 2)
     scored = backoff.score_tokens(docs_of(spark, texts), model)
     assert scored.count() == 80 * 40 and scored.where(F.col("p2").isNull() | (F.col("p2") <= 0)).count() == 0
+
+
+FOLDED = [(0, "a b c a b d"), (1, "a b c z z a"), (0, "q"), (1, None), (2, "e f a b d c x"), (2, ""), (0, "a b c c"), (1, "b b b c d e e"), (1, "zoë a b")]
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 4])
+def test_folds_in_packs_equal_plain_python(spark, monkeypatch, tokens):
+    for name in ("CHUNK_TOKENS", "BUCKET_WORDS", "BUCKET_TOKENS"):
+        monkeypatch.setattr(packs, name, tokens)
+    folds = (0, 1, 2)
+    docs = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(FOLDED)], "doc_id long, f int, text string")
+    scored = backoff.cross_fitted(docs, F.col("f"), folds)
+    found = {(r["doc_id"], r["pos"]): r for r in scored.collect()}
+    models = {f: plain_model([t for g, t in FOLDED if g != f], 3) for f in folds}
+    tokens, sums = 0, defaultdict(list)
+    for key, (f, text) in enumerate(FOLDED):
+        t = ["", "", *(text or "").split()]
+        for i in range(2, len(t)):
+            tokens += 1
+            for k in (1, 2, 3):
+                want = plain_probability(models[f], tuple(t[i - k + 1 : i]), t[i])
+                assert math.isclose(found[key, i - 2][f"p{k}"], want, rel_tol=1e-9, abs_tol=1e-15)
+            sums[key].append(want)
+    assert len(found) == tokens
+    measured = {r["doc_id"]: r for r in backoff.document_nll(scored, (1, 2, 3)).collect()}
+    by_rows = {r["doc_id"]: r for r in backoff.document_nll(scored.select("*"), (1, 2, 3)).collect()}
+    assert set(measured) == set(sums)
+    for key, r in measured.items():
+        logs = sorted(-math.log(p) for p in sums[key] if p > 0)
+        assert r["n"] == len(sums[key]) and math.isclose(r["nll_3"], sum(logs) / len(logs), rel_tol=1e-9)
+        middle = (logs[len(logs) // 2] + logs[(len(logs) - 1) // 2]) / 2
+        assert math.isclose(r["median_nll"], middle, rel_tol=1e-9) and math.isclose(by_rows[key]["median_nll"], middle, rel_tol=1e-9)
+
+
+def test_repeated_keys_and_documents_without_a_fold(spark):
+    rows = [(1, 0, "a b c a"), (1, 1, "a b d"), (None, 0, "b c"), (None, 1, "c a b"), (2, None, "x x x"), (3, 1, "a b c a")]
+    docs = spark.createDataFrame(rows, "doc_id long, f int, text string")
+    scored = backoff.cross_fitted(docs, F.col("f"), (0, 1))
+    one, other = (sorted(map(str, backoff.document_nll(s, (1, 2, 3)).select("doc_id", "n", F.round("nll_3", 9), F.round("median_nll", 9)).collect())) for s in (scored, scored.select("*")))
+    assert one == other and len(one) == 3 and scored.where("pos = 0").count() == 5
+    with pytest.raises(ValueError):
+        backoff.cross_fitted(docs, F.lit(0), (0, 1))
+
+
+def test_scored_tokens_are_not_shuffled(spark):
+    docs = docs_of(spark, TRAIN)
+    scored = backoff.cross_fitted(docs, F.col("doc_id").cast("int") % 2, (0, 1))
+    plan = backoff.document_nll(scored, (1, 2, 3))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Aggregate" not in plan and "Generate" not in plan

@@ -23,8 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions.tokens import token_list
+from textloom.operators import cross_fit, packs
 from textloom.operators.ranking import salted_lookup
-from textloom.session import materialize, release
+from textloom.session import BROADCAST_ROWS, materialize, release
 
 #: Stands before the first token of a text; no token is empty.
 PAD = ""
@@ -217,8 +218,33 @@ def document_perplexity(scored: DataFrame, key: str = "doc_id", column: str = "p
 
 
 def cross_fitted(docs: DataFrame, fold: Column, folds: Sequence[int], order: int = 3, key: str = "doc_id") -> DataFrame:
-    """Token probabilities of every document under a model fitted on the documents of the other folds."""
+    """Token probabilities of every document under a model fitted on the documents of the other folds.
+
+    Models of three words are counted in packs, all folds at once (``cross_fit``), and the probabilities
+    are worked out as lists of a document where they are read."""
     numbered = docs.withColumn("__fold", fold)
+    if order != 3:
+        return _cross_fitted_rows(numbered, folds, order, key)
+    corpus = packs.numbered(numbered, key, part="__fold")
+    counts = cross_fit.count(corpus, folds)
+    models = {}
+    for number in folds:
+        discounts = {k: Discounts.estimate(*counts.histograms[k][number][:4]) for k in (1, 2, 3)}
+        one, two, _, _, total, known = counts.histograms[1][number]
+        if not known:
+            raise ValueError("there are no tokens to fit")
+        d = discounts[1]
+        gamma = (d.one * one + d.two * two + d.more * (known - one - two)) / total
+        models[number] = cross_fit.Numbers({k: (d.one, d.two, d.more) for k, d in discounts.items()}, total, gamma, known)
+    lists = cross_fit.probabilities(counts, models, key)
+    rows = lists.select(key, "p2", "p3", F.posexplode_outer("p1").alias("pos", "p1"))
+    rows = rows.select(key, "pos", "p1", *[F.get(p, F.col("pos")).alias(p) for p in ("p2", "p3")])
+    rows._textloom_lists = lists  # for ``document_nll``
+    rows._textloom_keys = corpus.chunks.where(F.col("part").isin(list(folds))).select(F.explode("keys").alias(key))
+    return rows
+
+
+def _cross_fitted_rows(numbered: DataFrame, folds: Sequence[int], order: int, key: str) -> DataFrame:
     whole = None
     for number in folds:
         model = fit_backoff(numbered.where(F.col("__fold") != number), order)
@@ -228,3 +254,37 @@ def cross_fitted(docs: DataFrame, fold: Column, folds: Sequence[int], order: int
             release(part)
         whole = scored if whole is None else whole.unionByName(scored)
     return whole
+
+
+def document_nll(scored: DataFrame, orders: Sequence[int], key: str = "doc_id") -> DataFrame:
+    """(key, n, nll_1.., median_nll): mean -ln p of every order, and the median of the highest.
+
+    Documents whose key no other has are lists already (see ``cross_fitted``) and are not moved."""
+    lists = getattr(scored, "_textloom_lists", None)
+    if lists is None:
+        return _grouped_nll(scored, orders, key)
+    counted = scored._textloom_keys.groupBy(key).count().where("count > 1")
+    repeated = materialize(counted.select(F.col(key).alias("__key")), "repeated")
+    several = repeated.count()
+    # A probability of 0 has no logarithm and counts in none of the figures but n.
+    nll = {k: F.filter(F.transform(f"p{k}", lambda p: -F.ln(p)), lambda x: x.isNotNull()) for k in orders}
+    alone = lists.select(key, F.size("p1").cast("bigint").alias("n"), *[v.alias(f"nll_{k}") for k, v in nll.items()])
+    alone = alone.withColumn("__s", F.array_sort(f"nll_{max(orders)}"))
+
+    def mean(k: int) -> Column:
+        total = F.aggregate(f"nll_{k}", F.lit(0.0), lambda a, x: a + x)
+        return F.try_divide(total, F.size(f"nll_{k}").cast("double")).alias(f"nll_{k}")
+
+    middle = [F.get("__s", F.floor((F.size("__s") - i) / 2).cast("int")) for i in (0, 1)]
+    sums = [key, "n", *[mean(k) for k in orders], ((middle[0] + middle[1]) / 2).alias("median_nll")]
+    if not several:
+        return alone.select(*sums)
+    repeated = F.broadcast(repeated) if several <= BROADCAST_ROWS else repeated
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    others = _grouped_nll(scored.join(repeated, same, "left_semi"), orders, key)
+    return alone.join(repeated, same, "left_anti").select(*sums).unionByName(others)
+
+
+def _grouped_nll(scored: DataFrame, orders: Sequence[int], key: str) -> DataFrame:
+    means = [F.avg(-F.ln(f"p{k}")).alias(f"nll_{k}") for k in orders]
+    return scored.groupBy(key).agg(F.count("*").alias("n"), *means, F.percentile(-F.ln(f"p{max(orders)}"), 0.5).alias("median_nll"))

@@ -91,6 +91,15 @@ def mixed(keys: np.ndarray, bits: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def unmixed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The keys that ``mixed`` made into these numbers."""
+    x, mask, half = values.astype(np.uint64), np.uint64((1 << bits) - 1), np.uint64(bits // 2 + 1)
+    for factor in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15):
+        x ^= x >> half
+        x = (x * np.uint64(pow(factor, -1, 1 << bits))) & mask
+    return x.astype(np.int64)
+
+
 def bounds(ordered: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each of the equal ranges of numbers below 2^bits begins among ascending ones, and the end."""
     edges = [(i << bits) // buckets for i in range(buckets)]
@@ -185,11 +194,11 @@ def _word_requests(buckets: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _column(table: pa.Table, name: str) -> list:
+def column(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
 
-def _slices(arrays: list[np.ndarray], sizes: np.ndarray) -> list[list[bytes]]:
+def slices(arrays: list[np.ndarray], sizes: np.ndarray) -> list[list[bytes]]:
     """Each array cut into pieces of these sizes, packed."""
     cuts = np.cumsum(sizes)[:-1]
     return [[packed(piece) for piece in np.split(a, cuts)] for a in arrays]
@@ -207,20 +216,20 @@ def _word_answers(buckets: int) -> Callable[[pa.Table], pa.Table]:
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         asked = words.flatten().dictionary_encode()
         codes, known = asked.indices.to_numpy().astype(np.int64), asked.dictionary
-        n, ends = (summed(codes, joined(_column(table, c)), len(known)) for c in ("n", "ends"))
+        n, ends = (summed(codes, joined(column(table, c)), len(known)) for c in ("n", "ends"))
         # Frequent words first, so that ids are small numbers mostly; then by the word, so that a repeated task gives the same ids.
         order = pc.sort_indices(pa.table({"n": n, "w": known}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
         ids = np.empty(len(known), np.int64)
         ids[order] = np.arange(len(known)) * buckets + bucket
-        answers = _slices([ids[codes], n[codes], ends[codes]], sizes)
+        answers = slices([ids[codes], n[codes], ends[codes]], sizes)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": answers[0], "n": answers[1], "ends": answers[2]})
 
     return run
 
 
-def _in_order(answers: pa.Table, *names: str) -> list[np.ndarray]:
+def in_order(answers: pa.Table, *names: str) -> list[np.ndarray]:
     answers = answers.sort_by("bucket")
-    return [joined(_column(answers, name)) for name in names]
+    return [joined(column(answers, name)) for name in names]
 
 
 _NUMBERED = ["chunk", "part", "keys", "lengths", "codes", "ids", "n", "ends"]
@@ -228,18 +237,23 @@ _NUMBERED = ["chunk", "part", "keys", "lengths", "codes", "ids", "n", "ends"]
 
 def _numbered(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     place = unpacked(chunk.column("place")[0].as_py())
-    found = [packed(a[place]) for a in _in_order(answers, "ids", "n", "ends")]
+    found = [packed(a[place]) for a in in_order(answers, "ids", "n", "ends")]
     return chunk.select(["chunk", "part", "keys", "lengths", "codes"]).append_column("ids", [[found[0]]]).append_column("n", [[found[1]]]).append_column("ends", [[found[2]]])
 
 
 @dataclass(frozen=True)
 class Corpus:
     """Written chunks of documents: their keys, numbers of tokens, the tokens as places in a list of words, and for these
-    words the id, how often the corpus has them and how often as the last of a text.  Ids are below 2^bits."""
+    words the id, how often the corpus has them and how often as the last of a text.  ``top`` is the largest id."""
 
     chunks: DataFrame
     tokens: int
-    bits: int
+    top: int
+
+    @property
+    def bits(self) -> int:
+        """Ids are below 2^bits, and so are ids that begin at 1 (see ``padded_tokens``)."""
+        return (self.top + 1).bit_length()
 
     @property
     def buckets(self) -> int:
@@ -272,7 +286,7 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
         done = materialize(found.applyInArrow(_numbered, schema), "numbered")
     release(chunks)
     size = done.mapInArrow(_size, "tokens long, top long").agg(F.sum("tokens"), F.max("top")).first()
-    return Corpus(done, size[0] or 0, max(1, (size[1] or 0).bit_length()))
+    return Corpus(done, size[0] or 0, size[1] or 0)
 
 
 def _size(batches: Batches) -> Batches:
@@ -313,18 +327,27 @@ def grams_of(ids: np.ndarray, lengths: np.ndarray, bits: int) -> Grams:
     return Grams(pairs, pair_counts, pair_of, triples >> bits, triples & ((1 << bits) - 1), triple_counts, triple_of)
 
 
-def chunk_grams(row: dict, bits: int) -> Grams:
-    ids = unpacked(row["ids"])[unpacked(row["codes"])]
-    return grams_of(ids, unpacked(row["lengths"]), bits)
+def padded_tokens(ids: np.ndarray, lengths: np.ndarray, pads: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that begin at 1, with so many 0 before each text that has tokens, and the lengths with these."""
+    sizes = lengths + pads * (lengths > 0)
+    pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros(len(pos), np.int64)
+    out[pos >= pads] = ids + 1
+    return out, sizes
+
+
+def chunk_grams(row: dict, bits: int, pads: int = 0) -> Grams:
+    ids, lengths = unpacked(row["ids"])[unpacked(row["codes"])], unpacked(row["lengths"])
+    return grams_of(*(padded_tokens(ids, lengths, pads) if pads else (ids, lengths)), bits)
 
 
 _REQUEST = "bucket int, chunk long, part int, pairs binary, n binary, follow binary, words binary, m binary"
 
 
-def _gram_requests(bits: int, buckets: int) -> Callable[[Batches], Batches]:
+def _gram_requests(bits: int, buckets: int, pads: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for row in each_row(batches):
-            grams = chunk_grams({c: row[c].as_py() for c in ("ids", "codes", "lengths")}, bits)
+            grams = chunk_grams({c: row[c].as_py() for c in ("ids", "codes", "lengths")}, bits, pads)
             follow = np.bincount(grams.triple_pairs, minlength=len(grams.pairs))
             cuts = bounds(grams.pairs, 2 * bits, buckets)
             rows = [(i, slice(a, b), slice(*np.searchsorted(grams.triple_pairs, (a, b)))) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
@@ -342,9 +365,10 @@ def _gram_requests(bits: int, buckets: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def gram_requests(corpus: Corpus) -> DataFrame:
+def gram_requests(corpus: Corpus, pads: int = 0) -> DataFrame:
     """What the chunks ask every bucket about their pairs and the triples that begin with them."""
-    return corpus.chunks.select("chunk", "part", "lengths", "codes", "ids").mapInArrow(_gram_requests(corpus.bits, corpus.buckets), _REQUEST)
+    asked = _gram_requests(corpus.bits, corpus.buckets, pads)
+    return corpus.chunks.select("chunk", "part", "lengths", "codes", "ids").mapInArrow(asked, _REQUEST)
 
 
 @dataclass(frozen=True)
@@ -363,12 +387,12 @@ class Bucket:
 
 
 def bucket_of(table: pa.Table, bits: int) -> Bucket:
-    asked, words = ([unpacked(b) for b in _column(table, c)] for c in ("pairs", "words"))
+    asked, words = ([unpacked(b) for b in column(table, c)] for c in ("pairs", "words"))
     pairs, pair_at = np.unique(np.concatenate([np.cumsum(a) for a in asked]), return_inverse=True)
-    before = np.repeat(pair_at, joined(_column(table, "follow")))
+    before = np.repeat(pair_at, joined(column(table, "follow")))
     triples, triple_at = np.unique((before << bits) | np.concatenate(words), return_inverse=True)
     sizes = [np.array([len(a) for a in part]) for part in (asked, words)]
-    return Bucket(*sizes, pairs, pair_at, joined(_column(table, "n")), triples, triple_at, joined(_column(table, "m")))
+    return Bucket(*sizes, pairs, pair_at, joined(column(table, "n")), triples, triple_at, joined(column(table, "m")))
 
 
 def _gram_counts(bits: int) -> Callable[[pa.Table], pa.Table]:
@@ -376,8 +400,8 @@ def _gram_counts(bits: int) -> Callable[[pa.Table], pa.Table]:
         b = bucket_of(table, bits)
         n, m = summed(b.pair_at, b.n, len(b.pairs)), summed(b.triple_at, b.m, len(b.triples))
         ends = n - summed(b.triples >> bits, m, len(b.pairs))
-        two, last = _slices([n[b.pair_at], ends[b.pair_at]], b.pair_sizes)
-        (three,) = _slices([m[b.triple_at]], b.triple_sizes)
+        two, last = slices([n[b.pair_at], ends[b.pair_at]], b.pair_sizes)
+        (three,) = slices([m[b.triple_at]], b.triple_sizes)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": two, "ends": last, "m": three})
 
     return run
@@ -398,7 +422,7 @@ def gram_lists(corpus: Corpus, key: str) -> DataFrame:
         row = {c: chunk.column(c)[0].as_py() for c in ("lengths", "codes", "ids", "n", "ends")}
         lengths, codes = unpacked(row["lengths"]), unpacked(row["codes"])
         grams = chunk_grams(row, bits)
-        n, ends, m = _in_order(found, "n", "ends", "m") if found.num_rows else (np.zeros(0, np.int64),) * 3
+        n, ends, m = in_order(found, "n", "ends", "m") if found.num_rows else (np.zeros(0, np.int64),) * 3
 
         def at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
             return np.append(values, 0)[places]  # the place -1 is the 0 at the end

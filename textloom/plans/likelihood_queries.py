@@ -261,8 +261,5 @@ def held_out_perplexity(spark, sf):
     """Every document under the back-off model of the other half of the documents."""
     fold = (F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "8").cast("int")
     scored = backoff.cross_fitted(corpus(spark, sf), fold, (0, 1))
-    return scored.groupBy("doc_id").agg(
-        F.count("*").alias("n"),
-        *[r6(F.avg(-F.ln(f"p{k}"))).alias(f"nll_{k}") for k in lm.ORDERS],
-        r6(F.percentile(-F.ln("p3"), 0.5)).alias("median_nll"),
-    )
+    found = backoff.document_nll(scored, lm.ORDERS)
+    return found.select("doc_id", "n", *[r6(c).alias(c) for c in found.columns[2:]])
