@@ -76,3 +76,13 @@ def test_matrices_are_not_joined(spark, sf_dir, monkeypatch):
         assert 1 <= query(spark, sf_dir).count() <= 2
         moved = [line for line in written[label]._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].splitlines()]
         assert "intermediate_likelihoods" not in "".join(moved) and set(written) <= {"matrices", "kernels"}
+
+
+def test_features_of_a_document_are_made_where_its_tokens_are(spark, monkeypatch):
+    """Tokens are grouped by document before anything is moved."""
+    seen, write = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, label: seen.update({label: df}) or write(df, label))
+    found = lm.vector_features(lm.token_likelihoods(texts(spark)), "doc_id", ["p2 v-div p1 s-max", "p1 s-l2"])
+    assert found.count() == 4
+    plan = seen["features"]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Generate" in plan.split("Exchange")[1] and "HashAggregate" in plan.split("Exchange")[1].split("Generate")[0]
