@@ -239,7 +239,7 @@ def cross_fitted(docs: DataFrame, fold: Column, folds: Sequence[int], order: int
     lists = cross_fit.probabilities(counts, models, key)
     rows = lists.select(key, "p2", "p3", F.posexplode_outer("p1").alias("pos", "p1"))
     rows = rows.select(key, "pos", "p1", *[F.get(p, F.col("pos")).alias(p) for p in ("p2", "p3")])
-    rows._textloom_lists = lists  # for ``document_nll``
+    rows._textloom_figures = cross_fit.figures(counts, models, key)  # for ``document_nll``
     rows._textloom_keys = corpus.chunks.where(F.col("part").isin(list(folds))).select(F.explode("keys").alias(key))
     return rows
 
@@ -259,30 +259,20 @@ def _cross_fitted_rows(numbered: DataFrame, folds: Sequence[int], order: int, ke
 def document_nll(scored: DataFrame, orders: Sequence[int], key: str = "doc_id") -> DataFrame:
     """(key, n, nll_1.., median_nll): mean -ln p of every order, and the median of the highest.
 
-    Documents whose key no other has are lists already (see ``cross_fitted``) and are not moved."""
-    lists = getattr(scored, "_textloom_lists", None)
-    if lists is None:
+    Documents whose key no other has lie together already (see ``cross_fitted``) and are not moved."""
+    figures = getattr(scored, "_textloom_figures", None)
+    if figures is None or max(orders) != 3:
         return _grouped_nll(scored, orders, key)
     counted = scored._textloom_keys.groupBy(key).count().where("count > 1")
     repeated = materialize(counted.select(F.col(key).alias("__key")), "repeated")
     several = repeated.count()
-    # A probability of 0 has no logarithm and counts in none of the figures but n.
-    nll = {k: F.filter(F.transform(f"p{k}", lambda p: -F.ln(p)), lambda x: x.isNotNull()) for k in orders}
-    alone = lists.select(key, F.size("p1").cast("bigint").alias("n"), *[v.alias(f"nll_{k}") for k, v in nll.items()])
-    alone = alone.withColumn("__s", F.array_sort(f"nll_{max(orders)}"))
-
-    def mean(k: int) -> Column:
-        total = F.aggregate(f"nll_{k}", F.lit(0.0), lambda a, x: a + x)
-        return F.try_divide(total, F.size(f"nll_{k}").cast("double")).alias(f"nll_{k}")
-
-    middle = [F.get("__s", F.floor((F.size("__s") - i) / 2).cast("int")) for i in (0, 1)]
-    sums = [key, "n", *[mean(k) for k in orders], ((middle[0] + middle[1]) / 2).alias("median_nll")]
+    alone = figures.select(key, "n", *[f"nll_{k}" for k in orders], "median_nll")
     if not several:
-        return alone.select(*sums)
+        return alone
     repeated = F.broadcast(repeated) if several <= BROADCAST_ROWS else repeated
     same = F.col(key).eqNullSafe(F.col("__key"))
     others = _grouped_nll(scored.join(repeated, same, "left_semi"), orders, key)
-    return alone.join(repeated, same, "left_anti").select(*sums).unionByName(others)
+    return alone.join(repeated, same, "left_anti").unionByName(others)
 
 
 def _grouped_nll(scored: DataFrame, orders: Sequence[int], key: str) -> DataFrame:

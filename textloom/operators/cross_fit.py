@@ -208,42 +208,80 @@ def _gamma(context: Sequence[np.ndarray], discounts: tuple[float, float, float])
     return np.divide(sum(d * k for d, k in zip(discounts, some)), total, out=np.ones(len(total)), where=total > 0)
 
 
-def probabilities(counts: Counts, models: Mapping[int, Numbers], key: str) -> DataFrame:
-    """(key, p1, p2, p3): lists over all tokens of every document of the folds that has any."""
-    corpus, bits = counts.corpus, counts.corpus.bits
+def _chunk_probabilities(chunk: pa.Table, found: pa.Table, models: Mapping[int, Numbers], bits: int) -> list[np.ndarray]:
+    """p1, p2, p3 of the tokens of a chunk from the answers it got."""
+    row = {c: chunk.column(c)[0].as_py() for c in ("part", "lengths", "codes", "ids")}
+    model, codes, lengths, ids = models[row["part"]], *[pk.unpacked(row[c]) for c in ("codes", "lengths", "ids")]
+    said = {o: found.filter(pa.array([x == o for x in pk.column(found, "order")], pa.bool_())) for o in (1, 2, 3)}
+    order = _word_order(ids, bits)[1]
+    words = []
+    for values in pk.in_order(said[1], "b0", "b1", "b2", "b3", "b4"):
+        words.append(np.empty_like(values))
+        words[-1][order] = values
+    before = np.append(0, codes[:-1] + 1)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    d = model.discounts
+    p1 = _own(words[0][codes + 1], float(model.total), d[1]) + model.gamma / float(model.known + 1)
+    context = [v[before] for v in words[1:]]
+    grams = pk.chunk_grams(row, bits, PADS)
+    real = grams.triple_of >= 0
+    (c2,) = pk.in_order(said[2], "b0")
+    p2 = _own(c2[grams.pair_of[real]], context[0], d[2]) + _gamma(context, d[2]) * p1
+    c3, *context = pk.in_order(said[3], "b0", "b1", "b2", "b3", "b4")
+    triple = grams.triple_of[real]
+    context = [v[grams.triple_pairs[triple]] for v in context]
+    return [p1, p2, _own(c3[triple], context[0], d[3]) + _gamma(context, d[3]) * p2]
+
+
+def _documents(chunk: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Keys and numbers of tokens of the documents of a chunk that have any."""
+    lengths = pk.unpacked(chunk.column("lengths")[0].as_py())
+    return chunk.column("keys").combine_chunks().flatten().filter(pa.array(lengths > 0)), lengths[lengths > 0]
+
+
+def _figures(p: np.ndarray, lengths: np.ndarray, median: bool) -> pa.Array:
+    """Mean or median -ln of the probabilities of each document; 0 has no logarithm and does not count."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)[p > 0]
+    nll = -np.log(p[p > 0])
+    n = np.bincount(doc, minlength=len(lengths))
+    if not median:
+        values = np.bincount(doc, weights=nll, minlength=len(lengths)) / np.maximum(n, 1)
+    elif not len(nll):
+        values = np.zeros(len(lengths))
+    else:
+        nll, first = nll[np.lexsort((nll, doc))], np.cumsum(n) - n
+        values = sum(nll[np.minimum(first + np.maximum(n - i, 0) // 2, len(nll) - 1)] for i in (0, 1)) / 2
+    return pa.array(values, mask=n == 0)
+
+
+def _found(counts: Counts, models: Mapping[int, Numbers], key: str, of: Callable[[pa.Table, list], list], columns: Mapping[str, str]) -> DataFrame:
+    """A row for every document of the folds that has tokens, from the probabilities of its chunk."""
+    corpus, bits, names = counts.corpus, counts.corpus.bits, [key, *columns]
     kind = corpus.chunks.schema["keys"].dataType.elementType.simpleString()
 
-    def lists(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        row = {c: chunk.column(c)[0].as_py() for c in ("part", "lengths", "codes", "ids")}
-        model, codes, lengths, ids = models[row["part"]], *[pk.unpacked(row[c]) for c in ("codes", "lengths", "ids")]
-        said = {o: found.filter(pa.array([x == o for x in pk.column(found, "order")], pa.bool_())) for o in (1, 2, 3)}
-        order = _word_order(ids, bits)[1]
-        words = []
-        for values in pk.in_order(said[1], "b0", "b1", "b2", "b3", "b4"):
-            words.append(np.empty_like(values))
-            words[-1][order] = values
-        first = np.cumsum(lengths) - lengths
-        before = np.append(0, codes[:-1] + 1) if len(codes) else codes
-        before[first[lengths > 0]] = 0
-        d = model.discounts
-        p1 = _own(words[0][codes + 1], float(model.total), d[1]) + model.gamma / float(model.known + 1)
-        context = [v[before] for v in words[1:]]
-        grams = pk.chunk_grams(row, bits, PADS)
-        real = grams.triple_of >= 0
-        (c2,) = pk.in_order(said[2], "b0")
-        p2 = _own(c2[grams.pair_of[real]], context[0], d[2]) + _gamma(context, d[2]) * p1
-        c3, *context = pk.in_order(said[3], "b0", "b1", "b2", "b3", "b4")
-        triple = grams.triple_of[real]
-        context = [v[grams.triple_pairs[triple]] for v in context]
-        p3 = _own(c3[triple], context[0], d[3]) + _gamma(context, d[3]) * p2
-        some = lengths > 0
-        keys = chunk.column("keys").combine_chunks().flatten().filter(pa.array(some))
-        return pa.table([keys, *[pk.listed(pa.array(p), lengths[some]) for p in (p1, p2, p3)]], names=[key, "p1", "p2", "p3"])
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        keys, lengths = _documents(chunk)
+        return pa.table([keys, *of(lengths, _chunk_probabilities(chunk, found, models, bits))], names=names)
 
     answers = None
     for order, said in counts.answers.items():
         mine = said.where(F.col("kind") == ANSWER).select("chunk", "bucket", F.lit(order).alias("order"), "b0", "b1", "b2", "b3", "b4")
         answers = mine if answers is None else answers.unionByName(mine)
-    schema = f"`{key}` {kind}, p1 array<double>, p2 array<double>, p3 array<double>"
-    chunks = corpus.chunks.where(F.col("part").isin(list(models)))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lists, schema)
+    chunks = corpus.chunks.where(F.col("part").isin(list(models))).select("chunk", "part", "keys", "lengths", "codes", "ids")
+    schema = ", ".join([f"`{key}` {kind}", *[f"{c} {t}" for c, t in columns.items()]])
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def probabilities(counts: Counts, models: Mapping[int, Numbers], key: str) -> DataFrame:
+    """(key, p1, p2, p3): lists over all tokens of a document."""
+    listed = lambda lengths, ps: [pk.listed(pa.array(p), lengths) for p in ps]
+    return _found(counts, models, key, listed, {f"p{k}": "array<double>" for k in (1, 2, 3)})
+
+
+def figures(counts: Counts, models: Mapping[int, Numbers], key: str) -> DataFrame:
+    """(key, n, nll_1, nll_2, nll_3, median_nll) of a document."""
+
+    def of(lengths: np.ndarray, ps: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(lengths), *[_figures(p, lengths, False) for p in ps], _figures(ps[-1], lengths, True)]
+
+    return _found(counts, models, key, of, {"n": "long", **{f"nll_{k}": "double" for k in (1, 2, 3)}, "median_nll": "double"})
